@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .minhash import op10
 from .substring_dedup import op9
 
 QUERIES = {
     "op9_substring_dedup": op9,
+    "op10_minhash": op10,
 }
 
 ORACLES: dict[str, str] = {}

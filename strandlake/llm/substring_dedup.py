@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, Rolling, WordHashes, buckets, by_bucket, doc_groups, give_back, group_column, group_of, keyed, merged, mix, pack, unpack
+from ._common import Rolling, WordHashes, buckets, by_bucket, doc_groups, give_back, group_column, group_of, keyed, merged, mix, pack, unpack
 
 BLOCK = 1_500_000  # words of a block; bounds a task's memory
 
@@ -70,7 +70,7 @@ def _windows(width: int, n_buckets: int):
         hashes, ids, counts, size, rows = [], [], [], 0, []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = WORD.findall(text)
+                found = text.encode("utf-8", "surrogatepass").split()  # bytes: only ASCII white space parts words
                 if len(found) >= width:
                     hashes.append(mix(roll.fixed(roll.sums(words.of(found)), width)))
                     ids.append(doc)
@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "n_removed": [], "spans": [], "kept": []}
         for doc, text, (start, *_) in per_document(right, left):
-            words = WORD.findall(text)
+            words = text.encode("utf-8", "surrogatepass").split()
             s, e = merged(start, start + width)
             kept, at = [], 0
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
             out["n_words"].append(len(words))
             out["n_removed"].append(int((e - s).sum()))
             out["spans"].append([{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-            out["kept"].append(" ".join(kept))
+            out["kept"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.string())]))
 
