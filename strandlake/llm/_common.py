@@ -44,7 +44,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, factor: int = 4) -> int:
+def buckets(spark: SparkSession, factor: int = 2) -> int:
     """Number of buckets: grows with the shuffle partitions that the session was given for its data."""
     return max(8, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -184,7 +184,7 @@ def _prime(n: int) -> int:
 
 def doc_groups(spark: SparkSession) -> int:
     """Number of groups that documents and what was decided about them meet in: prime, so ids in steps spread too."""
-    return _prime(buckets(spark))
+    return _prime(buckets(spark, 1))
 
 
 def group_column(groups: int):
