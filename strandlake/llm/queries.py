@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .minhash import op10
 from .substring_dedup import op9
+from .toxicity import op8
 
 QUERIES = {
+    "op8_toxicity": op8,
     "op9_substring_dedup": op9,
     "op10_minhash": op10,
 }
