@@ -127,10 +127,10 @@ def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame,
     return docs.withColumn("grp", group_column(groups)), marks, groups
 
 
-def per_document(starts_of: pa.Table, docs: pa.Table):
+def per_document(starts_of: pa.Table, docs: pa.Table, width: int = 2):
     """For each row of docs: (doc_id, text, its arrays of ranges)."""
     parts = [unpack(p) for p in starts_of.column("payload").to_pylist()]
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * width
     order = np.argsort(columns[0], kind="stable")
     columns = [c[order] for c in columns]
     ids = docs.column("doc_id").to_numpy()
