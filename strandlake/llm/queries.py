@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4
 from .minhash import op10
 from .substring_dedup import op9
+from .suffix_dedup import op3
 from .toxicity import op8
 
 QUERIES = {
+    "op3_suffix_array": op3,
+    "op4_decontamination": op4,
     "op8_toxicity": op8,
     "op9_substring_dedup": op9,
     "op10_minhash": op10,
