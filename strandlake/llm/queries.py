@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import op4
 from .minhash import op10
+from .packing import op1
 from .substring_dedup import op9
 from .suffix_dedup import op3
 from .toxicity import op8
 
 QUERIES = {
+    "op1_packing": op1,
     "op3_suffix_array": op3,
     "op4_decontamination": op4,
     "op8_toxicity": op8,
