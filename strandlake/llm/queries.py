@@ -7,6 +7,7 @@ from .minhash import op10
 from .packing import op1
 from .substring_dedup import op9
 from .suffix_dedup import op3
+from .syncmers import op6
 from .toxicity import op8
 from .wavelet import op5
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_suffix_array": op3,
     "op4_decontamination": op4,
     "op5_wavelet_matrix": op5,
+    "op6_syncmers": op6,
     "op8_toxicity": op8,
     "op9_substring_dedup": op9,
     "op10_minhash": op10,
