@@ -9,10 +9,12 @@ from .substring_dedup import op9
 from .suffix_dedup import op3
 from .syncmers import op6
 from .toxicity import op8
+from .url_rules import op2
 from .wavelet import op5
 
 QUERIES = {
     "op1_packing": op1,
+    "op2_url_rules": op2,
     "op3_suffix_array": op3,
     "op4_decontamination": op4,
     "op5_wavelet_matrix": op5,
