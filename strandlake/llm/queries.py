@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4
+from .html_extract import op7
 from .minhash import op10
 from .packing import op1
 from .substring_dedup import op9
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontamination": op4,
     "op5_wavelet_matrix": op5,
     "op6_syncmers": op6,
+    "op7_html_wrappers": op7,
     "op8_toxicity": op8,
     "op9_substring_dedup": op9,
     "op10_minhash": op10,
