@@ -3,18 +3,18 @@
 1. Each document's set of word shingles gives a digest and, from `permutations` hash functions, twice as
    many signature values (a minimum and a maximum each); four values make a band.
 2. Documents with equal sets fall into one class; the smallest id represents it from here on.
-3. A band's bucket proposes links. First everyone is held against the bucket's centre (as many pairs as
-   members). What is not one component by then: small buckets compare the members of different components,
-   large ones are split by a second band that members share as well, and so on; the last level compares
-   all that is left, so no bucket is cut short. A pair of similarity 0.8 shares at least two of 25 bands
-   but for a chance of 4 in 100,000.
+3. A band's bucket proposes links. A centre is held against all members (as many pairs as members); where
+   several components are left in a bucket other centres follow, then all pairs across its components. Only
+   a bucket where those are very many is split first, by a second band that two members must share as well,
+   and so on; the last level compares all that is left, so no bucket is cut short. A pair of similarity 0.8
+   shares at least two of 25 bands but for a chance of 4 in 100,000. Sketches (a byte of each signature
+   value) rule out pairs that are far from similar before any text moves.
 4. Every link is confirmed on the full shingle sets; connected components follow by label propagation.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ._common import NULL_ID, Rolling, WordHashes, give_back, keyed, mix, written
 
 BAND = 4  # signature values of a band
-SMALL = 40  # members of a bucket whose open pairs are compared at once
+SMALL = 40  # a bucket's open pairs are compared at once if they are at most so many a member
+STARS = 3  # more centres that a bucket with several components tries
 LEVELS = 3
 
 
@@ -61,23 +62,25 @@ def _signatures(width: int, permutations: int):
     def run(batches):
         shingles, (scale, shift) = Shingles(width), _constants(permutations)
         for batch in batches:
-            ids, sizes, digests, bands = batch.column(0), [], [], []
+            ids, sizes, digests, bands, sketches = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles.of(text)
                 sizes.append(len(s))
                 if not len(s):
                     digests.append(None)
                     bands.append([])
+                    sketches.append(None)
                     continue
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 low, high = min_max(s, scale, shift)
+                sketches.append(np.concatenate([low, high]).astype(np.uint8).tobytes())  # the lowest byte of each
                 # a band takes two minima and, of other permutations, two maxima
                 rows = np.stack([low[0::2], low[1::2], np.roll(high[0::2], 1), np.roll(high[1::2], 1)])
                 key = np.arange(1, rows.shape[1] + 1, dtype=np.uint64)
                 for r in rows:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + r)
                 bands.append(key.view(np.int64))
-            yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
@@ -129,11 +132,71 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _proposed(members: DataFrame, seed: int) -> DataFrame:
-    """Members (key, id, n) with their bucket's size and centre, of buckets with more than one."""
-    pick = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n"))
-    stats = members.groupBy("key").agg(F.count("*").alias("size"), pick.alias("c")).where("size > 1")
-    return written(members.join(stats, "key").select("key", "id", "n", "size", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")))
+def _likely(most_percent: int):
+    """Pairs whose sketches agree as often as a pair that is similar enough does (six standard deviations of room)."""
+    share = most_percent / 100
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            same = (a == b).sum(1) if len(a) else np.zeros(0)
+            room = 6 * np.sqrt(share * (1 - share) / max(1, a.shape[1]))
+            yield batch.select(["a", "b"]).filter(pa.array(same >= (share - room) * a.shape[1]))
+
+    return run
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """The members of buckets with more than one."""
+    return written(members.join(members.groupBy("key").count().where("count > 1").select("key"), "key"))
+
+
+class _Search:
+    """Links among the members (key, id, n) of buckets, found in rounds."""
+
+    def __init__(self, texts: DataFrame, sketches: DataFrame, width: int, percent: int) -> None:
+        self.texts, self.sketches, self.width, self.percent = texts, sketches, width, percent
+        self.labels: DataFrame | None = None
+        # else the sizes alone rule a link out
+        self.alike = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+
+    def named(self, members: DataFrame) -> DataFrame:
+        members = members.select("key", "id", "n")
+        if self.labels is None:
+            return members.withColumn("label", F.col("id"))
+        return members.join(self.labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def hold(self, pairs: DataFrame) -> None:
+        """Confirms the pairs (a, b) and joins the components that they link."""
+        for side in ("a", "b"):
+            pairs = pairs.join(self.sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        links = confirmed(pairs.mapInArrow(_likely(self.percent), "a long, b long"), self.texts, self.width, self.percent)
+        if self.labels is not None:
+            links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        self.labels = components(links)
+
+    def star(self, members: DataFrame, *seed) -> None:
+        """Holds each bucket's centre, its member of smallest hash, against the members of other components."""
+        members = self.named(members)
+        centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", *seed).alias("h"), "id", "n", "label")).alias("c"))
+        met = members.join(centre, "key").where("label <> c.label").withColumn("m", F.col("c.n")).where(self.alike)
+        self.hold(met.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct())
+
+    def open_(self, members: DataFrame) -> DataFrame:
+        """(key, id, n, label, major, few) of buckets with members of several components.
+
+        major: the component with most members; few: whether pairs across components are at most SMALL a member.
+        """
+        named = self.named(members)
+        sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+        stats = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("square"), F.max_by("label", F.struct("c", "label")).alias("major")).where("kinds > 1")
+        return written(named.join(stats, "key").select("key", "id", "n", "label", "major", F.expr(f"(size * size - square) div 2 <= {SMALL} * size").alias("few")))
+
+    def rest(self, open_: DataFrame) -> None:
+        """Holds all pairs across components against each other."""
+        other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"))
+        met = open_.where("label <> major").join(other, "key").where("label <> label2 and (label2 = major or id < id2)").where(self.alike)
+        self.hold(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 50) -> DataFrame:
@@ -144,52 +207,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     nothing. Ids that repeat: see `keyed`. An empty table gives an empty result.
     """
     docs = keyed(docs)
-    signed = written(docs.mapInArrow(_signatures(width, permutations), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = written(docs.mapInArrow(_signatures(width, permutations), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
     classes = written(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    alone = signed.join(classes, "digest").where("doc_id = rep")
-    bands = alone.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    alike = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")  # else the sizes alone rule a link out
-
-    members, links, texts, labels = _proposed(bands, 0), None, None, None
-    for level in count():
-        if texts is None:
-            texts = written(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"))
-        star = members.where("id <> centre").withColumnRenamed("centre_n", "m").where(alike).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        if labels is not None:
-            star = _apart(star, labels)
-        found = confirmed(star, texts, width, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        # a bucket is done when its members are one component, or when all its pairs were compared
-        named = members.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = written(named.join(mixed, "key").select("key", "id", "n", "size", "label"))
-        if not rest.limit(1).count():
-            break
+    alone = signed.join(classes, "digest").where("doc_id = rep").withColumnRenamed("doc_id", "id")
+    bands = alone.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
+    members = _shared(bands)
+    ids = members.select("id").distinct()
+    texts = written(docs.withColumnRenamed("doc_id", "id").join(ids, "id"))
+    sketches = written(alone.join(ids, "id").select("id", "bands", "sketch"))
+    search = _Search(texts, sketches, width, percent)
+    search.star(members)  # one centre for all the buckets of a group
+    for level in range(LEVELS):
+        for turn in range(STARS):
+            members = search.open_(members)
+            if not members.limit(1).count():
+                break
+            search.star(members, "key", F.lit(turn))
+        members = search.open_(members)
         last = level + 1 == LEVELS
-        few = rest if last else rest.where(f"size <= {SMALL}")
-        other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"))
-        pairs = few.join(other, "key").where("id < id2 and label <> label2").where(alike).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        links = links.unionByName(confirmed(pairs, texts, width, percent))
-        labels = components(links)
-        if last:
+        now = members if last else members.where("few")
+        if now.limit(1).count():
+            search.rest(now)
+        deep = members.where("not few")
+        if last or not deep.limit(1).count():
             break
-        deep = rest.where(f"size > {SMALL}").select("key", "id", "n").join(alone.select(F.col("doc_id").alias("id"), "bands"), "id")
-        deep = deep.select(F.explode("bands").alias("band"), "key", "id", "n").where("band <> key").select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band"), F.lit(level)).alias("key"), "id", "n").distinct()
-        members = _proposed(deep, level + 1)
+        deep = deep.select("key", "id", "n").join(sketches.select("id", "bands"), "id").select("key", "id", "n", F.explode("bands").alias("band")).where("band <> key")
+        members = _shared(deep.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band"), F.lit(level)).alias("key"), "id", "n").distinct())
+    labels = search.labels
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return give_back(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "doc_id", "component_id")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that aren't in one component yet."""
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
-    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-
-
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
 
