@@ -27,10 +27,10 @@ from ._common import Rolling, buckets, by_bucket, doc_groups, give_back, group_c
 from .substring_dedup import _batch, per_document, spans_out
 
 GRAM = 32  # bytes of an anchor
-BLOCK = 1_000_000  # segments of a block
-PIECE = 1 << 23  # bytes hashed at once; a position must fit into 24 bits
+BLOCK = 250_000  # segments of a block
+PIECE = 1 << 20  # bytes hashed at once; a position must fit into 24 bits
 HOT = 2000  # kinds of segments of one gram that one task compares by sorting
-SORTED = 1 << 18  # suffixes sorted at once
+SORTED = 1 << 16  # suffixes sorted at once
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
