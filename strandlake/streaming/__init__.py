@@ -1,0 +1 @@
+"""Stages without state, for streaming DataFrames too."""
