@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,13 +39,13 @@ def guide_mismatches(guide: str, window: str, wobble: str | None = None) -> Colu
 
     wobble: None counts every mismatch; a name of WOBBLE leaves its pairs out.
     """
-    rc = f"reverse(translate(upper({window}), 'ACGTU', 'TGCAA'))"
-    g = f"translate(upper({guide}), 'U', 'T')"
     keep = ""
     if wobble:
         pairs = ", ".join(f"'{p.replace('U', 'T')}'" for p in WOBBLE[wobble])
-        keep = f" and substring({g}, i, 1) || substring({rc}, i, 1) not in ({pairs})"
-    return F.expr(f"filter(sequence(1, length({guide})), i -> substring({g}, i, 1) <> substring({rc}, i, 1){keep})")
+        keep = f" and substring(x.g, i, 1) || substring(x.r, i, 1) not in ({pairs})"
+    # the one-element array binds both strings once, outside the inner lambda
+    both = f"array(named_struct('g', translate(upper({guide}), 'U', 'T'), 'r', reverse(translate(upper({window}), 'ACGTU', 'TGCAA'))))"
+    return F.expr(f"transform({both}, x -> filter(sequence(1, length(x.g)), i -> substring(x.g, i, 1) <> substring(x.r, i, 1){keep}))[0]")
 
 
 def within(positions: Column, low: int, high: int) -> Column:
@@ -77,3 +77,19 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     """prefix-<24 hex digits> of the parts; nulls count as empty."""
     joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(joined, 256), 1, 24))
+
+
+CHUNK = 256
+
+
+def starts(sequences: DataFrame, k: int, before: int = 0, after: int = 32) -> DataFrame:
+    """(transcript_id, gene_id, start, chunk, at): every 0-based start of a k-mer.
+
+    chunk holds the bases from `before` bases before the start to `after` bases from it, as far as there are
+    any; the start is its position `at` (1-based). A string's substring costs as much as what lies before it,
+    so windows are cut from chunks and not from whole sequences.
+    """
+    c = sequences.where(F.length("sequence") >= k).select("transcript_id", "gene_id", "sequence", F.expr(f"length(sequence) - {k}").alias("last"), F.expr(f"explode(sequence(0, (length(sequence) - {k}) div {CHUNK}))").alias("c"))
+    c = c.select("transcript_id", "gene_id", (F.col("c") * CHUNK).alias("first"), "last", F.expr(f"substring(sequence, greatest(c * {CHUNK} - {before}, 0) + 1, {CHUNK + before + after})").alias("chunk"), F.expr(f"least(c * {CHUNK}, {before})").alias("skip"))
+    rows = c.select("transcript_id", "gene_id", "first", "chunk", "skip", F.expr(f"explode(sequence(0, least({CHUNK - 1}, last - first)))").alias("j"))
+    return rows.select("transcript_id", "gene_id", (F.col("first") + F.col("j")).cast("int").alias("start"), "chunk", (F.col("skip") + F.col("j") + 1).cast("int").alias("at"))

@@ -37,9 +37,8 @@ def windows(sequences: DataFrame, length: int, offset: int = 0, k: int | None =
     Only the bases of a window leave this projection, never the whole sequence.
     """
     k = k or length
-    rows = sequences.where(F.length("sequence") >= offset + k)
-    rows = rows.select("transcript_id", "gene_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - (offset + k))).alias("start"))
-    return rows.select("transcript_id", "gene_id", "start", F.expr(f"substring(sequence, start + 1, {length})").alias("win"), F.expr(f"substring(sequence, start + 1 + {offset}, {k})").alias("kmer"))
+    rows = rna.starts(sequences, offset + k, after=max(length, offset + k))
+    return rows.select("transcript_id", "gene_id", "start", F.expr(f"substring(chunk, at, {length})").alias("win"), F.expr(f"substring(chunk, at + {offset}, {k})").alias("kmer"))
 
 
 def _classified(hits: DataFrame, policy: TargetabilityPolicy) -> DataFrame:

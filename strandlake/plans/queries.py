@@ -455,15 +455,15 @@ PATH_SQL = (
     + """, se AS (SELECT source, target, min(edge_id) AS edge_id, arg_min(sign, edge_id) AS sign FROM cs WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
     starts AS (SELECT DISTINCT source AS node FROM se WHERE CAST(source AS BIGINT) % 20 = 0),
     walk AS (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
-      UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 4 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w)"""
+      UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 2 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w)"""
 )
 
 
 def _paths(edge):
-    """Signed causal paths from every node whose number is divisible by 20 (the stated query set)."""
+    """Signed causal paths of up to two edges from every node whose number is divisible by 20 (the stated query set)."""
     e = _consensus(edge).where("sign in ('positive', 'negative') and not functional_only")
     starts = e.select(F.col("source").alias("node")).where("cast(node as long) % 20 = 0").distinct()
-    return paths.signed(paths.enumerate_paths(e, starts))
+    return paths.signed(paths.enumerate_paths(e, starts, 2))
 
 
 @query("signed_paths", "edges", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, n_edges, cumulative_sign, CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END AS expected_direction FROM walk")
