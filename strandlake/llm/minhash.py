@@ -5,9 +5,9 @@
 2. Documents with equal sets fall into one class; the smallest id represents it from here on.
 3. A band's bucket proposes links. A centre is held against all members (as many pairs as members); where
    several components are left in a bucket other centres follow, then all pairs across its components. Only
-   a bucket where those are very many is split first, by a second band that two members must share as well,
+   a bucket where those are very many is split first, by further bands of which two members must share one,
    and so on; the last level compares all that is left, so no bucket is cut short. A pair of similarity 0.8
-   shares at least two of 25 bands but for a chance of 4 in 100,000. Sketches (a byte of each signature
+   is missed with a chance of about 3 in a million. Sketches (a byte of each signature
    value) rule out pairs that are far from similar before any text moves.
 4. Every link is confirmed on the full shingle sets; connected components follow by label propagation.
 """
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from ._common import NULL_ID, Rolling, WordHashes, give_back, keyed, mix, written
 
 BAND = 4  # signature values of a band
-SMALL = 40  # a bucket's open pairs are compared at once if they are at most so many a member
-STARS = 3  # more centres that a bucket with several components tries
+SMALL = 8  # a bucket's open pairs are compared at once if they are at most so many a member
+STARS = 1  # more centres that a bucket with several components tries
 LEVELS = 3
+SPLITS = 8  # further bands that split a large open bucket: a similar pair shares one of them but for 15 in 1000, and has about ten buckets
+CENTRES = 4  # orders from which buckets choose further centres
+SALTS = 16  # parts in which a centre's partners are dealt out
 
 
 class Shingles:
@@ -108,10 +111,11 @@ def _confirm(width: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are as similar as asked. A centre's pairs are dealt out 64 at a time."""
-    pairs = written(pairs.distinct())
-    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
-    dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    """The pairs (a, b) whose full shingle sets are as similar as asked.
+
+    A centre meets its partners in SALTS parts; a part is streamed, so no group is held in memory.
+    """
+    dealt = pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     left = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.col("a").alias("id"), "text", F.lit(True).alias("centre"))
     right = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.col("b").alias("id"), "text", F.lit(False).alias("centre"))
     rows = left.unionByName(right).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "salt")
@@ -120,13 +124,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of undirected links (a, b): label is the component's smallest node."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    both = written(links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).distinct())
+    labels = written(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("to"))
+        # a node hears its own label too, so no second join is needed to see whether it changed
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("to"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = written(step.join(jump, "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") < F.col("label")).alias("moved")))
+        new = written(near.join(jump, "to").select(F.col("a").alias("node"), F.least("to", "far").alias("label"), (F.least("to", "far") < F.col("was")).alias("moved")))
         labels = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return labels
@@ -168,10 +172,10 @@ class _Search:
 
     def hold(self, pairs: DataFrame) -> None:
         """Confirms the pairs (a, b) and joins the components that they link."""
-        for side in ("a", "b"):
-            pairs = pairs.join(self.sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-        links = confirmed(pairs.mapInArrow(_likely(self.percent), "a long, b long"), self.texts, self.width, self.percent)
+        links = confirmed(pairs, self.texts, self.width, self.percent)
         if self.labels is not None:
+            if not links.limit(1).count():
+                return
             links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         self.labels = components(links)
 
@@ -180,7 +184,7 @@ class _Search:
         members = self.named(members)
         centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", *seed).alias("h"), "id", "n", "label")).alias("c"))
         met = members.join(centre, "key").where("label <> c.label").withColumn("m", F.col("c.n")).where(self.alike)
-        self.hold(met.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct())
+        self.hold(met.select(F.col("c.id").alias("a"), F.col("id").alias("b")))
 
     def open_(self, members: DataFrame) -> DataFrame:
         """(key, id, n, label, major, few) of buckets with members of several components.
@@ -196,7 +200,10 @@ class _Search:
         """Holds all pairs across components against each other."""
         other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"))
         met = open_.where("label <> major").join(other, "key").where("label <> label2 and (label2 = major or id < id2)").where(self.alike)
-        self.hold(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+        pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(self.sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        self.hold(pairs.mapInArrow(_likely(self.percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 50) -> DataFrame:
@@ -222,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
             members = search.open_(members)
             if not members.limit(1).count():
                 break
-            search.star(members, "key", F.lit(turn))
+            search.star(members, F.pmod("key", F.lit(CENTRES)), F.lit(turn))
         members = search.open_(members)
         last = level + 1 == LEVELS
         now = members if last else members.where("few")
@@ -231,8 +238,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
         deep = members.where("not few")
         if last or not deep.limit(1).count():
             break
-        deep = deep.select("key", "id", "n").join(sketches.select("id", "bands"), "id").select("key", "id", "n", F.explode("bands").alias("band")).where("band <> key")
-        members = _shared(deep.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band"), F.lit(level)).alias("key"), "id", "n").distinct())
+        deep = deep.select("key", "id", "n").join(sketches.select("id", "bands"), "id")
+        some = F.expr(f"transform(sequence(1, {SPLITS}), i -> bands[int(pmod(pmod(key, size(bands)) + i, size(bands)))])")
+        deep = deep.select("key", "id", "n", F.explode(some).alias("band")).where("band <> key")
+        members = _shared(deep.select(F.xxhash64("key", "band", F.lit(level)).alias("key"), "id", "n").distinct())
     labels = search.labels
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
