@@ -30,8 +30,9 @@ def mismatches(a: str, b: str) -> Column:
     return F.expr(f"filter(sequence(1, length({a})), i -> substring({a}, i, 1) <> substring({b}, i, 1))")
 
 
-#: Pairs (guide base, base paired with it in the complemented window) that wobbling forgives: fixed values.
-WOBBLE = {"reference": ("GA", "TC", "UC"), "true_gu": ("GA", "TG", "UG")}
+#: Pairs (guide base, base of the complemented window) that wobbling forgives: fixed values. "complemented"
+#: compares with the complement, so it forgives G opposite A and U opposite C; "true_gu" forgives G and U.
+WOBBLE = {"complemented": ("GT", "TG"), "true_gu": ("GA", "TC")}
 
 
 def guide_mismatches(guide: str, window: str, wobble: str | None = None) -> Column:
@@ -41,13 +42,17 @@ def guide_mismatches(guide: str, window: str, wobble: str | None = None) -> Colu
     """
     keep = ""
     if wobble:
-        pairs = ", ".join(f"'{p.replace('U', 'T')}'" for p in WOBBLE[wobble])
+        pairs = ", ".join(f"'{p}'" for p in WOBBLE[wobble])
         keep = f" and substring(x.g, i, 1) || substring(x.r, i, 1) not in ({pairs})"
     # the one-element array binds both strings once, outside the inner lambda
     both = f"array(named_struct('g', translate(upper({guide}), 'U', 'T'), 'r', reverse(translate(upper({window}), 'ACGTU', 'TGCAA'))))"
     return F.expr(f"transform({both}, x -> filter(sequence(1, length(x.g)), i -> substring(x.g, i, 1) <> substring(x.r, i, 1){keep}))[0]")
 
 
+def wobble_count(guide: str, window: str, wobble: str = "complemented") -> Column:
+    return F.size(guide_mismatches(guide, window)) - F.size(guide_mismatches(guide, window, wobble))
+
+
 def within(positions: Column, low: int, high: int) -> Column:
     """How many positions lie in low to high."""
     return F.size(F.filter(positions, lambda p: p.between(low, high)))
