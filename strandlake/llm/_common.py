@@ -66,11 +66,26 @@ def give_back(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.when(F.col(n) != NULL_ID, F.col(n)) for n in names or ("doc_id",)})
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column: doc_id with the stand-in for null."""
+    key = fresh(docs, "_key")
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), key
+
+
 def with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """docs' columns in their order, with the texts (and n_chars) of `texts` (doc_id, text), which has every doc_id."""
-    spark_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    out = docs.drop("text", "n_chars").withColumn("_key", spark_id).join(texts.select(F.col("doc_id").alias("_key"), "text"), "_key").drop("_key").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[c for c in docs.columns if c in out.columns])
+    rows, key = with_key(docs)
+    new = fresh(rows, "_text")
+    rows = rows.join(texts.select(F.col("doc_id").alias(key), F.col("text").alias(new)), key)
+    values = {"text": F.col(new), "n_chars": F.length(new).cast("long")}
+    return rows.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
 
 
 # --- packed arrays -------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Rolling, mix
+from ._common import NULL_ID, Rolling, mix, with_key
 
 Q = 12
 EDITS = 0.05  # edits allowed per character of an item
@@ -177,5 +177,6 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    leaks = find_leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"))
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(leaks, "_key", "left_anti").drop("_key")
+    rows, key = with_key(docs)
+    leaks = find_leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key))
+    return rows.join(leaks, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

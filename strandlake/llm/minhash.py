@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Rolling, WordHashes, give_back, keyed, mix, written
+from ._common import NULL_ID, Rolling, WordHashes, give_back, keyed, mix, with_key, written
 
 BAND = 4  # signature values of a band
 SMALL = 8  # a bucket's open pairs are compared at once if they are at most so many a member
@@ -249,19 +249,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     return give_back(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "doc_id", "component_id")
 
 
-def op10(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of linked documents: the one of the smallest id.
 
     Documents without a shingle stay. Where a doc_id repeats, the row that sorts first by text, then by the
     other columns, stands for it.
     """
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"))
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    if rows.groupBy("_key").count().where("count > 1").limit(1).count():
-        others = [c for c in docs.columns if c != "text"]
-        rows = rows.groupBy("_key").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("_first"), "text", *others)).alias("_row")).select("_key", *[F.col("_row")[c].alias(c) for c in docs.columns])
-    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
+    rows, key = with_key(docs)
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key))
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():
+        others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+        first = F.min(F.struct(F.coalesce("text", F.lit("")).alias("0"), "text", *others)).alias("row")
+        rows = rows.groupBy(key).agg(first).select(key, *[F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def op10(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)

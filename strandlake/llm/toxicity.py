@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, give_back, keyed
+from ._common import NULL_ID, give_back, keyed, with_key
 
 GRAMS = (3, 4, 5)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -45,7 +45,7 @@ class Model:
         self.out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[str], toxic: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.08) -> Model:
+    def fit(self, texts: list[str], toxic: np.ndarray, steps: int = 600, batch: int = 64, rate: float = 0.08) -> Model:
         """Adam on the cross-entropy; table, softmax and bias move together."""
         vocab: dict[str, int] = {}
         docs, weights = [], []
@@ -59,7 +59,7 @@ class Model:
         del rows
         rng = np.random.default_rng(1)
         state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in ("table", "out", "bias")}
-        step = 0
+        step, epochs = 0, max(1, round(steps * batch / max(1, len(docs))))
         for epoch in range(epochs):
             order = rng.permutation(len(docs))
             lr = rate * (1 - epoch / epochs)
@@ -70,10 +70,10 @@ class Model:
                 step += 1
                 word = np.concatenate([docs[i] for i in part])
                 of = np.repeat(np.arange(len(part)), [len(docs[i]) for i in part])
-                share = np.concatenate([weights[i] for i in part])
+                part_share = np.concatenate([weights[i] for i in part])
                 n = size[word]
                 cell = flat[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                part_of, w = np.repeat(of, n), np.repeat(share / n, n)
+                part_of, w = np.repeat(of, n), np.repeat(part_share / n, n)
                 used, cell = np.unique(cell, return_inverse=True)
                 # weight of each used row in each document, as a dense matrix of this batch
                 mat = np.bincount(part_of * len(used) + cell, weights=w, minlength=len(part) * len(used)).reshape(len(part), -1).astype(np.float32)
@@ -87,6 +87,9 @@ class Model:
                     v[sel] = 0.99 * v[sel] + 0.01 * g * g
                     t = min(step, 1000)
                     getattr(self, k)[sel] -= lr * (m[sel] / (1 - 0.9**t)) / (np.sqrt(v[sel] / (1 - 0.99**t)) + 1e-7)
+        # scores as if both labels were equally common, however rare one is among the sample
+        share = np.clip(np.bincount(toxic, minlength=2) / max(1, len(toxic)), 1e-3, 1)
+        self.bias -= np.log(share).astype(np.float32)
         return self
 
     def parts(self) -> tuple[np.ndarray, float]:
@@ -163,5 +166,5 @@ def op8(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 6000) -> DataFrame:
     """docs without the rows that score at least `threshold`; rows with a null id stay if their text does."""
     scored = score_toxicity(docs, labels, sample).where(F.col("score") < threshold)
-    key = scored.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"))
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(key, "_key", "left_semi").drop("_key")
+    rows, key = with_key(docs)
+    return rows.join(scored.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -65,7 +65,7 @@ def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, ma
     return written(kept.join(rarest, "rule_id"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_urls: int = 20) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_urls: int = 20) -> DataFrame:
     """One row per row of pages: page_id, url, host, path, rule, verdict, confidence.
 
     labels (doc_id, quality): a URL whose page_id has the quality 0 is bad. Null urls and urls without ://
