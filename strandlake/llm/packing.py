@@ -210,7 +210,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = pieces.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids")
-    dealt = rest.mapInArrow(_heaviest(idf, stats.average), "key1 int, key2 int, doc_id long, start long, doc_tokens long, ids binary").repartitionByRange(parts, "key1", "key2", "doc_id")
+    # stored, as sampling the splitters and dealing out each read it
+    keyed_ = written(rest.mapInArrow(_heaviest(idf, stats.average), "key1 int, key2 int, doc_id long, start long, doc_tokens long, ids binary"))
+    dealt = keyed_.repartitionByRange(parts, "key1", "key2", "doc_id")
     packed = dealt.sortWithinPartitions("key1", "key2", "doc_id", "start", "doc_tokens", "ids").mapInArrow(_fill(idf, stats.average, window), ", ".join(f"{c} long" for c in _RESULT))
     whole = pieces.where("ids is null").select(*_RESULT[:-1], F.lit(0).cast("long").alias("offset"))
     return give_back(whole.unionByName(packed))

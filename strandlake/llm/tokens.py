@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: White space as the tokenizers see it: Python's, but for the four separators that Python adds.
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -21,7 +20,7 @@ class Encoder:
     drops_space says that the tokenizer ignores white space; otherwise a piece keeps the space before it.
     """
 
-    LIMIT = 400_000  # pieces remembered; bounds memory, not results
+    LIMIT = 300_000  # pieces of a generation, of which two are remembered; bounds memory, not results
 
     def __init__(self, path: str, drops_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -30,18 +29,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-        self.pieces = re.compile(f"{_OTHER}+" if drops_space else f"{_SPACE}*{_OTHER}+|{_SPACE}+\\Z")
+        self.drops_space = drops_space
+        self.pattern = re.compile(f"{_OTHER}+" if drops_space else f"{_SPACE}*{_OTHER}+|{_SPACE}+\\Z")
+        self.separators = re.compile(r"[\x1c-\x1f]")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        if self.drops_space and not self.separators.search(text):
+            return text.split()
+        return self.pattern.findall(text)
+
+    def _learn(self, new: set[str]) -> None:
+        known, older = self.known, self.older
+        for p in new & older.keys():
+            known[p] = older[p]
+            new.discard(p)
+        pieces = list(new)
+        ids = [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        known.update(zip(pieces, ids, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 64):
-            parts = [self.pieces.findall(t) for t in texts[at : at + 64]]
-            new = list(set().union(*parts).difference(self.known))
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known.clear()
-                new = list(set().union(*parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u2").tobytes()
+            if len(self.known) > self.LIMIT:  # only here: what a batch needs stays until it is done
+                self.known, self.older = {}, self.known
+            parts = [self.pieces(t) for t in texts[at : at + 64]]
+            new: set[str] = set()
+            for p in parts:
+                new |= set(p).difference(self.known)
+            if new:
+                self._learn(new)
             out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
         return out
