@@ -260,6 +260,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     firsts = rows.groupBy("host").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).where(f"n >= {MIN_PAGES} and page_id is not null").select("host", "page_id")
+    firsts = firsts.repartition("host", "page_id")  # else pages would meet them by host alone, which a third of them may share
     # of rows that share the reference's id any would do; the smallest html makes it one
     chosen = rows.select("host", "page_id", "html").join(firsts, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("html"))
     references = written(chosen.mapInArrow(_skeletons, "host string, reference string"))
