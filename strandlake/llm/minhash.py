@@ -4,11 +4,11 @@
    many signature values (a minimum and a maximum each); four values make a band.
 2. Documents with equal sets fall into one class; the smallest id represents it from here on.
 3. A band's bucket proposes links. A centre is held against all members (as many pairs as members); where
-   several components are left in a bucket other centres follow, then all pairs across its components. Only
-   a bucket where those are very many is split first, by further bands of which two members must share one,
-   and so on; the last level compares all that is left, so no bucket is cut short. A pair of similarity 0.8
-   is missed with a chance of about 3 in a million. Sketches (a byte of each signature
-   value) rule out pairs that are far from similar before any text moves.
+   several components are left in a bucket other centres follow, then all pairs across its components. Where
+   those are very many, members travel in blocks and pairs are made inside a task, so no bucket is split or
+   cut short: each pair that shares a band is compared, whatever the bucket's size. A pair of similarity 0.8
+   shares none with a chance of about 3 in a million. Sketches (a byte of each signature value) rule out
+   pairs that are far from similar before any text moves.
 4. Every link is confirmed on the full shingle sets; connected components follow by label propagation.
 """
 
@@ -26,8 +26,7 @@ from ._common import NULL_ID, Rolling, WordHashes, give_back, keyed, mix, with_k
 BAND = 4  # signature values of a band
 SMALL = 8  # a bucket's open pairs are compared at once if they are at most so many a member
 STARS = 1  # more centres that a bucket with several components tries
-LEVELS = 3
-SPLITS = 8  # further bands that split a large open bucket: a similar pair shares one of them but for 15 in 1000, and has about ten buckets
+BLOCK = 512  # members of a large open bucket that travel as one row
 CENTRES = 4  # orders from which buckets choose further centres
 SALTS = 16  # parts in which a centre's partners are dealt out
 
@@ -136,16 +135,52 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _likely(most_percent: int):
-    """Pairs whose sketches agree as often as a pair that is similar enough does (six standard deviations of room)."""
-    share = most_percent / 100
+def _agreeing(percent: int, size: int) -> float:
+    """So many of a sketch's bytes agree at least where a pair is similar enough (six standard deviations of room)."""
+    share = percent / 100
+    return (share - 6 * np.sqrt(share * (1 - share) / max(1, size))) * size
+
+
+def _likely(percent: int):
+    """Pairs whose sketches agree as often as a pair that is similar enough does."""
 
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
             same = (a == b).sum(1) if len(a) else np.zeros(0)
-            room = 6 * np.sqrt(share * (1 - share) / max(1, a.shape[1]))
-            yield batch.select(["a", "b"]).filter(pa.array(same >= (share - room) * a.shape[1]))
+            yield batch.select(["a", "b"]).filter(pa.array(same >= _agreeing(percent, a.shape[1])))
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Pairs (a, b) across components whose sizes and sketches allow a link. Rows come sorted: a salt's held blocks, then all of its bucket."""
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, salt, own, main, block = (batch.column(c)[i].as_py() for c in ("key", "salt", "held", "main", "block"))
+                rows = batch.column("members")[i].values
+                ids, sizes, labels = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label"))
+                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+                if at != (key, salt):
+                    at, held = (key, salt), []
+                if own:
+                    held.append((block, ids, sizes, labels, sketches))
+                    continue
+                a, b = [], []
+                for number, h_ids, h_sizes, h_labels, h_sketches in held:
+                    if not main and number > block:
+                        continue  # the other way round they meet elsewhere
+                    for j in range(len(h_ids)):
+                        first = j + 1 if not main and number == block else 0
+                        near = first + np.flatnonzero((labels[first:] != h_labels[j]) & (100 * np.minimum(sizes[first:], h_sizes[j]) >= percent * np.maximum(sizes[first:], h_sizes[j])))
+                        near = near[(sketches[near] == h_sketches[j]).sum(1) >= _agreeing(percent, sketches.shape[1])]
+                        a.append(np.minimum(ids[near], h_ids[j]))
+                        b.append(np.maximum(ids[near], h_ids[j]))
+                if a:
+                    yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return run
 
@@ -187,14 +222,14 @@ class _Search:
         self.hold(met.select(F.col("c.id").alias("a"), F.col("id").alias("b")))
 
     def open_(self, members: DataFrame) -> DataFrame:
-        """(key, id, n, label, major, few) of buckets with members of several components.
+        """(key, id, n, label, major, most, size, few) of buckets with members of several components.
 
-        major: the component with most members; few: whether pairs across components are at most SMALL a member.
+        major: the component with most members, so many as `most`; few: whether pairs across components are at most SMALL a member.
         """
         named = self.named(members)
         sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        stats = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("square"), F.max_by("label", F.struct("c", "label")).alias("major")).where("kinds > 1")
-        return written(named.join(stats, "key").select("key", "id", "n", "label", "major", F.expr(f"(size * size - square) div 2 <= {SMALL} * size").alias("few")))
+        stats = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("square"), F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most")).where("kinds > 1")
+        return written(named.join(stats, "key").select("key", "id", "n", "label", "major", "most", "size", F.expr(f"(size * size - square) div 2 <= {SMALL} * size").alias("few")))
 
     def rest(self, open_: DataFrame) -> None:
         """Holds all pairs across components against each other."""
@@ -205,6 +240,24 @@ class _Search:
             pairs = pairs.join(self.sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
         self.hold(pairs.mapInArrow(_likely(self.percent), "a long, b long"))
 
+    def blocks(self, open_: DataFrame) -> None:
+        """As `rest`, for buckets of any size.
+
+        Members of the largest component, which needn't meet each other, have blocks of their own. The other
+        blocks are dealt out to as many salts as the root of their number; each salt meets its whole bucket.
+        """
+        main = F.col("label") == F.col("major")
+        members = open_.select("key", "id", "n", "label", main.alias("main"), F.expr("if(label = major, most, size - most)").alias("many"), (F.col("size") - F.col("most")).alias("others"))
+        members = members.join(self.sketches, "id")
+        count = lambda c: F.ceil(F.col(c) / BLOCK)
+        blocks = members.groupBy("key", "main", F.pmod(F.xxhash64("id"), count("many")).alias("block"), F.ceil(F.sqrt(count("others"))).alias("salts"))
+        blocks = written(blocks.agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("members")))
+        rest = ["main", "block", "members"]
+        held = blocks.where("not main").select("key", F.pmod("block", "salts").alias("salt"), F.lit(True).alias("held"), *rest)
+        met = blocks.select("key", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(False).alias("held"), *rest)
+        rows = held.unionByName(met).repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt")
+        self.hold(written(rows.sortWithinPartitions("key", "salt", F.desc("held")).mapInArrow(_block_pairs(self.percent), "a long, b long").distinct()))
+
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 50) -> DataFrame:
     """One row per doc_id: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
@@ -221,27 +274,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     members = _shared(bands)
     ids = members.select("id").distinct()
     texts = written(docs.withColumnRenamed("doc_id", "id").join(ids, "id"))
-    sketches = written(alone.join(ids, "id").select("id", "bands", "sketch"))
+    sketches = written(alone.join(ids, "id").select("id", "sketch"))
     search = _Search(texts, sketches, width, percent)
     search.star(members)  # one centre for all the buckets of a group
-    for level in range(LEVELS):
-        for turn in range(STARS):
-            members = search.open_(members)
-            if not members.limit(1).count():
-                break
-            search.star(members, F.pmod("key", F.lit(CENTRES)), F.lit(turn))
+    for turn in range(STARS):
         members = search.open_(members)
-        last = level + 1 == LEVELS
-        now = members if last else members.where("few")
-        if now.limit(1).count():
-            search.rest(now)
-        deep = members.where("not few")
-        if last or not deep.limit(1).count():
+        if not members.limit(1).count():
             break
-        deep = deep.select("key", "id", "n").join(sketches.select("id", "bands"), "id")
-        some = F.expr(f"transform(sequence(1, {SPLITS}), i -> bands[int(pmod(pmod(key, size(bands)) + i, size(bands)))])")
-        deep = deep.select("key", "id", "n", F.explode(some).alias("band")).where("band <> key")
-        members = _shared(deep.select(F.xxhash64("key", "band", F.lit(level)).alias("key"), "id", "n").distinct())
+        search.star(members, F.pmod("key", F.lit(CENTRES)), F.lit(turn))
+    members = search.open_(members)
+    if members.where("few").limit(1).count():
+        search.rest(members.where("few"))
+    if members.where("not few").limit(1).count():
+        members = search.open_(members.where("not few"))
+        search.blocks(members)
     labels = search.labels
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

@@ -138,6 +138,29 @@ def test_near_duplicates_against_brute_force(docs, monkeypatch, small, stars):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_large_bucket_of_pairs_that_share_no_other_band(spark, monkeypatch, block):
+    real = minhash._signatures
+
+    def one_band(width, permutations):
+        run = real(width, permutations)
+
+        def lone(batches):
+            import pyarrow as pa
+
+            for batch in run(batches):
+                bands = [[7] + [-(100 * i + k + 1) for k in range(24)] for i in batch.column(0).to_pylist()]
+                yield batch.set_column(3, "bands", pa.array(bands, pa.list_(pa.int64())))
+
+        return lone
+
+    monkeypatch.setattr(minhash, "_signatures", one_band)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(60 + j))) for i in range(20) for j in (0, 1)]
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     got = {r.node: r.label for r in minhash.components(links).collect()}
