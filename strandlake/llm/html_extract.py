@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ._common import written
 from .url_rules import host_of
 
-MIN_PAGES = 4  # aligned pages of a host before its template counts
+MIN_PAGES = 4  # aligned different pages of a host before its template counts
 CONSTANT = 0.9  # share of them on which a template node has the same text
+COMMON = 0.5  # share of all different pages of the host on which it has that text
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -213,15 +214,15 @@ def _skeletons(batches):
 
 
 def _votes(batches):
-    """For each host and node of its reference: pages that have the node, and those with the same text."""
+    """For each host and node of its reference: skeletons that have the node, and those with the same text."""
     for batch in batches:
         seen: dict[tuple[str, int], list[int]] = {}
         last = ref = None
-        for host, text, html in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "html")), strict=True):
+        for host, text, page in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "page")), strict=True):
             if text != last:
                 last, ref = text, json.loads(text)
                 ref_hashes = _hashes(ref)
-            own = skeleton(Tree.of(html))
+            own = json.loads(page)
             hashes = _hashes(own)
             for a, b in match(ref, own)[1]:
                 if ref_hashes[a]:
@@ -256,7 +257,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks in page order, joined by two line feeds; white space inside a block becomes one space; character
     references are decoded. Null or empty html gives an empty text. Pages without a host are one host of
-    their own. A repeated row is judged once more; it counts as one more page of its host.
+    their own. A repeated row is judged once more. Pages whose skeletons and texts are equal have one vote
+    on their host's template; blank pages have none.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     firsts = rows.groupBy("host").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).where(f"n >= {MIN_PAGES} and page_id is not null").select("host", "page_id")
@@ -264,8 +266,11 @@ def extract(pages: DataFrame) -> DataFrame:
     # of rows that share the reference's id any would do; the smallest html makes it one
     chosen = rows.select("host", "page_id", "html").join(firsts, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("html"))
     references = written(chosen.mapInArrow(_skeletons, "host string, reference string"))
-    votes = rows.select("host", "html").join(references, "host").mapInArrow(_votes, "host string, node int, pages long, same long").groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = votes.where(f"pages >= {MIN_PAGES} and same >= {CONSTANT} * pages").groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # at most a skeleton's nodes
+    pages_of = rows.where("trim(html) <> ''").join(references.select("host"), "host", "left_semi").select("host", "html")
+    different = written(pages_of.mapInArrow(_skeletons, "host string, reference string").withColumnRenamed("reference", "page").distinct())
+    total = different.groupBy("host").agg(F.count("*").alias("total"))
+    votes = different.join(references, "host").mapInArrow(_votes, "host string, node int, pages long, same long").groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    constant = votes.join(total, "host").where(f"pages >= {MIN_PAGES} and same >= {CONSTANT} * pages and same >= {COMMON} * total").groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # at most a skeleton's nodes
     wrappers = written(references.join(constant, "host"))
     return rows.join(wrappers, "host", "left").mapInArrow(_extract, "page_id long, url string, text string")
 

@@ -326,6 +326,19 @@ def test_wrapper_drops_what_is_constant_on_a_host(spark):
     assert got == {**{k: f"Title {k}\n\nStory {k} <b>" for k in range(8)}, 20: "Title 20\n\nStory 20 <b>\n\nFollow us daily", 21: "", 22: ""}
 
 
+def test_copies_of_a_page_are_one_vote(spark):
+    page = "<body><div class=top>Welcome</div><article><h1>Title {0}</h1><p>Story {0}</p>{1}</article>"
+    quote = "<blockquote>Said once</blockquote>"
+    rows = [(k, f"http://copies.example/{k}", page.format(1, "")) for k in range(9)]
+    rows += [(10 + k, f"http://quote.example/{k}", page.format(1, quote)) for k in range(5)] + [(20 + k, f"http://quote.example/{k}", page.format(k, "")) for k in range(12)]
+    # different pages that share a quote, on a host where few pages have one
+    rows += [(50 + k, f"http://few.example/{k}", page.format(k, quote if k < 4 else "")) for k in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].endswith("Title 1\n\nStory 1") for k in range(9))
+    assert all(got[10 + k] == "Title 1\n\nStory 1\n\nSaid once" for k in range(5))
+    assert all(got[50 + k].endswith("Said once") == (k < 4) for k in range(20))
+
+
 def test_extraction_over_the_given_pages(spark):
     got = {r.page_id: r.text for r in html_extract.op7(spark, DIR).collect()}
     for r in spark.read.parquet(f"{DIR}/pages.parquet").collect():
