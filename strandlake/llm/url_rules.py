@@ -46,7 +46,7 @@ def fitting_rule(host: str, path: str, rules=RULES) -> Column:
     return F.expr(f"array_max({fits})") if rules else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
-def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 3) -> DataFrame:
+def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """(rule_id, key, tokens, confidence, support) of the rules tokens -> bad label.
 
     baskets: (tokens, bad). `key` is the rule's token that fewest labelled URLs have. A rule is left out if a
@@ -54,10 +54,10 @@ def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, ma
     """
     items = baskets.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.expr(f"size(consequent) = 1 and consequent[0] = '{BAD}' and size(antecedent) <= {max_tokens}"))
+    found = model.associationRules.where(F.expr(f"size(consequent) = 1 and consequent[0] = '{BAD}'"))
     found = written(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")))
     few = found.select(F.col("rule_id").alias("few_id"), F.col("tokens").alias("few"), F.col("confidence").alias("few_confidence"))
-    shared = found.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(few.withColumn("token", F.explode("few")), "token")
+    shared = found.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(few.withColumn("token", F.col("few")[0]), "token")
     weak = shared.where("few_id <> rule_id and size(array_except(few, tokens)) = 0 and few_confidence >= confidence").select("rule_id").distinct()
     kept = found.join(weak, "rule_id", "left_anti")
     counts = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")

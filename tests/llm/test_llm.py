@@ -314,6 +314,14 @@ def test_given_rules_and_mined_rules(spark):
     assert url_rules.judge_urls(pages, labels.limit(0)).count() == len(urls)
 
 
+def test_rule_of_four_tokens(spark):
+    words = ("alpha", "beta", "gamma", "delta")
+    urls = [f"http://x.info/{'/'.join(words)}/{k}" for k in range(40)] + [f"http://x.info/{'/'.join(w for w in words if w != out)}/{k}" for out in words for k in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 40 else 1) for i in range(len(urls))], "doc_id long, quality int")
+    assert all((r.verdict == "block") == (r.page_id < 40) for r in url_rules.judge_urls(pages, labels).collect())
+
+
 def test_main_text_of_odd_markup():
     page = '<body><header>H</header><div id="cookie-notice">c</div><main><article><header><h1>T &amp; x</h1></header><p>A<b>b</b> c<br>d<p>E <!-- no --><ul><li>1<li>2</ul><aside>no</aside><form>f</form><section class="comments"><p>bad</section></article></main><footer>x'
     assert html_extract.main_text(html_extract.Tree.of(page), set()) == "T & x\n\nAb c d\n\nE\n\n1\n\n2"
