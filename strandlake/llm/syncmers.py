@@ -2,9 +2,8 @@
 
 A k-mer is a run of K words; its inner substrings are the runs of S words within it. It is a closed syncmer
 if the one with the smallest hash is its first or its last: that depends on the k-mer alone, so equal
-passages choose equal anchors whatever stands around them. A fingerprint keeps the SIZE syncmers with the
-smallest hashes (all of them if there are fewer); two fingerprints give an estimate of the Jaccard
-similarity of all syncmers of their texts.
+passages choose equal anchors whatever stands around them. A fingerprint holds the hashes of all syncmers of
+a text; two fingerprints give the Jaccard similarity of these sets. Places are not compared.
 """
 
 from __future__ import annotations
@@ -14,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ._common import give_back, keyed, written
 
-K, S, SIZE = 5, 2, 64
+K, S = 5, 2
 
 
 def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`: array of struct(hash, pos), the closed syncmers of a text column in order of place.
 
-    pos counts words. A text of fewer than K words has one syncmer, all of it; null, empty and blank texts
-    have none.
+    pos counts words. A text of fewer than K words, or without a closed syncmer, has one, all of it; null,
+    empty and blank texts have none.
     """
     w, g, p = f"_w_{out}", f"_g_{out}", f"_p_{out}"
     df = df.withColumn(w, F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), ""), lambda word: F.xxhash64(word)))
@@ -34,29 +33,28 @@ def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
     many = F.expr(f"transform(`{p}`, i -> named_struct('hash', xxhash64({kmer}), 'pos', i))")
     one = F.array(F.struct(F.xxhash64(w).alias("hash"), F.lit(0).alias("pos")))
     none = F.array().cast("array<struct<hash: bigint, pos: int>>")
-    return df.withColumn(out, F.when(F.size(w) >= K, many).when(F.size(w) > 0, one).otherwise(none)).drop(w, g, p)
+    return df.withColumn(out, F.when((F.size(w) >= K) & (F.size(p) > 0), many).when(F.size(w) > 0, one).otherwise(none)).drop(w, g, p)
 
 
-def smallest(syncmers: str, size: int = SIZE) -> Column:
-    """The fingerprint: the smallest distinct hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.col(syncmers)["hash"])), 1, size)
+def distinct(syncmers: str) -> Column:
+    """The fingerprint: all distinct hashes, ascending."""
+    return F.sort_array(F.array_distinct(F.col(syncmers)["hash"]))
 
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Share of the smallest hashes of both together that are in both; 1 for two empty fingerprints."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the hashes of both together that are in both; 1 for two empty fingerprints."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
 def as_text(fingerprint: str) -> Column:
     return F.concat_ws(".", F.transform(fingerprint, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")))
 
 
-def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, syncmers, fingerprint as an array of hashes) of every document; see `keyed` for ids."""
     df = with_syncmers(keyed(docs), "text", "syncmers")
-    return give_back(df.select("doc_id", F.length("text").cast("long").alias("n_chars"), "syncmers", smallest("syncmers", size).alias("fingerprint")))
+    return give_back(df.select("doc_id", F.length("text").cast("long").alias("n_chars"), "syncmers", distinct("syncmers").alias("fingerprint")))
 
 
 def _before(docs: DataFrame) -> DataFrame:
@@ -78,7 +76,7 @@ def _before(docs: DataFrame) -> DataFrame:
     return prev.select("doc_id", F.col("prev.doc_id").alias("prev_id"), F.col("prev.n").alias("prev_n"))
 
 
-def compare_edited(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     The edited text has its last quarter (floor of the code points) replaced by as many code points from the
@@ -88,12 +86,12 @@ def compare_edited(docs: DataFrame, size: int = SIZE) -> DataFrame:
     docs = keyed(docs)
     # each document sends its head and its fingerprint to the one before it
     sent = with_syncmers(docs.join(_before(docs), "doc_id"), "text", "syncmers")
-    sent = sent.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, int(prev_n div 4))").alias("head"), smallest("syncmers", size).alias("next_fp"))
+    sent = sent.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, int(prev_n div 4))").alias("head"), distinct("syncmers").alias("next_fp"))
     df = docs.join(sent, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
     df = df.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), head)"))
     df = with_syncmers(with_syncmers(df, "text", "own"), "edited", "other")
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), smallest("own", size).alias("fp"), smallest("other", size).alias("edited_fp"), "next_fp")
-    return give_back(df.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp"), size).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), size).alias("near_next")))
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), distinct("own").alias("fp"), distinct("other").alias("edited_fp"), "next_fp")
+    return give_back(df.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next")))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

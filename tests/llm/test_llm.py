@@ -296,6 +296,13 @@ def test_syncmers_are_closed_and_context_free(spark):
     assert len(got[3].fingerprint) == 1 and got[4].fingerprint == []
 
 
+def test_fingerprints_hold_every_syncmer(spark):
+    rows = [(i, " ".join(f"a{i}b{k}" for k in range(5))) for i in range(40)] + [(99, " ".join(f"w{k}" for k in range(2000)))]
+    got = by_id(syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len({tuple(got[i].fingerprint) for i in range(40)}) == 40 and all(len(got[i].fingerprint) == 1 for i in range(40))
+    assert set(got[99].fingerprint) == {s.hash for s in got[99].syncmers} and len(got[99].fingerprint) > 500
+
+
 # --- op2, op7, op8 -------------------------------------------------------------------------------
 
 
