@@ -49,16 +49,39 @@ def buckets(spark: SparkSession, factor: int = 2) -> int:
     return max(8, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with one row per doc_id.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """(docs with one more column, its name, whether it differs from doc_id): a key that tells rows apart and sorts as doc_id does.
 
-    Null text counts as empty, a null doc_id as one more id. Where a doc_id repeats, its rows are one
-    document; its smallest text stands. Other columns are left behind, whatever their names.
+    doc_id itself where it is unique and never null. Otherwise rows are numbered in the order of doc_id
+    (null first), then text: rows that share an id are documents of their own.
     """
-    two = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if two.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        return two
-    return two.groupBy("doc_id").agg(F.min("text").alias("text"))
+    key, rows = fresh(docs, "_key"), docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if not rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key, False
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # written, as the numbers depend on how the rows were dealt out
+    return written(ordered.withColumn(key, F.monotonically_increasing_id())), key, True
+
+
+def by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with `numbered`'s key as doc_id and null texts as empty ones; and (key, name), if they differ.
+
+    Other columns are left behind, whatever their names. `with_ids` gives the ids back.
+    """
+    rows, key, differs = numbered(docs.select("doc_id", "text"))
+    ids = rows.select(F.col(key).alias("key"), F.col("doc_id").alias("name")) if differs else None
+    return rows.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ids
+
+
+def with_ids(df: DataFrame, ids: DataFrame | None, *names: str) -> DataFrame:
+    """df with the ids that keys stand for in the columns `names` (doc_id, if none is given)."""
+    columns = df.columns
+    for n in (names or ("doc_id",)) if ids is not None else ():
+        df = df.withColumnRenamed(n, "key").join(ids, "key").drop("key").withColumnRenamed("name", n)
+    return df.select(*columns)
+
+
 
 
 def give_back(df: DataFrame, *names: str) -> DataFrame:
@@ -73,21 +96,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with one more column: doc_id with the stand-in for null."""
-    key = fresh(docs, "_key")
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), key
-
-
-def with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs' columns in their order, with the texts (and n_chars) of `texts` (doc_id, text), which has every doc_id."""
-    rows, key = with_key(docs)
-    new = fresh(rows, "_text")
-    rows = rows.join(texts.select(F.col("doc_id").alias(key), F.col("text").alias(new)), key)
-    values = {"text": F.col(new), "n_chars": F.length(new).cast("long")}
-    return rows.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
-
-
 # --- packed arrays -------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Rolling, mix, with_key
+from ._common import Rolling, mix
 
 Q = 12
 EDITS = 0.05  # edits allowed per character of an item
@@ -41,37 +41,46 @@ def _hashes(text: str, roll: Rolling) -> np.ndarray:
 
 
 def align(item: str, text: str, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of item in text with at most `most` edits; rows of a banded table."""
+    """(edits, start, end) of the best place of item in text with at most `most` edits.
+
+    A row of the table holds only the diagonals that such a place can use: `most` to either side of those on
+    which the item fits into the text.
+    """
     at = text.find(item)
     if at >= 0:
         return 0, at, at + len(item)
     a, b = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (item, text))
-    n = len(b)
-    steps = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, np.int64), steps.copy()
-    big = len(a) + n + 1
+    m, n = len(a), len(b)
+    width = n - m + 2 * most + 1
+    if width <= 0:
+        return None
+    never, big = 1 << 30, m + n + 2
+    steps = np.arange(width)
+    place = steps - most  # in the text, of each diagonal's cell in the row before the item's first character
+    chars = np.full(m + width + most, -1, np.int64)
+    chars[most : most + n] = b
+    cost, begin = np.where((place >= 0) & (place <= n), 0, never), place.copy()
     for i, c in enumerate(a.tolist()):
-        diagonal = cost[:-1] + (b != c)
-        up = cost + 1
-        best = up.copy()
-        begin2 = begin.copy()
-        less = diagonal < best[1:]
-        best[1:][less] = diagonal[less]
-        begin2[1:][less] = begin[:-1][less]
-        # insertions from the left: running minimum along the row
+        best, begin2 = cost + (chars[i : i + width] != c), begin.copy()
+        less = cost[1:] + 1 < best[:-1]  # the character is missing in the text: from the diagonal to the right
+        best[:-1][less] = cost[1:][less] + 1
+        begin2[:-1][less] = begin[1:][less]
+        best[place + i + 1 > n] = never
+        # more characters in the text: running minimum along the row
         key = (best - steps) * big + steps
         from_ = np.minimum.accumulate(key) % big
-        cost, begin = best[from_] + steps - from_, begin2[from_]
+        cost, begin = np.minimum(best[from_] + steps - from_, never), begin2[from_]
+        cost[place + i + 1 > n] = never
         if cost.min() > most:
             return None
     end = int(np.argmin(cost))
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= most else None
+    return int(cost[end]), int(begin[end]), int(place[end]) + m
 
 
 class Index:
     """q-grams of the benchmark items: hash -> (item, place)."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         roll = Rolling()
         self.items = [(i, t) for i, t in ((i, plain(t)) for i, t in items) if len(t) >= Q]
         found = [_hashes(t, roll) for _, t in self.items]
@@ -111,14 +120,17 @@ class Index:
     def matches(self, text: str, roll: Rolling) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) in the plain text, each place once."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, cost, s, end in self.verified(text, roll):
+            best[i, end] = min(best.get((i, end), (cost, s)), (cost, s))
+        return [(self.items[i][0], s, end, cost) for (i, end), (cost, s) in sorted(best.items())]
+
+    def verified(self, text: str, roll: Rolling):
+        """(item, edits, start, end) of the regions that hold their item."""
         for i, low, high in self.regions(text, roll):
-            name, item = self.items[i]
-            e = int(self.edits[i])
+            item, e = self.items[i][1], int(self.edits[i])
             a, b = max(0, low - e), min(len(text), high + len(item) + e)
             if found := align(item, text[a:b], e):
-                cost, s, t = found
-                best[name, a + t] = min(best.get((name, a + t), (cost, a + s)), (cost, a + s))
-        return sorted((name, s, end, cost) for (name, end), (cost, s) in best.items())
+                yield i, found[0], a + found[1], a + found[2]
 
 
 def _firsts(inverse: np.ndarray, n: int) -> np.ndarray:
@@ -152,23 +164,31 @@ def _search(index: Index):
     return run
 
 
+def indexes(benchmark: DataFrame):
+    """The benchmark's items in as many indexes as bounded parts are needed; each is one pass over the documents."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    passes = -(-int(size) // BLOCK_CHARS) or 1
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow()
+        yield Index(list(zip(*(part.column(c).to_pylist() for c in ("item_id", "text")), strict=True)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per place where a benchmark item occurs in a document: doc_id, item_id, start, end, edits.
 
     start and end are code points of the text, widened to whole words. Rows are judged one by one: a
-    repeated row repeats its matches, a null id is given back as null. Null texts are empty. Items of fewer
-    than q plain characters, and null items, match nothing; items repeated under other ids match under each.
+    repeated row repeats its matches, a null id is given back as null. Null texts are empty, texts of any
+    length are searched whole; of places that end alike the one of fewest edits, then the earliest start,
+    stands. Items of fewer than q plain characters, and null items, match nothing; items repeated under other
+    ids match under each. An empty table on either side gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    passes, out = -(-int(size) // BLOCK_CHARS) or 1, None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).toPandas()
-        index = Index(sorted(zip((int(i) if i == i and i is not None else NULL_ID for i in part["item_id"]), part["text"], strict=True)))
+    out = None
+    for index in indexes(benchmark):
         found = docs.mapInArrow(_search(index), "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.unionByName(found)
-    return out.withColumn("item_id", F.when(F.col("item_id") != NULL_ID, F.col("item_id")))
+    return out
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -176,7 +196,20 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    rows, key = with_key(docs)
-    leaks = find_leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key))
-    return rows.join(leaks, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows whose text holds a benchmark item; all columns pass through as they are.
+
+    Rows are judged by their own text, whatever their ids; see `find_leaks` for odd rows.
+    """
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def clean(index: Index):
+        def run(batches):
+            roll = Rolling()
+            for batch in batches:
+                yield batch.filter(pa.array([next(index.verified(plain(t or ""), roll), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    for index in indexes(benchmark):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs

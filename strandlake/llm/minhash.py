@@ -3,13 +3,14 @@
 1. Each document's set of word shingles gives a digest and, from `permutations` hash functions, twice as
    many signature values (a minimum and a maximum each); four values make a band.
 2. Documents with equal sets fall into one class; the smallest id represents it from here on.
-3. A band's bucket proposes links. A centre is held against all members (as many pairs as members); where
-   several components are left in a bucket other centres follow, then all pairs across its components. Where
-   those are very many, members travel in blocks and pairs are made inside a task, so no bucket is split or
-   cut short: each pair that shares a band is compared, whatever the bucket's size. A pair of similarity 0.8
-   shares none with a chance of about 3 in a million. Sketches (a byte of each signature value) rule out
-   pairs that are far from similar before any text moves.
-4. Every link is confirmed on the full shingle sets; connected components follow by label propagation.
+3. A band's bucket proposes links. A centre is held against all members (as many pairs as members), then one
+   more of several; that joins most of what belongs together.
+4. Of buckets that still hold several components, the members outside the largest are held, in blocks, against
+   all members: a block's inverted index of shingles gives the exact intersections with a text that streams
+   by, so links are found inside a task and only those that join something leave it. No bucket is split or
+   cut short: each pair that shares a band is compared or already joined, whatever the bucket's size. A pair
+   of similarity 0.8 shares no band with a chance of about 3 in a million.
+5. Every link is judged on the full shingle sets; connected components follow by label propagation.
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, Rolling, WordHashes, give_back, keyed, mix, with_key, written
+from ._common import Rolling, WordHashes, by_row, mix, numbered, with_ids, written
 
-BAND = 4  # signature values of a band
-SMALL = 8  # a bucket's open pairs are compared at once if they are at most so many a member
-STARS = 1  # more centres that a bucket with several components tries
-BLOCK = 512  # members of a large open bucket that travel as one row
-CENTRES = 4  # orders from which buckets choose further centres
+STARS = 1  # rounds with more centres after the first
+CENTRES = 4  # orders from which buckets choose the further centres
 SALTS = 16  # parts in which a centre's partners are dealt out
+BLOCK = 512  # members of an inverted index
 
 
 class Shingles:
@@ -64,25 +63,23 @@ def _signatures(width: int, permutations: int):
     def run(batches):
         shingles, (scale, shift) = Shingles(width), _constants(permutations)
         for batch in batches:
-            ids, sizes, digests, bands, sketches = batch.column(0), [], [], [], []
+            ids, sizes, digests, bands = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles.of(text)
                 sizes.append(len(s))
                 if not len(s):
                     digests.append(None)
                     bands.append([])
-                    sketches.append(None)
                     continue
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 low, high = min_max(s, scale, shift)
-                sketches.append(np.concatenate([low, high]).astype(np.uint8).tobytes())  # the lowest byte of each
                 # a band takes two minima and, of other permutations, two maxima
                 rows = np.stack([low[0::2], low[1::2], np.roll(high[0::2], 1), np.roll(high[1::2], 1)])
                 key = np.arange(1, rows.shape[1] + 1, dtype=np.uint64)
                 for r in rows:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + r)
                 bands.append(key.view(np.int64))
-            yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
     return run
 
@@ -135,52 +132,72 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _agreeing(percent: int, size: int) -> float:
-    """So many of a sketch's bytes agree at least where a pair is similar enough (six standard deviations of room)."""
-    share = percent / 100
-    return (share - 6 * np.sqrt(share * (1 - share) / max(1, size))) * size
+class _Forest(dict):
+    """Which components a task has joined: label -> label nearer to the root."""
 
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
 
-def _likely(percent: int):
-    """Pairs whose sketches agree as often as a pair that is similar enough does."""
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
 
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            same = (a == b).sum(1) if len(a) else np.zeros(0)
-            yield batch.select(["a", "b"]).filter(pa.array(same >= _agreeing(percent, a.shape[1])))
 
-    return run
+class _Index:
+    """An inverted index of the shingle sets of some members of a bucket."""
 
+    def __init__(self, members: list[tuple]) -> None:
+        self.ids, self.labels, self.sizes, self.bands = ([m[i] for m in members] for i in range(4))
+        self.sizes, self.bands = np.array(self.sizes), np.array(self.bands)
+        values, self.member = np.concatenate([m[4] for m in members]), np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.member = self.member[order]
+        self.values, self.first, self.many = np.unique(values[order], return_index=True, return_counts=True)
 
-def _block_pairs(percent: int):
-    """Pairs (a, b) across components whose sizes and sketches allow a link. Rows come sorted: a salt's held blocks, then all of its bucket."""
+    def common(self, values: np.ndarray) -> np.ndarray:
+        """Shingles that a set shares with each member."""
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        at = at[self.values[at] == values]
+        n = self.many[at]
+        slots = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.member[slots], minlength=len(self.ids))
+
+
+def _block_links(width: int, percent: int):
+    """Links (a, b) that join components. Rows come sorted: a salt's held members by block, then all of its bucket."""
 
     def run(batches):
-        at, held = None, []
+        shingles, at, held, indexes, joined = Shingles(width), None, [], [], _Forest()
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, salt, own, main, block = (batch.column(c)[i].as_py() for c in ("key", "salt", "held", "main", "block"))
-                rows = batch.column("members")[i].values
-                ids, sizes, labels = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label"))
-                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+            a, b = [], []
+            columns = [batch.column(c).to_pylist() for c in ("key", "salt", "held", "id", "label", "bands", "text")]
+            for key, salt, own, id_, label, bands, text in zip(*columns, strict=True):
                 if at != (key, salt):
-                    at, held = (key, salt), []
+                    at, held, indexes, joined = (key, salt), [], [], _Forest()
+                values = shingles.of(text)
                 if own:
-                    held.append((block, ids, sizes, labels, sketches))
+                    held.append((id_, label, len(values), bands, values))
+                    if len(held) == BLOCK:
+                        indexes.append(_Index(held))
+                        held = []
                     continue
-                a, b = [], []
-                for number, h_ids, h_sizes, h_labels, h_sketches in held:
-                    if not main and number > block:
-                        continue  # the other way round they meet elsewhere
-                    for j in range(len(h_ids)):
-                        first = j + 1 if not main and number == block else 0
-                        near = first + np.flatnonzero((labels[first:] != h_labels[j]) & (100 * np.minimum(sizes[first:], h_sizes[j]) >= percent * np.maximum(sizes[first:], h_sizes[j])))
-                        near = near[(sketches[near] == h_sketches[j]).sum(1) >= _agreeing(percent, sketches.shape[1])]
-                        a.append(np.minimum(ids[near], h_ids[j]))
-                        b.append(np.maximum(ids[near], h_ids[j]))
-                if a:
-                    yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+                if held:
+                    indexes.append(_Index(held))
+                    held = []
+                for index in indexes:
+                    both = index.common(values)
+                    near = np.flatnonzero(100 * both >= percent * (index.sizes + len(values) - both))
+                    if len(near):  # a pair is judged in the first bucket that it shares
+                        same = index.bands[near] == np.array(bands)
+                        near = near[np.array(bands)[same.argmax(1)] == key]
+                    for j in near.tolist():
+                        if joined.join(index.labels[j], label):
+                            a.append(min(id_, index.ids[j]))
+                            b.append(max(id_, index.ids[j]))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -193,8 +210,8 @@ def _shared(members: DataFrame) -> DataFrame:
 class _Search:
     """Links among the members (key, id, n) of buckets, found in rounds."""
 
-    def __init__(self, texts: DataFrame, sketches: DataFrame, width: int, percent: int) -> None:
-        self.texts, self.sketches, self.width, self.percent = texts, sketches, width, percent
+    def __init__(self, texts: DataFrame, width: int, percent: int) -> None:
+        self.texts, self.width, self.percent = texts, width, percent
         self.labels: DataFrame | None = None
         # else the sizes alone rule a link out
         self.alike = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
@@ -205,9 +222,8 @@ class _Search:
             return members.withColumn("label", F.col("id"))
         return members.join(self.labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    def hold(self, pairs: DataFrame) -> None:
-        """Confirms the pairs (a, b) and joins the components that they link."""
-        links = confirmed(pairs, self.texts, self.width, self.percent)
+    def join(self, links: DataFrame) -> None:
+        """Joins the components that the links connect."""
         if self.labels is not None:
             if not links.limit(1).count():
                 return
@@ -219,94 +235,74 @@ class _Search:
         members = self.named(members)
         centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", *seed).alias("h"), "id", "n", "label")).alias("c"))
         met = members.join(centre, "key").where("label <> c.label").withColumn("m", F.col("c.n")).where(self.alike)
-        self.hold(met.select(F.col("c.id").alias("a"), F.col("id").alias("b")))
+        pairs = met.select(F.col("c.id").alias("a"), F.col("id").alias("b"))
+        self.join(confirmed(pairs, self.texts, self.width, self.percent))
 
     def open_(self, members: DataFrame) -> DataFrame:
-        """(key, id, n, label, major, most, size, few) of buckets with members of several components.
+        """(key, id, n, label, major, others) of buckets with members of several components.
 
-        major: the component with most members, so many as `most`; few: whether pairs across components are at most SMALL a member.
+        major: the component with most members; others: the number of members outside of it.
         """
         named = self.named(members)
         sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        stats = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("square"), F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most")).where("kinds > 1")
-        return written(named.join(stats, "key").select("key", "id", "n", "label", "major", "most", "size", F.expr(f"(size * size - square) div 2 <= {SMALL} * size").alias("few")))
-
-    def rest(self, open_: DataFrame) -> None:
-        """Holds all pairs across components against each other."""
-        other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"))
-        met = open_.where("label <> major").join(other, "key").where("label <> label2 and (label2 = major or id < id2)").where(self.alike)
-        pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(self.sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-        self.hold(pairs.mapInArrow(_likely(self.percent), "a long, b long"))
-
-    def blocks(self, open_: DataFrame) -> None:
-        """As `rest`, for buckets of any size.
-
-        Members of the largest component, which needn't meet each other, have blocks of their own. The other
-        blocks are dealt out to as many salts as the root of their number; each salt meets its whole bucket.
+        stats = sizes.groupBy("key").agg(F.count("*").alias("kinds"), (F.sum("c") - F.max("c")).alias("others"), F.max_by("label", F.struct("c", "label")).alias("major")).where("kinds > 1")
+        return written(named.join(stats, "key").select("key", "id", "n", "label", "major", "others"))
+
+    def blocks(self, open_: DataFrame, bands: DataFrame) -> None:
+        """Links across the components of the open buckets.
+
+        The members outside the largest component are dealt out to as many salts as the root of the number of
+        their blocks; each salt meets its whole bucket.
         """
-        main = F.col("label") == F.col("major")
-        members = open_.select("key", "id", "n", "label", main.alias("main"), F.expr("if(label = major, most, size - most)").alias("many"), (F.col("size") - F.col("most")).alias("others"))
-        members = members.join(self.sketches, "id")
-        count = lambda c: F.ceil(F.col(c) / BLOCK)
-        blocks = members.groupBy("key", "main", F.pmod(F.xxhash64("id"), count("many")).alias("block"), F.ceil(F.sqrt(count("others"))).alias("salts"))
-        blocks = written(blocks.agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("members")))
-        rest = ["main", "block", "members"]
-        held = blocks.where("not main").select("key", F.pmod("block", "salts").alias("salt"), F.lit(True).alias("held"), *rest)
-        met = blocks.select("key", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(False).alias("held"), *rest)
+        members = open_.join(bands, "id").join(self.texts, "id").withColumn("salts", F.ceil(F.sqrt(F.col("others") / BLOCK)))
+        rest = ["id", "label", "bands", "text"]
+        held = members.where("label <> major").select("key", F.expr("pmod(xxhash64(id), salts)").alias("salt"), F.lit(True).alias("held"), *rest)
+        met = members.select("key", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(False).alias("held"), *rest)
         rows = held.unionByName(met).repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt")
-        self.hold(written(rows.sortWithinPartitions("key", "salt", F.desc("held")).mapInArrow(_block_pairs(self.percent), "a long, b long").distinct()))
+        self.join(written(rows.sortWithinPartitions("key", "salt", F.desc("held")).mapInArrow(_block_links(self.width, self.percent), "a long, b long")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 50) -> DataFrame:
-    """One row per doc_id: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Two documents are linked if at least `percent` of the union of their sets of `width`-word shingles is
     shared. A text of fewer words is one shingle; null, empty or blank texts have none and are linked with
-    nothing. Ids that repeat: see `keyed`. An empty table gives an empty result.
+    nothing. Rows that share an id are documents of their own: the first by text is kept, the others of its
+    component aren't; see `by_row`. An empty table gives an empty result.
     """
-    docs = keyed(docs)
-    signed = written(docs.mapInArrow(_signatures(width, permutations), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
+    rows, ids = by_row(docs)
+    found = _near(rows, width, percent, permutations)
+    return with_ids(found.withColumn("kept", F.col("doc_id") == F.col("component_id")), ids, "doc_id", "component_id")
+
+
+def _near(docs: DataFrame, width: int, percent: int, permutations: int) -> DataFrame:
+    signed = written(docs.mapInArrow(_signatures(width, permutations), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     classes = written(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     alone = signed.join(classes, "digest").where("doc_id = rep").withColumnRenamed("doc_id", "id")
-    bands = alone.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
-    members = _shared(bands)
-    ids = members.select("id").distinct()
-    texts = written(docs.withColumnRenamed("doc_id", "id").join(ids, "id"))
-    sketches = written(alone.join(ids, "id").select("id", "sketch"))
-    search = _Search(texts, sketches, width, percent)
+    members = _shared(alone.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n")))
+    texts = written(docs.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id"))
+    search = _Search(texts, width, percent)
     search.star(members)  # one centre for all the buckets of a group
-    for turn in range(STARS):
+    for turn in range(STARS + 1):
         members = search.open_(members)
         if not members.limit(1).count():
             break
-        search.star(members, F.pmod("key", F.lit(CENTRES)), F.lit(turn))
-    members = search.open_(members)
-    if members.where("few").limit(1).count():
-        search.rest(members.where("few"))
-    if members.where("not few").limit(1).count():
-        members = search.open_(members.where("not few"))
-        search.blocks(members)
-    labels = search.labels
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
+        if turn < STARS:
+            search.star(members, F.pmod("key", F.lit(CENTRES)), F.lit(turn))
+        else:
+            search.blocks(members, alone.select("id", "bands"))
+    named = classes.join(search.labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
-    return give_back(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "doc_id", "component_id")
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of linked documents: the one of the smallest id.
+    """docs with one row of each group of linked documents: the one of the smallest id, then of the smallest text.
 
-    Documents without a shingle stay. Where a doc_id repeats, the row that sorts first by text, then by the
-    other columns, stands for it.
+    Documents without a shingle stay. Ids that repeat or are null don't matter: rows are linked by their texts.
     """
-    rows, key = with_key(docs)
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key))
-    if rows.groupBy(key).count().where("count > 1").limit(1).count():
-        others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-        first = F.min(F.struct(F.coalesce("text", F.lit("")).alias("0"), "text", *others)).alias("row")
-        rows = rows.groupBy(key).agg(first).select(key, *[F.col("row")[c].alias(c) for c in docs.columns])
+    rows, key, _ = numbered(docs)
+    kept = _near(rows.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), width, percent, 50).where("doc_id = component_id").select(F.col("doc_id").alias(key))
     return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

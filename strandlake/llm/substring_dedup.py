@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, WordHashes, buckets, by_bucket, doc_groups, give_back, group_column, group_of, keyed, merged, mix, pack, unpack
+from ._common import Rolling, WordHashes, buckets, by_bucket, by_row, doc_groups, group_column, group_of, merged, mix, pack, unpack, with_ids
 
 BLOCK = 1_500_000  # words of a block; bounds a task's memory
 
@@ -118,10 +118,9 @@ def spans_out(docs: np.ndarray, starts: np.ndarray, groups: int, *more: np.ndarr
 
 
 def repeated_windows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
-    """(documents with their group, blocks of repeated windows by group, number of groups)."""
+    """(documents with their group, blocks of repeated windows by group, number of groups) of (doc_id, text) with unique ids."""
     spark = docs.sparkSession
     n, groups = buckets(spark), doc_groups(spark)
-    docs = keyed(docs)
     sent = docs.mapInArrow(_windows(width, n), "bucket int, payload binary")
     marks = sent.groupBy("bucket").applyInArrow(_count(groups), "grp int, payload binary")
     return docs.withColumn("grp", group_column(groups)), marks, groups
@@ -143,11 +142,12 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """Removes every word that a repeated window of `width` words covers.
 
     Returns doc_id, n_words, n_removed, spans (array of struct start, end: maximal runs of removed words),
-    kept (the words left, joined by one space), one row per doc_id. Null or empty texts have no words.
+    kept (the words left, joined by one space), one row per row of docs. Null or empty texts have no words.
     Windows are judged on the input; all copies go, the first too. Documents shorter than a window stay
-    whole. Repeated ids: see `keyed`; an empty table gives an empty result.
+    whole. Rows that share an id are documents of their own; an empty table gives an empty result.
     """
-    docs, marks, _ = repeated_windows(docs, width)
+    rows, ids = by_row(docs)
+    docs, marks, _ = repeated_windows(rows, width)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "n_removed": [], "spans": [], "kept": []}
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.string())]))
 
     both = docs.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
-    return give_back(both)
+    return with_ids(both, ids)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A k-mer is a run of K words; its inner substrings are the runs of S words within it. It is a closed syncmer
 if the one with the smallest hash is its first or its last: that depends on the k-mer alone, so equal
-passages choose equal anchors whatever stands around them. A fingerprint holds the hashes of all syncmers of
-a text; two fingerprints give the Jaccard similarity of these sets. Places are not compared.
+passages choose equal anchors whatever stands around them. A fingerprint holds, for each anchor of a text, a
+hash of the anchor, the next one and the distance between them: two fingerprints share it only if both texts
+have the two anchors at the same relative places, wherever the passage stands in either. Their likeness is
+the Jaccard similarity of these sets.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import give_back, keyed, written
+from ._common import by_row, with_ids, written
 
 K, S = 5, 2
 
@@ -36,9 +38,10 @@ def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when((F.size(w) >= K) & (F.size(p) > 0), many).when(F.size(w) > 0, one).otherwise(none)).drop(w, g, p)
 
 
-def distinct(syncmers: str) -> Column:
-    """The fingerprint: all distinct hashes, ascending."""
-    return F.sort_array(F.array_distinct(F.col(syncmers)["hash"]))
+def placed(syncmers: str) -> Column:
+    """The fingerprint: distinct hashes of neighbouring anchors and their distance, ascending; of a lone anchor its hash."""
+    pairs = F.expr(f"zip_with(slice({syncmers}, 1, size({syncmers}) - 1), slice({syncmers}, 2, size({syncmers})), (a, b) -> xxhash64(a.hash, b.hash, b.pos - a.pos))")
+    return F.sort_array(F.array_distinct(F.when(F.size(syncmers) > 1, pairs).otherwise(F.col(syncmers)["hash"])))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,9 +55,10 @@ def as_text(fingerprint: str) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, syncmers, fingerprint as an array of hashes) of every document; see `keyed` for ids."""
-    df = with_syncmers(keyed(docs), "text", "syncmers")
-    return give_back(df.select("doc_id", F.length("text").cast("long").alias("n_chars"), "syncmers", distinct("syncmers").alias("fingerprint")))
+    """(doc_id, n_chars, syncmers, fingerprint as an array of hashes) of every row of docs; ids are given back as they are."""
+    rows, ids = by_row(docs)
+    df = with_syncmers(rows, "text", "syncmers")
+    return with_ids(df.select("doc_id", F.length("text").cast("long").alias("n_chars"), "syncmers", placed("syncmers").alias("fingerprint")), ids)
 
 
 def _before(docs: DataFrame) -> DataFrame:
@@ -80,18 +84,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     The edited text has its last quarter (floor of the code points) replaced by as many code points from the
-    start of the next document (all of it if shorter). Null texts are empty. Ids that repeat: see `keyed`.
-    Of one document alone the next is itself; an empty table gives an empty result.
+    start of the next document (all of it if shorter). Null texts are empty. Rows that share an id, or
+    have none, are documents of their own in the order of their texts, null ids first. Of one document alone the next is itself; an empty table gives an empty result.
     """
-    docs = keyed(docs)
+    docs, ids = by_row(docs)
     # each document sends its head and its fingerprint to the one before it
     sent = with_syncmers(docs.join(_before(docs), "doc_id"), "text", "syncmers")
-    sent = sent.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, int(prev_n div 4))").alias("head"), distinct("syncmers").alias("next_fp"))
+    sent = sent.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, int(prev_n div 4))").alias("head"), placed("syncmers").alias("next_fp"))
     df = docs.join(sent, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
     df = df.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), head)"))
     df = with_syncmers(with_syncmers(df, "text", "own"), "edited", "other")
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), distinct("own").alias("fp"), distinct("other").alias("edited_fp"), "next_fp")
-    return give_back(df.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next")))
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), placed("own").alias("fp"), placed("other").alias("edited_fp"), "next_fp")
+    near = {"near_edited": likeness(F.col("fp"), F.col("edited_fp")), "near_next": likeness(F.col("fp"), F.col("next_fp"))}
+    out = df.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), *[v.alias(k) for k, v in near.items()])
+    return with_ids(out, ids)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -10,14 +10,16 @@ that each task remembers for the words it meets.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, give_back, keyed, with_key
+from ._common import written
 
 GRAMS = (3, 4, 5)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -45,18 +47,13 @@ class Model:
         self.out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[str], toxic: np.ndarray, steps: int = 600, batch: int = 64, rate: float = 0.08) -> Model:
-        """Adam on the cross-entropy; table, softmax and bias move together."""
-        vocab: dict[str, int] = {}
-        docs, weights = [], []
-        for t in texts:
-            docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in sorted(words_of(t))], np.int64))
-            weights.append(np.full(len(docs[-1]), 1 / max(1, len(docs[-1])), np.float32))
-        rows = [grams(w) for w in vocab]
-        begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        flat = np.array([g for r in rows for g in r], np.int32)
+    def fit(self, docs: list[np.ndarray], begin: np.ndarray, flat: np.ndarray, toxic: np.ndarray, steps: int = 600, batch: int = 64, rate: float = 0.08) -> Model:
+        """Adam on the cross-entropy; table, softmax and bias move together.
+
+        docs: each document's distinct words as numbers; the rows of word w are flat[begin[w] : begin[w + 1]].
+        """
+        weights = [np.full(len(d), 1 / max(1, len(d)), np.float32) for d in docs]
         size = np.diff(begin)
-        del rows
         rng = np.random.default_rng(1)
         state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in ("table", "out", "bias")}
         step, epochs = 0, max(1, round(steps * batch / max(1, len(docs))))
@@ -102,53 +99,87 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _bags(batches):
+    """Each labelled text as the hashes of its distinct words; the texts themselves stay on the executors."""
+    import xxhash
+
+    for batch in batches:
+        bags = [np.array(sorted(xxhash.xxh3_64_intdigest(w) for w in words_of(t)), np.uint64).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], names=["doc_id", "toxic", "words"])
+
+
+def _vocabulary(batches):
+    """(word, rows) of the words of the texts, each once a batch."""
+    import xxhash
+
+    for batch in batches:
+        found = set().union(*map(words_of, batch.column(1).to_pylist()))
+        rows = [np.array(grams(w), np.int32).tobytes() for w in found]
+        yield pa.record_batch([pa.array(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64).view(np.int64)), pa.array(rows, pa.binary())], names=["word", "rows"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model | None:
     """Fits the model on at most `sample` labelled documents; None without any label.
 
     Rows of `labels` (doc_id, toxic) with a null id or label teach nothing; where an id has several labels
-    the larger counts.
+    the larger counts, where several rows of docs share an id the smallest text teaches. Null texts are
+    empty. The driver gets numbers only: each text's words by hash, and the embedding rows of each word.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = marks.join(docs.select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    if not len(rows):
+    rows = written(docs.join(chosen.distinct(), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"))
+    bags = rows.mapInArrow(_bags, "doc_id long, toxic int, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    if not bags.num_rows:
         return None
-    return Model().fit(rows["text"].tolist(), (rows["toxic"] != 0).to_numpy().astype(int))
+    vocabulary = rows.mapInArrow(_vocabulary, "word long, rows binary").groupBy("word").agg(F.min("rows").alias("rows")).toArrow().sort_by("word")
+    cells = vocabulary.column("rows").combine_chunks()
+    sizes = pc.binary_length(cells).to_numpy() // 4
+    flat = np.frombuffer(b"".join(cells.to_pylist()), np.int32)
+    words = vocabulary.column("word").to_numpy()
+    texts = [np.searchsorted(words, np.sort(np.frombuffer(b, np.int64))) for b in bags.column("words").to_pylist()]
+    return Model().fit(texts, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat, (bags.column("toxic").to_numpy() != 0).astype(int))
 
 
-def _score(parts: np.ndarray, bias: float):
-    class Words(dict):
-        def __missing__(self, word: str) -> float:
-            if len(self) >= 500_000:
-                self.clear()
-            g = grams(word)
-            x = self[word] = float(parts[g].mean())
-            return x
+class _Scorer:
+    """scores(texts): the chance of label 1, from what each word adds to the log odds."""
 
-    def run(batches):
-        seen = Words()
-        for batch in batches:
-            odds = []
-            for text in batch.column(1).to_pylist():
-                found = words_of(text)
-                odds.append(sum(map(seen.__getitem__, found)) / max(1, len(found)) + bias)
-            score = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -60, 60)))
-            yield pa.record_batch([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+    LIMIT = 500_000  # words remembered; bounds memory, not results
+
+    def __init__(self, parts: np.ndarray, bias: float) -> None:
+        self.parts, self.bias, self.known = parts, bias, {}
 
-    return run
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        known, odds = self.known, []
+        for text in texts:
+            found = words_of(text or "")
+            if len(known) > self.LIMIT:
+                known.clear()
+            for word in found.difference(known):
+                known[word] = float(self.parts[grams(word)].mean())
+            # added up without rounding, so the order of a set's words doesn't show
+            odds.append(math.fsum([known[w] for w in found]) / max(1, len(found)) + self.bias)
+        return 1 / (1 + np.exp(-np.clip(np.array(odds, float), -60, 60)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
-    """(doc_id, score): the chance of label 1, for every document, from its text alone.
+    """(doc_id, score): the chance of label 1 for every row of docs, from its text alone.
 
-    Null and empty texts get the score of the bias. Without labels every score is 0. Ids that repeat: see
-    `keyed`.
+    Null and empty texts get the score of the bias. Without labels every score is 0. A repeated row gets its
+    score again, a null id is given back; texts are scored whole, however long. An empty table gives none.
     """
-    docs = keyed(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(docs, labels, sample)
     if model is None:
-        return give_back(docs.select("doc_id", F.lit(0.0).alias("score")))
-    return give_back(docs.mapInArrow(_score(*model.parts()), "doc_id long, score double"))
+        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    parts, bias = model.parts()
+
+    def run(batches):
+        scorer = _Scorer(parts, bias)
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()))], names=["doc_id", "score"])
+
+    return docs.mapInArrow(run, "doc_id long, score double")
 
 
 def held_out():
@@ -164,7 +195,20 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 6000) -> DataFrame:
-    """docs without the rows that score at least `threshold`; rows with a null id stay if their text does."""
-    scored = score_toxicity(docs, labels, sample).where(F.col("score") < threshold)
-    rows, key = with_key(docs)
-    return rows.join(scored.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key)), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows whose own text scores at least `threshold`; all columns pass through as they are.
+
+    Ids don't matter to the decision: rows that share an id, or have none, are judged one by one. Without
+    labels all rows stay.
+    """
+    model = train(docs, labels, sample)
+    if model is None:
+        return docs
+    parts, bias = model.parts()
+    text = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        scorer = _Scorer(parts, bias)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(text).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
