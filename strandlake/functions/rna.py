@@ -78,23 +78,67 @@ def local_context(sequence: Column, start: Column, flank: int = 20) -> Column:
     return F.substring(sequence, low + 1, start + flank - low)
 
 
+def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df for a join with a larger table: broadcast if it is seen to have at most `most` rows, else dealt out by key."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """prefix-<24 hex digits> of the parts; nulls count as empty."""
     joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(joined, 256), 1, 24))
 
 
+# --- packed bases: two bits each, so that one XOR compares up to 31 of them -----------------------
+
+#: One low bit of each pair of bits.
+PAIRS = 0x1555555555555555
+LONGEST = 31
+
+
+def digits(bases: str) -> str:
+    """SQL: a string of bases as digits 0 to 3; other letters, which `strangers` marks, count as A."""
+    return f"translate(regexp_replace({bases}, '[^ACGT]', 'A'), 'ACGT', '0123')"
+
+
+def strangers(bases: str) -> str:
+    """SQL: 1 for each letter that isn't a base, else 0; null where there is none, as nearly always."""
+    return f"if({bases} rlike '[^ACGT]', regexp_replace(translate(regexp_replace({bases}, '[^ACGT]', 'N'), 'ACGT', '0000'), 'N', '1'), null)"
+
+
+def packed(base4: str) -> str:
+    """SQL: up to LONGEST digits as a long, the last base in the lowest bits."""
+    return f"cast(conv({base4}, 4, 10) as bigint)"
+
+
+def differing(a: str, b: str) -> str:
+    """SQL: for two packed strings of one length, one bit for each position at which they differ."""
+    x = f"({a} ^ {b})"
+    return f"(({x} | shiftrightunsigned({x}, 1)) & {PAIRS})"
+
+
+def span_mask(length: str, low: int, high: int) -> str:
+    """SQL: the bits that `differing` has for positions low to high of a string of that length."""
+    return f"({PAIRS} & (shiftleft(1L, greatest(2 * ({length} - {low} + 1), 0)) - shiftleft(1L, greatest(2 * ({length} - {high}), 0))))"
+
+
 CHUNK = 256
 
 
-def starts(sequences: DataFrame, k: int, before: int = 0, after: int = 32) -> DataFrame:
-    """(transcript_id, gene_id, start, chunk, at): every 0-based start of a k-mer.
+def cut(column: str, start: str, length: int) -> str:
+    """SQL: a part of a column of bytes, as a string."""
+    return f"cast(substring({column}, {start}, {length}) as string)"
+
+
+def starts(sequences: DataFrame, k: int, after: int = 32) -> DataFrame:
+    """(transcript_id, gene_id, start, chunk, base4, odd, at): every 0-based start of a k-mer.
 
-    chunk holds the bases from `before` bases before the start to `after` bases from it, as far as there are
-    any; the start is its position `at` (1-based). A string's substring costs as much as what lies before it,
-    so windows are cut from chunks and not from whole sequences.
+    chunk holds the bases from a multiple of CHUNK on, as far as `after` bases from the start need, base4 and
+    odd the same as `digits` and `strangers`; the start is their position `at` (1-based). They are bytes, as a
+    string's substring costs as much as what lies before it; `cut` makes strings of their parts.
     """
     c = sequences.where(F.length("sequence") >= k).select("transcript_id", "gene_id", "sequence", F.expr(f"length(sequence) - {k}").alias("last"), F.expr(f"explode(sequence(0, (length(sequence) - {k}) div {CHUNK}))").alias("c"))
-    c = c.select("transcript_id", "gene_id", (F.col("c") * CHUNK).alias("first"), "last", F.expr(f"substring(sequence, greatest(c * {CHUNK} - {before}, 0) + 1, {CHUNK + before + after})").alias("chunk"), F.expr(f"least(c * {CHUNK}, {before})").alias("skip"))
-    rows = c.select("transcript_id", "gene_id", "first", "chunk", "skip", F.expr(f"explode(sequence(0, least({CHUNK - 1}, last - first)))").alias("j"))
-    return rows.select("transcript_id", "gene_id", (F.col("first") + F.col("j")).cast("int").alias("start"), "chunk", (F.col("skip") + F.col("j") + 1).cast("int").alias("at"))
+    c = c.select("transcript_id", "gene_id", (F.col("c") * CHUNK).alias("first"), "last", F.expr(f"substring(sequence, c * {CHUNK} + 1, {CHUNK + after})").alias("chunk"))
+    c = c.select("transcript_id", "gene_id", "first", "last", *[F.expr(f"cast({e} as binary) as {n}") for n, e in (("chunk", "chunk"), ("base4", digits("chunk")), ("odd", strangers("chunk")))])
+    rows = c.select("transcript_id", "gene_id", "first", "chunk", "base4", "odd", F.expr(f"explode(sequence(0, least({CHUNK - 1}, last - first)))").alias("j"))
+    return rows.select("transcript_id", "gene_id", (F.col("first") + F.col("j")).cast("int").alias("start"), "chunk", "base4", "odd", (F.col("j") + 1).cast("int").alias("at"))

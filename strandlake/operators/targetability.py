@@ -31,48 +31,76 @@ def validate_guides(guides: DataFrame, policy: TargetabilityPolicy = P) -> DataF
     return g.withColumn("status", status).withColumn("search", rna.reverse_complement(F.col("normalized"))).drop("raw")
 
 
-def windows(sequences: DataFrame, length: int, offset: int = 0, k: int | None = None) -> DataFrame:
-    """One row per base where a window may start: start (0-based), win (up to `length` bases), kmer.
+def windows(sequences: DataFrame, length: int, least: int) -> DataFrame:
+    """One row per base where a window of at least `least` bases may start: start (0-based), win, code, strange.
 
-    Only the bases of a window leave this projection, never the whole sequence.
+    win: up to `length` bases; code: the same packed (see `rna.packed`); strange: bits of letters that are no
+    bases. Only the bases of a window leave this projection, never the whole sequence.
     """
-    k = k or length
-    rows = rna.starts(sequences, offset + k, after=max(length, offset + k))
-    return rows.select("transcript_id", "gene_id", "start", F.expr(f"substring(chunk, at, {length})").alias("win"), F.expr(f"substring(chunk, at + {offset}, {k})").alias("kmer"))
+    rows = rna.starts(sequences, least, after=length)
+    return rows.select("transcript_id", "gene_id", "start", *[F.expr(f"{e} as {n}") for n, e in window_columns(length).items()])
+
+
+def window_columns(length: int) -> dict[str, str]:
+    """SQL of win, code and strange on the rows of `rna.starts`."""
+    return {
+        "win": rna.cut("chunk", "at", length),
+        "code": rna.packed(rna.cut("base4", "at", length)),
+        "strange": f"if(odd is null, 0L, {rna.packed(rna.cut('odd', 'at', length))})",
+    }
+
+
+def _guides(guides: DataFrame, policy: TargetabilityPolicy) -> DataFrame:
+    """Validated guides with their packed search string and the masks of its regions."""
+    ok = validate_guides(guides, policy).where("status = 'ok'").select("sirna_id", "search", F.length("search").alias("n"))
+    masks = {"search_code": rna.packed(rna.digits("search")), "seed_mask": rna.span_mask("n", *policy.seed), "central_mask": rna.span_mask("n", *policy.central)}
+    return ok.select("*", *[F.expr(f"{e} as {n}") for n, e in masks.items()])
 
 
 def _classified(hits: DataFrame, policy: TargetabilityPolicy) -> DataFrame:
-    mm = hits.withColumn("mm", rna.mismatches("search", "win"))
-    total, length = F.size("mm"), F.length("search")
-    mm = mm.withColumns({"n_total_mm": total, "n_seed_mm": rna.within(F.col("mm"), *policy.seed), "n_central_mm": rna.within(F.col("mm"), *policy.central)})
-    mm = mm.withColumn("n_nonseed_mm", F.col("n_total_mm") - F.col("n_seed_mm") - F.col("n_central_mm"))
+    """hits: windows and guides, joined. Mismatches are counted as bits, never position by position."""
+    surplus = "2 * (length(win) - n)"
+    hits = hits.where("length(win) >= n").withColumn("bits", F.expr(f"{rna.differing(f'shiftright(code, {surplus})', 'search_code')} | shiftright(strange, {surplus})"))
+    count = {"n_total_mm": "bits", "n_seed_mm": "bits & seed_mask", "n_central_mm": "bits & central_mask", "n_nonseed_mm": "bits & ~(seed_mask | central_mask)"}
+    mm = hits.withColumns({n: F.expr(f"bit_count({e})") for n, e in count.items()})
+    length = F.col("n")
     priority = (
         F.when(F.col("n_total_mm") == 0, 0)
         .when((F.col("n_total_mm") <= policy.max_total) & (F.col("n_seed_mm") <= policy.max_seed) & (F.col("n_central_mm") <= policy.max_central) & (F.col("n_nonseed_mm") <= policy.max_nonseed), 1)
         .when((F.col("n_seed_mm") <= policy.max_seed) & (F.col("n_total_mm") <= policy.seed_only_max_total) & (length - F.col("n_total_mm") >= policy.seed_only_min_paired), 3)
         .when(F.col("n_total_mm") < length, 4)
     )
-    name = F.when(F.col("priority") == 0, "exact_full_length_complement").when(F.col("priority") == 1, "near_full_length_complement").when(F.col("priority") == 3, "seed_only_candidate").otherwise("partial_nonseed_match")
+    names = {0: "exact_full_length_complement", 1: "near_full_length_complement", 3: "seed_only_candidate"}
+    name = F.when(F.col("priority") == 0, names[0]).when(F.col("priority") == 1, names[1]).when(F.col("priority") == 3, names[3]).otherwise("partial_nonseed_match")
     out = mm.withColumn("priority", priority).where("priority is not null").withColumn("site_class", name).withColumn("cleavage", F.col("priority") <= 1)
-    return out.select(*SITE, "mm", "n_total_mm", "n_seed_mm", "n_central_mm", "n_nonseed_mm", "priority", "site_class", "cleavage", "search", "win")
+    return out.select(*SITE, "n_total_mm", "n_seed_mm", "n_central_mm", "n_nonseed_mm", "priority", "site_class", "cleavage", "search", F.expr("substring(win, 1, n) as win"))
 
 
 def scan(sequences: DataFrame, guides: DataFrame, mode: str = "evidence", policy: TargetabilityPolicy = P) -> DataFrame:
     """Sites of validated guides.
 
-    evidence: every window without a seed mismatch, by an equi-join on the seed k-mer; as the classes exact,
-    near and seed-only allow none, it finds them all. complete: every window against every guide, also
-    partial matches; its size is guides times bases, so it suits small inputs and parity tests.
+    evidence: the windows of the classes exact, near and seed-only, which allow max_seed mismatches in the
+    seed: of max_seed + 1 blocks of the seed one is free of them, and joins exactly. A window whose seed block
+    no guide has is left out before its bases are cut. complete: every window against every guide, also
+    partial matches; its result is guides times bases, so it suits small inputs and parity tests.
     """
-    guides = validate_guides(guides, policy).where("status = 'ok'").select("sirna_id", "search")
+    keyed = _guides(guides, policy)
+    if mode == "complete":
+        return _classified(windows(sequences, policy.max_length, policy.min_length).join(keyed), policy)
     low, high = policy.seed
-    if mode == "evidence" and policy.max_seed == 0:
-        keyed = guides.withColumn("kmer", F.substring("search", low, high - low + 1))
-        hits = windows(sequences, policy.max_length, low - 1, high - low + 1).join(keyed, "kmer")
-    else:
-        hits = windows(sequences, policy.max_length, k=policy.min_length).join(guides)
-    hits = hits.withColumn("win", F.expr("substring(win, 1, length(search))")).where("length(win) = length(search)")
-    return _classified(hits, policy)
+    ends = [low + (high - low + 1) * i // (policy.max_seed + 1) for i in range(policy.max_seed + 2)]
+    out = None
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        block = keyed.withColumn("kmer", F.substring("search", a, b - a))
+        # at most 4 ** (b - a) different ones, whatever the number of guides: 16384 for the usual seed
+        seeds = F.broadcast(block.select("kmer").distinct())
+        rows = rna.starts(sequences, policy.min_length, after=policy.max_length).withColumn("kmer", F.expr(rna.cut("chunk", f"at + {a - 1}", b - a)))
+        rows = rows.join(seeds, "kmer", "left_semi").select("kmer", "transcript_id", "gene_id", "start", *[F.expr(f"{e} as {n}") for n, e in window_columns(policy.max_length).items()])
+        hits = _classified(rows.join(rna.sized(block), "kmer"), policy)
+        for c, d in list(zip(ends, ends[1:], strict=False))[:i]:  # found by an earlier block
+            hits = hits.where(F.expr(f"substring(search, {c}, {d - c}) <> substring(win, {c}, {d - c})"))
+        out = hits if out is None else out.unionByName(hits)
+    return out.where("priority <> 4") if policy.max_seed else out
 
 
 def site_ids(sites: DataFrame) -> DataFrame:
@@ -81,7 +109,7 @@ def site_ids(sites: DataFrame) -> DataFrame:
 
 def mismatch_rows(sites: DataFrame, policy: TargetabilityPolicy = P) -> DataFrame:
     """One row per mismatch of a site: position, bases, region, type."""
-    rows = sites.select(*SITE, "search", "win", F.explode("mm").alias("position"))
+    rows = sites.select(*SITE, "search", "win", F.explode(rna.mismatches("search", "win")).alias("position"))
     rows = rows.withColumns({"guide_base": F.expr("substring(search, position, 1)"), "target_base": F.expr("substring(win, position, 1)")})
     return rows.select(*SITE, "position", "guide_base", "target_base", rna.region(F.col("position"), policy.seed, policy.central).alias("region"), F.concat_ws(">", "guide_base", "target_base").alias("mismatch_type"))
 
