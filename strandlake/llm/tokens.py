@@ -1,7 +1,12 @@
 """Whole texts to token ids with the tokenizers library, remembering what words encode to.
 
 Both tokenizers part a text where white space follows something else before they look for merges, so a
-text's ids are its pieces' ids in a row, and a piece met before need not be encoded again.
+text's ids are its pieces' ids in a row, and a piece met before need not be encoded again. A new piece of
+plain letters, digits and marks is parted further, as the tokenizer would, and the library's BPE model is
+asked for the parts not met before; any other piece goes through the whole tokenizer.
+
+What a Python worker has met is kept for its next tasks, in two generations of a bounded size; that changes
+speed only.
 """
 
 from __future__ import annotations
@@ -13,14 +18,51 @@ from array import array
 #: White space as the tokenizers see it: Python's, but for the four separators that Python adds.
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 
+#: Letters whose class, case and normal form are the same to Python and the tokenizers; marks that start no contraction.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+
+#: White space other than the space and the line feed, and runs of three of these.
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE = "\x85\xa0                　"
+_RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+class _Table:
+    """Key -> ids as bytes, in two generations of plain dicts."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.now, self.older = limit, {}, {}
+
+    def turn(self) -> None:
+        """A new generation, if this one is full; only called where nothing is about to be read."""
+        if len(self.now) > self.limit:
+            self.now, self.older = {}, self.now
+
+    def new(self, keys: set) -> set:
+        """Those of the keys that neither generation has; the others are in `now` from here on."""
+        keys, older = keys.difference(self.now), self.older
+        if older and keys:
+            found = [k for k in keys if k in older]
+            self.now.update(zip(found, map(older.__getitem__, found), strict=True))
+            keys.difference_update(found)
+        return keys
+
 
 class Encoder:
     """ids(texts): token ids of each text as little-endian unsigned 16-bit bytes.
 
-    drops_space says that the tokenizer ignores white space; otherwise a piece keeps the space before it.
+    drops_space says that the tokenizer ignores white space and case (and ends words with a mark of their
+    own); otherwise a piece keeps the space before it.
     """
 
-    LIMIT = 300_000  # pieces of a generation, of which two are remembered; bounds memory, not results
+    LIMIT = 400_000  # entries of a generation of a table; bounds memory, not results
 
     def __init__(self, path: str, drops_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -29,36 +71,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
+        self.model = self.tokenizer.model
         self.drops_space = drops_space
         self.pattern = re.compile(f"{_OTHER}+" if drops_space else f"{_SPACE}*{_OTHER}+|{_SPACE}+\\Z")
-        self.separators = re.compile(r"[\x1c-\x1f]")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.parts = re.compile(f"[{_LETTER}]+|[0-9]|[{_MARK}]+" if drops_space else f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+").findall
+        self.letters = _byte_letters()
+        self.pieces_known, self.parts_known = _Table(self.LIMIT), _Table(self.LIMIT)
+
+    @classmethod
+    def kept(cls, path: str, drops_space: bool) -> Encoder:
+        """This worker's encoder for the file: tasks that follow each other in one worker share it."""
+        import tokenizers
+
+        found = tokenizers.__dict__.setdefault("_kept_encoders", {})
+        if (path, drops_space) not in found:
+            found[path, drops_space] = cls(path, drops_space)
+        return found[path, drops_space]
 
     def pieces(self, text: str) -> list[str]:
-        if self.drops_space and not self.separators.search(text):
-            return text.split()
-        return self.pattern.findall(text)
-
-    def _learn(self, new: set[str]) -> None:
-        known, older = self.known, self.older
-        for p in new & older.keys():
-            known[p] = older[p]
-            new.discard(p)
-        pieces = list(new)
-        ids = [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        known.update(zip(pieces, ids, strict=True))
+        if any(c in text for c in _RARE) or not text.isascii() and any(c in text for c in _WIDE):
+            return self.pattern.findall(text)
+        if self.drops_space:
+            return (text.lower() if text.isascii() else text).split()
+        if text[-2:].isspace() or any(r in text for r in _RUNS):
+            return self.pattern.findall(text)
+        # white space comes in ones and twos: each mark of it stands alone, but a space joins what follows
+        words = text.replace("\n", "\n\0").replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return words if "\0" not in text else self.pattern.findall(text)
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, split, lower = self.pieces_known.now, self.parts, self.drops_space
+        plain, odd = [], []
+        for p in pieces:
+            if p in ("\n", ""):
+                odd.append(p)
+                continue
+            small = p.lower() if lower else p
+            parts = split(small)
+            if sum(map(len, parts)) == len(small) == len(p) and "<|" not in p:
+                plain.append((p, parts))
+            else:
+                odd.append(p)
+        self.parts_known.turn()
+        parts_known, tokenize, letters, space = self.parts_known.now, self.model.tokenize, self.letters, self.letters[32]
+        for part in self.parts_known.new({x for _, parts in plain for x in parts}):
+            if part.isascii():  # of these only the space has another letter
+                word = part if part[0] != " " else space + part[1:]
+            else:
+                word = "".join([letters[b] for b in part.encode()])
+            parts_known[part] = array("H", [t.id for t in tokenize(word)]).tobytes()
+        for p, parts in plain:
+            known[p] = parts_known[parts[0]] if len(parts) == 1 else b"".join([parts_known[x] for x in parts])
+        ids = [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        known.update(zip(odd, ids, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out, table = [], self.pieces_known
         for at in range(0, len(texts), 64):
-            if len(self.known) > self.LIMIT:  # only here: what a batch needs stays until it is done
-                self.known, self.older = {}, self.known
+            table.turn()
+            known = table.now
             parts = [self.pieces(t) for t in texts[at : at + 64]]
-            new: set[str] = set()
-            for p in parts:
-                new |= set(p).difference(self.known)
+            new = table.new(set().union(*parts))
             if new:
                 self._learn(new)
-            out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
+            out += [b"".join(map(known.__getitem__, p)) for p in parts]
         return out

@@ -36,12 +36,15 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         x, planes, zeros, ranks = ids.astype(np.uint16), [], [], []
         for level in range(LEVELS - 1, -1, -1):
-            bit = (x >> np.uint16(level) & np.uint16(1)).astype(bool)
+            bit = (x & np.uint16(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            zeros.append(int(len(x) - bit.sum()))
-            sums = np.add.reduceat(bit, np.arange(0, len(x), STEP), dtype=np.uint32) if len(x) else np.zeros(0, np.uint32)
+            padded = np.zeros(-(-len(x) // STEP) * STEP // 8, np.uint8)
+            padded[: len(planes[-1])] = planes[-1]
+            sums = np.bitwise_count(padded.view(np.uint64)).reshape(-1, STEP // 64).sum(1)
             ranks.append(np.concatenate([[0], np.cumsum(sums)]).astype(np.uint32))
-            x = np.concatenate([x[~bit], x[bit]])
+            zeros.append(len(x) - int(ranks[-1][-1]))
+            ones = np.compress(bit, x)
+            x = np.concatenate([np.compress(np.logical_not(bit, out=bit), x), ones])
         return cls(len(ids), planes, zeros, ranks)
 
     def to_bytes(self) -> bytes:
@@ -128,7 +131,7 @@ def _shards(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part, seq = Encoder(path, drops_space=False), TaskContext.get().partitionId(), 0
+        coder, part, seq = Encoder.kept(path, drops_space=False), TaskContext.get().partitionId(), 0
         end, docs, lengths, data, size = np.array([end_id], "<u2").tobytes(), [], [], [], 0
 
         def shard() -> pa.RecordBatch:
