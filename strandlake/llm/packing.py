@@ -6,7 +6,7 @@
 2. Pieces are range-partitioned by their heaviest BM25 terms, then id, with splitters that Spark samples:
    pieces with the same heavy terms meet, and a term that fills the corpus is cut by id.
 3. Each partition is worked off in shards. A shard's BM25 inverted index returns the unused neighbours of a
-   seed, which fill its window in order of score. The piece that crosses the end is cut; what is left of it
+   seed, by all its terms, which fill its window in order of score. The piece that crosses the end is cut; what is left of it
    seeds the next window. Only a partition's last window isn't full: it is cut at powers of two, which
    need no padding.
 """
@@ -24,10 +24,9 @@ from ._common import NULL_ID, give_back, pack, unpack, written
 from .tokens import Encoder
 
 SHARD = 1024  # pieces that one inverted index holds
-TERMS = 24  # of a seed, heaviest first, that ask the index
 K1, B = 1.2, 0.75
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary, counts binary"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary, terms binary, counts binary"
 _RESULT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -39,7 +38,7 @@ def _encode(path: str, end_id: int, window: int, vocabulary: int):
     def run(batches):
         from pyspark import TaskContext
 
-        coder, n_seq, base = Encoder(path, drops_space=True), 0, 1 << 62 | TaskContext.get().partitionId() << 32
+        coder, n_seq, base = Encoder.kept(path, drops_space=True), 0, 1 << 62 | TaskContext.get().partitionId() << 32
         end, counts = np.array([end_id], "<u2").tobytes(), np.zeros(vocabulary, np.int64)
         names = [c.split()[0] for c in _PIECES.split(", ")]
         for batch in batches:
@@ -48,20 +47,22 @@ def _encode(path: str, end_id: int, window: int, vocabulary: int):
                 ids = np.frombuffer(data + end, "<u2")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
-                    counts[np.unique(part)] += 1
+                    term, n = np.unique(part, return_counts=True)
+                    counts[term] += 1
                     full = len(part) == window
-                    rows.append((doc, at, len(part), _crc(part) if full else None, len(ids), base + n_seq if full else None, None if full else part.tobytes(), None))
+                    kept = (_crc(part), len(ids), base + n_seq, None, None) if full else (None, len(ids), None, part.tobytes(), term.tobytes() + n.astype("<u2").tobytes())
+                    rows.append((doc, at, len(part), *kept, None))
                     n_seq += full
             yield _rows(rows, names)
         used = np.flatnonzero(counts)
-        yield _rows([(None, None, None, None, None, None, None, pack(used, counts[used]))], names)
+        yield _rows([(*[None] * (len(names) - 1), pack(used, counts[used]))], names)
 
     return run
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.record_batch([pa.array(c, pa.binary() if n in ("ids", "counts") else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
+    return pa.record_batch([pa.array(c, pa.binary() if n in ("ids", "terms", "counts") else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
 
 
 def _spread(batches):
@@ -72,20 +73,21 @@ def _spread(batches):
             yield pa.record_batch([pa.array(term, pa.int32()), pa.array(n, pa.int64())], names=["term", "n"])
 
 
-def weights(ids: np.ndarray, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of a piece and their BM25 weights."""
-    term, n = np.unique(ids, return_counts=True)
-    return term, idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / average))
+def weights(terms: bytes, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a piece and their BM25 weights; terms: the ids, then how often each occurs, in 16 bits."""
+    term, n = np.frombuffer(terms, "<u2").reshape(2, -1)
+    return term, idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * int(n.sum()) / average))
 
 
 def _heaviest(idf: np.ndarray, average: float):
     def run(batches):
         for batch in batches:
             keys = []
-            for data in batch.column("ids").to_pylist():
-                term, w = weights(np.frombuffer(data, "<u2"), idf, average)
-                top = term[np.argsort(-w, kind="stable")[:2]].tolist()
-                keys.append((top * 2)[:2])
+            for terms in batch.column("terms").to_pylist():
+                term, w = weights(terms, idf, average)
+                first = int(np.argmax(w))
+                w[first] = -1
+                keys.append((int(term[first]), int(term[np.argmax(w)])))
             k1, k2 = zip(*keys, strict=True) if keys else ((), ())
             yield pa.record_batch([pa.array(k1, pa.int32()), pa.array(k2, pa.int32()), *batch.columns], names=["key1", "key2", *batch.schema.names])
 
@@ -95,7 +97,7 @@ def _heaviest(idf: np.ndarray, average: float):
 class Shard:
     """A BM25 inverted index over pieces; used pieces are masked."""
 
-    def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, average: float) -> None:
+    def __init__(self, pieces: list[bytes], idf: np.ndarray, average: float) -> None:
         self.own = [weights(p, idf, average) for p in pieces]
         term = np.concatenate([t for t, _ in self.own])
         weight = np.concatenate([w for _, w in self.own])
@@ -104,13 +106,13 @@ class Shard:
         self.piece, self.weight = piece[order], weight[order]
         self.terms, self.first = np.unique(term[order], return_index=True)
         self.last = np.append(self.first[1:], len(term))
+        self.slots = np.arange(len(term))
         self.unused = np.ones(len(pieces), bool)
 
     def neighbours(self, seed: int):
         """Unused pieces, best score first, then in order."""
-        term, w = self.own[seed]
-        k = np.searchsorted(self.terms, term[np.argsort(-w, kind="stable")[:TERMS]])
-        slots = np.concatenate([np.arange(self.first[i], self.last[i]) for i in k])
+        k = np.searchsorted(self.terms, self.own[seed][0])
+        slots = np.concatenate([self.slots[a:b] for a, b in zip(self.first[k].tolist(), self.last[k].tolist(), strict=True)])
         score = np.bincount(self.piece[slots], self.weight[slots], len(self.unused))
         while True:
             best = int(np.argmax(np.where(self.unused, score, -1.0)))
@@ -138,9 +140,9 @@ def _fill(idf: np.ndarray, average: float, window: int):
         def work(found: list[tuple]):
             nonlocal open_, room
             rows: list[tuple] = []
-            left = [np.frombuffer(d, "<u2") for *_, d in found]
+            left = [np.frombuffer(f[3], "<u2") for f in found]
             cut = [0] * len(found)
-            index, seed = Shard(left, idf, average), None
+            index, seed = Shard([f[4] for f in found], idf, average), None
             while index.unused.any():
                 if seed is None:
                     seed = int(np.argmax(index.unused))
@@ -165,7 +167,7 @@ def _fill(idf: np.ndarray, average: float, window: int):
 
         held: list[tuple] = []
         for batch in batches:
-            held += list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True))
+            held += list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids", "terms")), strict=True))
             while len(held) >= SHARD:
                 if (out := work(held[:SHARD])) is not None:
                     yield out
@@ -209,9 +211,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     stats = pieces.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("average")).first()
     idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = pieces.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids")
+    rest = pieces.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids", "terms")
     # stored, as sampling the splitters and dealing out each read it
-    keyed_ = written(rest.mapInArrow(_heaviest(idf, stats.average), "key1 int, key2 int, doc_id long, start long, doc_tokens long, ids binary"))
+    keyed_ = written(rest.mapInArrow(_heaviest(idf, stats.average), "key1 int, key2 int, doc_id long, start long, doc_tokens long, ids binary, terms binary"))
     dealt = keyed_.repartitionByRange(parts, "key1", "key2", "doc_id")
     packed = dealt.sortWithinPartitions("key1", "key2", "doc_id", "start", "doc_tokens", "ids").mapInArrow(_fill(idf, stats.average, window), ", ".join(f"{c} long" for c in _RESULT))
     whole = pieces.where("ids is null").select(*_RESULT[:-1], F.lit(0).cast("long").alias("offset"))
