@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLUSTER = ["source", "target", "directed", "relation"]
+CLUSTER = ["source", "target", "directed", "relation_class"]
 CONTEXTS = ("organism", "cell_type", "tissue", "compartment", "experimental_system", "disease_state")
 
 
@@ -23,23 +23,42 @@ def typed(edges: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     return out.withColumns({f"{s}_confidence": F.coalesce(f"{s}_confidence", F.lit(0.0)) for s in ("source", "target")})
 
 
+def relation_class(edges: DataFrame) -> Column:
+    """The broad class of a relation: evidence of one class between the same ends can be the same evidence."""
+    contextual = F.col("contextual_only") if "contextual_only" in edges.columns else F.lit(False)
+    return F.when(F.col("functional_only"), "functional").when(contextual, "contextual").when(F.col("relation").isin("regulates", "regulation", "interaction"), "regulatory").otherwise(F.col("relation"))
+
+
 def lineage_groups(edges: DataFrame) -> DataFrame:
-    """Evidence of one origin (record, reference, sign) between the same ends: members, databases, one row each."""
-    return edges.groupBy(*CLUSTER, "sign", "record_id", "ref").agg(F.count_distinct("evidence_id").alias("members"), F.array_sort(F.collect_set("provider")).alias("providers"), F.min("evidence_id").alias("lineage_id"), F.bool_or("functional_only").alias("functional_only"), F.bool_or("predicted_only").alias("predicted_only"))
+    """Evidence of one origin (record, reference, sign, relation) between the same ends: members, databases, one row each.
+
+    Evidence without a record and a reference is an origin of its own.
+    """
+    own = F.when(F.col("record_id").isNull() & F.col("ref").isNull(), F.col("evidence_id"))
+    edges = edges.withColumn("relation_class", relation_class(edges)).withColumn("alone", own)
+    return edges.groupBy(*CLUSTER, "relation", "sign", "record_id", "ref", "alone").agg(F.count_distinct("evidence_id").alias("members"), F.array_sort(F.collect_set("provider")).alias("providers"), F.min("evidence_id").alias("lineage_id"), F.bool_or("functional_only").alias("functional_only"), F.bool_or("predicted_only").alias("predicted_only"))
 
 
 def lineage_classes(groups: DataFrame) -> DataFrame:
     """Adds lineage_class. A group's peers are seen through its cluster's aggregates, so no pairs are made.
 
-    exact_duplicate: several records of one origin; independent_opposing_edge: a peer of the other sign;
-    publication_duplicate: a peer with the same reference; else independent_same_edge.
+    exact_duplicate: several records of one origin; independent_opposing_edge: a peer of the same relation and
+    the other sign; publication_duplicate: a peer with the same reference; likely_duplicate: without a record,
+    and a peer of the same relation from the same databases; else independent_same_edge.
     """
-    signs = groups.groupBy(*CLUSTER).agg(F.count_if(F.col("sign") == "positive").alias("n_pos"), F.count_if(F.col("sign") == "negative").alias("n_neg"))
-    refs = groups.groupBy(*CLUSTER, "ref").agg(F.count("*").alias("same_ref"))
-    out = groups.join(signs, CLUSTER).join(refs, [*CLUSTER, "ref"])
+    peers = [*CLUSTER, "relation"]
+    n = lambda test: F.count_if(test)
+    signs = groups.groupBy(*peers).agg(n(F.col("sign") == "positive").alias("n_pos"), n(F.col("sign") == "negative").alias("n_neg"))
+    refs = groups.where("ref is not null").groupBy(*peers, "ref").agg(F.count("*").alias("same_ref"))
+    dbs = groups.groupBy(*peers, "providers").agg(F.count("*").alias("same_dbs"))
+    same = lambda other, keys: [F.col(f"g.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    out = groups
+    for other, keys, value in ((signs, peers, ("n_pos", "n_neg")), (refs, [*peers, "ref"], ("same_ref",)), (dbs, [*peers, "providers"], ("same_dbs",))):
+        out = out.alias("g").join(other.alias("o"), same(other, keys), "left").select("g.*", *[f"o.{v}" for v in value])
     opposing = ((F.col("sign") == "positive") & (F.col("n_neg") > 0)) | ((F.col("sign") == "negative") & (F.col("n_pos") > 0))
-    name = F.when(F.col("source").isNull() | F.col("target").isNull(), "unresolved").when(F.col("members") > 1, "exact_duplicate").when(opposing, "independent_opposing_edge").when(F.col("same_ref") > 1, "publication_duplicate").otherwise("independent_same_edge")
-    return out.withColumn("lineage_class", name).drop("n_pos", "n_neg", "same_ref")
+    name = F.when(F.col("source").isNull() | F.col("target").isNull(), "unresolved").when(F.col("members") > 1, "exact_duplicate").when(opposing, "independent_opposing_edge").when(F.col("same_ref") > 1, "publication_duplicate")
+    name = name.when(F.col("record_id").isNull() & (F.col("same_dbs") > 1), "likely_duplicate").otherwise("independent_same_edge")
+    return out.withColumn("lineage_class", name).drop("n_pos", "n_neg", "same_ref", "same_dbs")
 
 
 def level(score: Column) -> Column:
@@ -62,7 +81,7 @@ def quality(groups: DataFrame, confidence: Column | None = None) -> DataFrame:
 
 def consensus(groups: DataFrame) -> DataFrame:
     """One row per (source, target, relation): lineages by kind, sign and conflict, weakest quality, layers."""
-    kind = F.when(F.col("functional_only"), F.lit("functional")).otherwise(F.col("relation"))
+    kind = F.when(F.col("functional_only"), F.lit("functional")).otherwise(F.col("relation_class"))
     independent = F.col("lineage_class").isin("independent_same_edge", "independent_opposing_edge", "exact_duplicate")
     out = groups.withColumn("kind", kind).groupBy("source", "target", "kind").agg(
         F.count_if(independent).alias("independent"), F.count_if(~independent).alias("duplicates"), F.count_if(F.col("sign") == "positive").alias("n_positive"), F.count_if(F.col("sign") == "negative").alias("n_negative"),
@@ -71,7 +90,7 @@ def consensus(groups: DataFrame) -> DataFrame:
     conflict = (F.col("n_positive") > 0) & (F.col("n_negative") > 0)
     sign = F.when(conflict, "conflicting").when(F.col("n_positive") > 0, "positive").when(F.col("n_negative") > 0, "negative").otherwise("unsigned")
     out = out.withColumn("sign", sign)
-    layers = F.array_compact(F.array(F.lit("provider_evidence"), F.when(F.col("sign").isin("positive", "negative") & ~F.col("functional_only"), F.lit("signed_causal")), F.when((F.col("sign") == "unsigned") | F.col("functional_only"), F.lit("unsigned_functional")), F.when(F.col("sign") == "conflicting", F.lit("conflicting"))))
+    layers = F.array_compact(F.array(F.lit("provider_evidence"), F.when(F.col("sign").isin("positive", "negative") & ~F.col("functional_only"), F.lit("signed_causal")), F.when((F.col("sign") == "unsigned") | F.col("functional_only"), F.lit("unsigned_functional")), F.when(F.col("kind") == "contextual", F.lit("contextual")), F.when(F.col("sign") == "conflicting", F.lit("conflicting"))))
     return out.withColumn("layers", layers)
 
 
@@ -141,3 +160,77 @@ def context_rows(evidence: DataFrame, dimensions=CONTEXTS) -> DataFrame:
 
 def context_label(columns: list[str]) -> Column:
     return F.concat_ws("|", *[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns])
+
+
+# --- static quality and reports ------------------------------------------------------------------
+
+#: Weights of a component in the static quality of one evidence, and caps by what it lacks: fixed values.
+STATIC_WEIGHTS = {"directed": 0.15, "signed": 0.15, "mechanism": 0.15, "direct": 0.15, "curated": 0.15, "publication": 0.1, "database": 0.1, "mapping": 0.05}
+STATIC_CAPS = {"unsigned_functional": 0.55, "no_direction_or_sign": 0.45, "predicted_only": 0.7, "unknown_entity": 0.2}
+
+
+def static_quality(evidence: DataFrame) -> DataFrame:
+    """Quality of single evidence rows, without their lineage: raw_score, capped_score, cap_reasons, final_level, uncertainty.
+
+    evidence: directed, sign, mechanism, directness, curated, n_refs, provider, snapshot, functional_only,
+    predicted_only, source, target (null where unknown).
+    """
+    c, w = F.col, STATIC_WEIGHTS
+    signed = c("sign").isin("positive", "negative")
+    one = lambda test, x: F.when(test, x).otherwise(0.0)
+    parts = [one(c("directed"), w["directed"]), one(signed, w["signed"]), one(c("mechanism").isNotNull(), w["mechanism"]), one(c("directness") == "direct", w["direct"]), one(c("curated"), w["curated"])]
+    parts += [F.least(c("n_refs"), F.lit(3)) / 3 * w["publication"], one(c("provider").isNotNull(), w["database"]), one(c("snapshot").isNotNull(), 0.5 * w["mapping"])]
+    raw = sum(parts[1:], parts[0])
+    tests = {"unsigned_functional": c("functional_only") & (c("sign") == "unsigned"), "no_direction_or_sign": ~c("directed") | ~signed, "predicted_only": c("predicted_only"), "unknown_entity": c("source").isNull() | c("target").isNull()}
+    capped = F.least(raw, *[F.when(t, STATIC_CAPS[k]).otherwise(1.0) for k, t in tests.items()])
+    out = evidence.withColumn("raw_score", F.round(raw, 6)).withColumn("capped_score", F.round(capped, 6))
+    out = out.withColumn("cap_reasons", F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])))
+    return out.withColumn("final_level", F.when(c("sign") == "conflicting", "conflicting").otherwise(level(capped))).withColumn("uncertainty", F.round(1.0 - capped, 6))
+
+
+def static_level(evidence: DataFrame) -> DataFrame:
+    """The older point score of single evidence rows and its level; evidence: directed, sign, n_refs, n_sources, predicted_only, functional_only."""
+    c = F.col
+    one = lambda test, x: F.when(test, x).otherwise(0.0)
+    score = one(c("directed"), 2.0) + one(c("sign").isin("positive", "negative"), 2.0) + F.least(c("n_refs"), F.lit(3)) + F.least(c("n_sources"), F.lit(3)) - one(c("predicted_only"), 2.0) - one(c("functional_only"), 2.0)
+    name = F.when(c("sign") == "conflicting", "conflicting").when(c("functional_only"), "contextual").when(score >= 6, "high").when(score >= 4, "moderate").when(score > 0, "low").otherwise("insufficient")
+    return evidence.withColumn("component_score", F.greatest(score, F.lit(0.0))).withColumn("evidence_level", name)
+
+
+def consensus_report(consensus_edges: DataFrame) -> DataFrame:
+    """One display row per consensus edge: level from its weakest quality, names without prefixes, lineages and raw counts by sign."""
+    c = F.col
+    short = lambda x: F.regexp_replace(x, "^[^:]*:", "")
+    total = c("independent") + c("duplicates")
+    raw = {f"{s}_raw_evidence": F.when(c("sign") == s, total).otherwise(0) for s in ("positive", "negative", "unsigned")}
+    return consensus_edges.select(
+        "edge_id", short(c("source")).alias("source"), short(c("target")).alias("target"), "kind", "sign", level(c("min_quality")).alias("evidence_level"), F.array_contains("layers", "unsigned_functional").alias("functional_only"),
+        F.array_contains("layers", "signed_causal").alias("causal_eligible"), c("n_positive").alias("positive_lineages"), c("n_negative").alias("negative_lineages"), c("duplicates").alias("duplicate_lineages"), *[v.alias(k) for k, v in raw.items()],
+    )
+
+
+def path_contexts(paths: DataFrame, evidence: DataFrame, dimensions=CONTEXTS) -> DataFrame:
+    """Per (source, target, nodes) and dimension: shared_known, conflicting or unknown, and the values.
+
+    evidence: (edge_id, and a column for each dimension). A path's values are those of all its edges.
+    """
+    key = ["source", "target", "nodes"]
+    values = evidence.select("edge_id", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.nullif(F.trim(F.col(d)), F.lit("")).alias("value")) for d in dimensions])).alias("x")).select("edge_id", "x.*").distinct()
+    rows = paths.select(*key, F.explode("edge_ids").alias("edge_id")).join(values, "edge_id")
+    out = rows.groupBy(*key, "dimension").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    n = F.size("values")
+    return out.withColumn("state", F.when(n == 1, "shared_known").when(n > 1, "conflicting").otherwise("unknown"))
+
+
+def graph_metrics(edges: DataFrame, groups: DataFrame, consensus_edges: DataFrame) -> DataFrame:
+    """(metric, value): counts of evidence, lineages and consensus edges, and of nodes and edges by layer."""
+    c = F.col
+    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("long").alias("value")) for k in df.columns])).alias("x")).select("x.*")
+    known = c("source").isNotNull() & c("target").isNotNull()
+    a = edges.agg(F.count("*").alias("provider_evidence"), F.count_if(known).alias("resolved_evidence"), F.count_if(~known).alias("unresolved_evidence"))
+    kinds = {"duplicate_lineages": ("exact_duplicate", "publication_duplicate", "likely_duplicate"), "independent_lineages": ("independent_same_edge", "independent_opposing_edge"), "unresolved_lineages": ("unresolved",)}
+    b = groups.agg(F.count("*").alias("lineage_groups"), *[F.count_if(c("lineage_class").isin(*v)).alias(k) for k, v in kinds.items()])
+    d = consensus_edges.agg(F.count("*").alias("consensus_edges"), *[F.count_if(F.array_contains("layers", x)).alias(f"{x}_consensus_edges") for x in ("signed_causal", "unsigned_functional", "contextual", "conflicting")])
+    layers = layer_counts(consensus_edges)
+    e = layers.select(F.concat("layer", F.lit("_graph_edges")).alias("metric"), c("edges").alias("value")).unionByName(layers.select(F.concat("layer", F.lit("_graph_nodes")).alias("metric"), c("nodes").alias("value")))
+    return long(a).unionByName(long(b)).unionByName(long(d)).unionByName(e)

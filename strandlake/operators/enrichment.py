@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SETS = ("up", "down", "changed", "low_count", "unmapped")
+SETS = ("up", "down", "changed", "low_count", "unmapped", "target_related")
 
 
-def gene_sets(effects: DataFrame, padj: float = 0.05, effect: float = 0.5) -> DataFrame:
-    """(gene_set, gene) of rows (gene, effect, padj, direction, low_count, mapped)."""
+def gene_sets(effects: DataFrame, padj: float = 0.05, effect: float = 0.5, targets: DataFrame | None = None) -> DataFrame:
+    """(gene_set, gene) of rows (gene, effect, padj, direction, low_count, mapped). targets: (gene), the intended ones."""
+    effects = effects.withColumn("_target", F.lit(False)) if targets is None else effects.join(targets.select("gene", F.lit(True).alias("_target")).distinct(), "gene", "left")
     changed = ~F.col("low_count") & (F.col("padj") <= padj) & (F.abs("effect") >= effect)
-    tests = {"up": changed & (F.col("effect") > 0) & (F.col("direction") == "up"), "down": changed & (F.col("effect") < 0) & (F.col("direction") == "down"), "changed": changed, "low_count": F.col("low_count"), "unmapped": ~F.col("mapped")}
+    tests = {"up": changed & (F.col("effect") > 0) & (F.col("direction") == "up"), "down": changed & (F.col("effect") < 0) & (F.col("direction") == "down"), "changed": changed, "low_count": F.col("low_count"), "unmapped": ~F.col("mapped"), "target_related": F.col("_target")}
     return effects.select(F.explode(F.array_compact(F.array(*[F.when(tests[s], F.lit(s)) for s in SETS]))).alias("gene_set"), "gene").distinct()
 
 
@@ -93,3 +94,49 @@ def regulon_coherence(regulons: DataFrame, effects: DataFrame) -> DataFrame:
 
 def fraction(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total).otherwise(0.0)
+
+
+TESTS = ("fisher_exact_greater", "hypergeometric_upper_tail")
+
+
+def tested_values(rows: DataFrame, primary: str = TESTS[0], diagnostic: bool = True) -> DataFrame:
+    """Adds primary_test, primary_p, diagnostic_test and diagnostic_p to tables a, b, c, d.
+
+    The option alone selects the primary value, never the smaller of the two. Fisher's test sums the chances
+    of all tables at least as extreme, the tail those of overlaps of at least a; for one table they agree.
+    """
+    if primary not in TESTS:
+        raise ValueError(f"unsupported primary test: {primary}")
+    other = TESTS[1 - TESTS.index(primary)]
+    out = hypergeometric_tail(rows, "_tail")
+    # the same tail, from the other side: of the genes outside the set, at least d are outside the term
+    turned = rows.select(*[c for c in rows.columns if c not in "abcd"], F.col("d").alias("a"), F.col("c").alias("b"), F.col("b").alias("c"), F.col("a").alias("d"))
+    keys = [c for c in rows.columns if c not in "abcd"]
+    fisher = hypergeometric_tail(turned, "_fisher").select(*keys, "_fisher")
+    out = out.join(fisher, keys)
+    value = {TESTS[0]: F.col("_fisher"), TESTS[1]: F.col("_tail")}
+    out = out.withColumn("primary_test", F.lit(primary)).withColumn("primary_p", value[primary])
+    out = out.withColumn("diagnostic_test", F.lit(other if diagnostic else None).cast("string")).withColumn("diagnostic_p", value[other] if diagnostic else F.lit(None).cast("double"))
+    return out.drop("_tail", "_fisher")
+
+
+def memberships_of_hits(results: DataFrame) -> DataFrame:
+    """Memberships known only from a provider's enrichment hits (provider, term_id, term_name, genes): never complete."""
+    out = results.select(F.col("provider").alias("dataset"), "term_id", F.coalesce("term_name", "term_id").alias("term_name"), F.explode("genes").alias("gene")).withColumn("gene", F.upper("gene"))
+    return out.withColumns({"member": F.concat(F.lit("gene:"), "gene"), "completeness": F.lit("submitted_hit_only"), "warning": F.lit("incomplete_membership_from_provider_enrichment_hits_only")})
+
+
+def context_scores(memberships: DataFrame, changed: DataFrame) -> DataFrame:
+    """Per module: coherence, the share of its members that changed (0 without members), and its sources, sorted.
+
+    memberships: (module, gene, source); changed: (gene, changed), the tested background.
+    """
+    rows = memberships.select("module", "gene", "source").distinct().join(changed.select("gene", "changed"), "gene", "left")
+    out = rows.groupBy("module").agg(F.count_if(F.col("changed").isNotNull()).alias("n_tested"), F.coalesce(F.avg(F.col("changed").cast("double")), F.lit(0.0)).alias("coherence"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return out
+
+
+def membership_evidence(genes: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(gene, evidence): 1 for members of a signature or regulon, 0 for other genes."""
+    member = memberships.select("gene").distinct().withColumn("m", F.lit(1.0))
+    return genes.select("gene").distinct().join(member, "gene", "left").select("gene", F.coalesce("m", F.lit(0.0)).alias("evidence"))

@@ -137,3 +137,123 @@ def filtering_summary(effects: DataFrame) -> DataFrame:
 
 def recoded_direction(c: Column) -> Column:
     return F.when(c == "decreased", "down").when(c == "increased", "up").otherwise("unchanged")
+
+
+# --- modes and configuration ---------------------------------------------------------------------
+
+#: What a backend can do (fixed values): level, checks input, runs, for production, inference, describes effects, needs, comes as, fails with.
+SUPPORT = {
+    "normalized_matrix": ("validation_only", True, False, False, False, False, "not_implemented", "none", "normalized_matrix_execution_not_supported"),
+    "synthetic_demo": ("demonstration_only", True, True, False, False, True, "synthetic_demo", "bundled_demo", "executes only as demonstration output"),
+    "precomputed": ("validated_import", True, True, True, True, True, "precomputed", "external_results_imported", "fails on schema or value validation errors"),
+    "external": ("unsupported", True, False, False, False, False, None, "external_unavailable", "raw_count_production_backend_unavailable"),
+    "other": ("unsupported", False, False, False, False, False, "unsupported", "none", "unsupported_expression_backend"),
+}
+SUPPORT_COLUMNS = ("support_level", "validates", "executes", "production", "inference", "describes", "required_backend", "comes_as", "failure")
+
+
+def execution_support(configs: DataFrame) -> DataFrame:
+    """What can be done with each (input_mode, backend): a lookup by the kind of backend, for any number of configurations."""
+    backend = F.regexp_replace(F.lower(F.coalesce("backend", F.lit("unset"))), "-", "_")
+    kind = (
+        F.when(F.col("input_mode") == "normalized_matrix", "normalized_matrix")
+        .when(backend.isin("synthetic", "synthetic_demo"), "synthetic_demo")
+        .when(backend == "precomputed", "precomputed")
+        .when(backend.isin("pydeseq2", "deseq2_r"), "external")
+        .otherwise("other")
+    )
+    out = configs.withColumn("backend", backend).withColumn("kind", kind)
+    for i, name in enumerate(SUPPORT_COLUMNS):
+        known = F.create_map(*[F.lit(x) for k, v in SUPPORT.items() if v[i] is not None for x in (k, v[i])])
+        value = F.try_element_at(known, F.col("kind"))
+        out = out.withColumn(name, F.coalesce(value, F.col("backend")) if name == "required_backend" else value)
+    return out.withColumn("input_mode", F.when(F.col("kind") == "precomputed", "precomputed_de").otherwise(F.col("input_mode"))).drop("kind")
+
+
+# Modes and scales: fixed values.
+INPUT_MODES = ("raw_counts", "precomputed_de", "normalized_matrix")
+NORMALIZED_SCALES = ("normalized_count", "log2_expression", "vst", "rlog", "voom_log_cpm", "tpm", "fpkm", "rpkm")
+
+
+def config_issues(configs: DataFrame) -> DataFrame:
+    """configs and `issues`: every rule that a configuration breaks, in order.
+
+    configs: (input_mode, value_scale, effect_scale, duplicate_gene_policy, precomputed_table, contrast_id,
+    control_condition, treatment_condition).
+    """
+    c = F.col
+    mode, scale = c("input_mode"), c("value_scale")
+    rules = {
+        "unsupported_input_mode": ~mode.isin(*INPUT_MODES),
+        "unsupported_effect_scale": c("effect_scale") != "log2_fold_change",
+        "unsupported_duplicate_gene_policy": c("duplicate_gene_policy") != "reject",
+        "raw_counts_need_raw_scale": (mode == "raw_counts") & (scale != "raw_count"),
+        "precomputed_needs_table": (mode == "precomputed_de") & c("precomputed_table").isNull(),
+        "normalized_needs_scale": (mode == "normalized_matrix") & ~scale.isin(*NORMALIZED_SCALES),
+        "contrast_id_empty": F.coalesce(c("contrast_id"), F.lit("")) == "",
+        "conditions_equal": c("control_condition").eqNullSafe(c("treatment_condition")),
+    }
+    return configs.withColumn("issues", F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])))
+
+
+def analyze(mode: str, *, counts: DataFrame | None = None, samples: DataFrame | None = None, table: DataFrame | None = None, policy: ExpressionPolicy = P) -> DataFrame:
+    """Effects by input mode: raw counts as a demonstration, an imported table, or an error for what isn't executable."""
+    if mode == "raw_counts" and counts is not None and samples is not None:
+        return contrasts(library_size_median(counts), samples, policy)
+    if mode == "precomputed_de" and table is not None:
+        return canonical_effects(imported_statuses(table), policy)
+    if mode == "normalized_matrix":
+        raise ValueError("a normalized matrix can be validated, not analyzed")
+    raise ValueError(f"{mode} is not supported, or lacks its tables")
+
+
+def backend_effects(results: DataFrame, resolved: DataFrame, policy: ExpressionPolicy = P) -> DataFrame:
+    """A backend's rows (gene, lfc, shrunken, padj, low_count, shrinkage) as canonical effects with their identifiers.
+
+    resolved: (id, canonical_gene_id, ambiguity_status, mapping_confidence). Backends estimate every gene.
+    """
+    known = F.coalesce(~F.col("shrinkage").isin("unavailable", "unspecified"), F.lit(False))
+    low, thr = F.col("low_count"), policy.biological_threshold
+    out = results.join(resolved.select(F.col("id").alias("gene"), "canonical_gene_id", "ambiguity_status", "mapping_confidence"), "gene", "left")
+    out = out.withColumn("effect", F.when(known, F.col("shrunken")).otherwise(F.col("lfc"))).withColumn("effect_source", F.when(known, "backend_shrunken_log2fc").otherwise("reported_unshrunken_log2fc"))
+    e = F.col("effect")
+    return out.withColumns(
+        {
+            "tested_status": F.when(low, "filtered_low_count").otherwise("tested"),
+            "filter_status": F.when(low, "low_count_filter").otherwise("not_filtered"),
+            "low_count_status": F.when(low, "low_count").otherwise("passes_count_filter"),
+            "model_status": F.lit("estimated"),
+            "numerical_direction": F.when(e.isNull(), "uncertain").when(e < 0, "decreased").when(e > 0, "increased").otherwise("exact_zero"),
+            "statistical_support": F.when(F.col("padj").isNull(), "adjusted_pvalue_unavailable").when(F.col("padj") <= policy.significance, "significant").otherwise("not_significant"),
+            "biological_threshold": F.when(e.isNull(), "indeterminate").when(F.lit(thr is None), "threshold_not_configured").when(e <= -(thr or 0), "exceeds_decrease_threshold").when(e >= (thr or 0), "exceeds_increase_threshold").otherwise("below_effect_threshold"),
+        }
+    )
+
+
+def record_counts(effects: DataFrame) -> DataFrame:
+    """(metric, value) of effect rows with canonical_gene_id and ambiguity_status, and of the downstream view made of them."""
+    c = F.col
+    rows = effects.withColumn("_out", exclusion())
+    tests = {
+        "total": F.lit(True),
+        "with_canonical_gene": c("canonical_gene_id").isNotNull(),
+        "unresolved_identifiers": c("ambiguity_status").isin("unresolved", "not_in_snapshot", "unmapped"),
+        "ambiguous_identifiers": c("ambiguity_status") == "ambiguous",
+        "missing_effects": c("effect").isNull(),
+        "tested": c("tested_status") == "tested",
+        "not_tested": c("tested_status").isin("not_tested", "untested"),
+        "filtered": ~c("filter_status").isin("not_filtered", "imported_missing") | (c("low_count_status") == "low_count"),
+        "not_estimable": c("model_status") == "model_not_estimable",
+        "model_failures": c("model_status") == "model_failure",
+        "included": c("_out").isNull(),
+        "excluded": c("_out").isNotNull(),
+        "included_without_padj": c("_out").isNull() & c("padj").isNull(),
+        "included_shrunken": c("_out").isNull() & c("effect_source").isin("imported_shrunken_log2fc", "backend_shrunken_log2fc"),
+    }
+    one = rows.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c(k).alias("value")) for k in tests])).alias("x")).select("x.*")
+
+
+def exclusion_reasons(effects: DataFrame) -> DataFrame:
+    """(reason, n) of the rows that the downstream view leaves out."""
+    return effects.withColumn("reason", exclusion()).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

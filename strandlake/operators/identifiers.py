@@ -30,11 +30,21 @@ def normalized_identifier(c: Column) -> Column:
     return F.when(kind.isin("hgnc_symbol", "uniprot_accession", "reactome_stable_id", "signor_entity_id"), F.upper(v)).when(kind.isin("ensembl_gene_id", "ensembl_transcript_id"), F.substring_index(v, ".", 1)).otherwise(v)
 
 
+def _names(records: DataFrame, many: str, one: str) -> Column:
+    """A record's list of names, from a column of lists or of single names; never null."""
+    if many in records.columns:
+        return F.coalesce(F.col(many), F.array().cast("array<string>"))
+    return F.array_compact(F.array(one)) if one in records.columns else F.array().cast("array<string>")
+
+
 def index(records: DataFrame) -> DataFrame:
-    """(lookup, record): each record under its identifier, symbol, aliases and previous symbols, upper-cased."""
-    names = F.array_compact(F.array("input_identifier", "canonical_symbol", "alias", "previous_symbol"))
-    rows = records.select("*", F.explode(F.array_distinct(F.transform(names, lambda x: F.upper(F.trim(x))))).alias("lookup"))
-    return rows
+    """records and lookup: each record under its identifier, symbol, aliases and previous symbols, upper-cased.
+
+    Names come as lists (aliases, previous_symbols) or one by one (alias, previous_symbol).
+    """
+    names = F.concat(F.array_compact(F.array("input_identifier", "canonical_symbol")), _names(records, "aliases", "alias"), _names(records, "previous_symbols", "previous_symbol"))
+    keys = F.filter(F.array_distinct(F.transform(names, lambda x: F.upper(F.trim(x)))), lambda x: x != "")
+    return records.withColumn("former", F.transform(_names(records, "previous_symbols", "previous_symbol"), lambda x: F.upper(F.trim(x)))).withColumn("lookup", F.explode(keys))
 
 
 def resolve(ids: DataFrame, records: DataFrame, policy: str = "exclude") -> DataFrame:
@@ -43,10 +53,9 @@ def resolve(ids: DataFrame, records: DataFrame, policy: str = "exclude") -> Data
     The matches of a key are aggregated before the join, so a key that many records share stays one row.
     """
     hits = index(records).groupBy("lookup").agg(
-        F.min_by(F.struct("canonical_gene_id", "canonical_symbol", "confidence"), "input_order").alias("first"),
+        F.min_by(F.struct("canonical_gene_id", "canonical_symbol", "confidence", "former"), "input_order").alias("first"),
         F.array_sort(F.collect_set("canonical_gene_id")).alias("candidates"),
         F.bool_or("ambiguous").alias("any_ambiguous"),
-        F.min_by(F.upper("previous_symbol"), "input_order").alias("first_previous"),
     )
     out = ids.withColumn("lookup", F.upper(F.trim("id"))).join(hits, "lookup", "left")
     ambiguous = (F.size("candidates") > 1) | F.col("any_ambiguous")
@@ -56,7 +65,7 @@ def resolve(ids: DataFrame, records: DataFrame, policy: str = "exclude") -> Data
     return out.select(
         "id", "ambiguity_status", F.when(good, F.col("first.canonical_gene_id")).alias("canonical_gene_id"), F.when(good, F.col("first.canonical_symbol")).alias("symbol"),
         F.when(good, F.when(F.col("first.confidence") == "unambiguous", 1.0).otherwise(0.5)).otherwise(0.0).alias("mapping_confidence"),
-        F.when(good & (F.col("first_previous") == F.col("lookup")), "deprecated").when(good, "current").alias("deprecated_status"),
+        F.when(good & F.array_contains("first.former", F.col("lookup")), "deprecated").when(good, "current").alias("deprecated_status"),
         F.when(F.col("ambiguity_status") == "ambiguous", F.col("candidates")).otherwise(F.array().cast("array<string>")).alias("candidates"),
     )
 
@@ -65,7 +74,6 @@ def alias_resolution(ids: DataFrame, aliases: DataFrame) -> DataFrame:
     """ids against (alias, canonical): none keeps itself, one is mapped, more are ambiguous."""
     a = aliases.groupBy(F.upper("alias").alias("lookup")).agg(F.array_sort(F.collect_set("canonical")).alias("c"))
     out = ids.withColumn("lookup", F.upper(F.trim("id"))).join(a, "lookup", "left")
-    n = F.coalesce(F.size("c"), F.lit(0))
     n = F.when(F.col("c").isNull(), 0).otherwise(F.size("c"))
     return out.select("id", F.when(n == 0, normalized_identifier(F.col("id"))).when(n == 1, F.col("c")[0]).alias("resolved"), F.when(n > 1, "ambiguous").when(n == 1, "mapped").otherwise("self").alias("status"))
 

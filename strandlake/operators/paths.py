@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.sources.stored import stored
+
 
 def simple_edges(edges: DataFrame) -> DataFrame:
     """One edge per (source, target), the smallest edge id; no loops."""
@@ -26,16 +28,47 @@ def sources(edges: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     return (roots if roots.limit(1).count() else out).withColumn("status", F.lit("searched"))
 
 
-def enumerate_paths(edges: DataFrame, starts: DataFrame, max_length: int = 4) -> DataFrame:
-    """All simple paths of 1 to max_length edges from the nodes of starts (node): source, target, nodes, edge_ids, signs, n_edges."""
+def search_targets(edges: DataFrame, starts: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(source, target, status, scope) of a search.
+
+    With candidates (node), each source is paired with each: resolved, or candidate_not_in_graph, also where a
+    source is its own candidate. Without, every node that a source can reach is a target; sources and nodes
+    are never multiplied, as nodes out of reach give no path.
+    """
+    if candidates is None:
+        found = reachable(edges, starts, stored)
+        return found.where("source <> node").select("source", F.col("node").alias("target"), F.lit("resolved").alias("status"), F.lit("all_reachable_entities").alias("scope"))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("target")).distinct().withColumn("known", F.lit(True))
+    asked = candidates.select(F.col("node").alias("target")).distinct().join(nodes, "target", "left")
+    # the request itself is sources times candidates
+    pairs = starts.select(F.col("node").alias("source")).distinct().join(asked)
+    ok = F.col("known").isNotNull() & (F.col("source") != F.col("target"))
+    return pairs.select("source", "target", F.when(ok, "resolved").otherwise("candidate_not_in_graph").alias("status"), F.lit("explicit_candidate_scope").alias("scope"))
+
+
+def enumerate_paths(edges: DataFrame, starts: DataFrame, max_length: int = 4, targets: DataFrame | None = None) -> DataFrame:
+    """All simple paths of 1 to max_length edges from the nodes of starts (node): source, target, nodes, edge_ids, signs, n_edges.
+
+    targets (node): only paths that end in one. A path then grows only into nodes from which a target is near
+    enough, so what can't be finished is never made. Steps are stored: the union reads them, and doesn't walk again.
+    """
     e = simple_edges(edges).select(F.col("source").alias("tail"), F.col("target").alias("head"), "edge_id", "sign")
-    step = e.join(starts.select(F.col("node").alias("tail")).distinct(), "tail").select(F.col("tail").alias("source"), F.col("head").alias("target"), F.array("tail", "head").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.array("sign").alias("signs"))
-    out = step
-    for _ in range(max_length - 1):
-        step = step.join(e, F.col("target") == F.col("tail")).where(~F.array_contains("nodes", F.col("head")))
-        step = step.select("source", F.col("head").alias("target"), F.array_append("nodes", F.col("head")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("signs", F.col("sign")).alias("signs"))
+    near = None
+    if targets is not None:
+        e = stored(e)
+        near = [targets.select(F.col("node").alias("head")).distinct()]  # near[k]: nodes with a target at most k edges away
+        for _ in range(max_length - 1):
+            back = e.join(near[-1], "head", "left_semi").select(F.col("tail").alias("head"))
+            near.append(stored(near[-1].unionByName(back).distinct()))
+    grow = lambda left: e if near is None else e.join(near[left], "head", "left_semi")
+    step = grow(max_length - 1).join(starts.select(F.col("node").alias("tail")).distinct(), "tail").select(F.col("tail").alias("source"), F.col("head").alias("target"), F.array("tail", "head").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.array("sign").alias("signs"))
+    out = step = stored(step)
+    for n in range(1, max_length):
+        step = step.join(grow(max_length - 1 - n), F.col("target") == F.col("tail")).where(~F.array_contains("nodes", F.col("head")))
+        step = stored(step.select("source", F.col("head").alias("target"), F.array_append("nodes", F.col("head")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("signs", F.col("sign")).alias("signs")))
         out = out.unionByName(step)
-    return out.withColumn("n_edges", F.size("edge_ids"))
+    out = out.withColumn("n_edges", F.size("edge_ids"))
+    return out if near is None else out.join(targets.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select(*out.columns)
 
 
 def ranked(paths: DataFrame, per_target: int = 25) -> DataFrame:

@@ -76,21 +76,24 @@ TABLES = {
                lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS target
         FROM lineitem""",
     "edges": """
-        SELECT evidence_id, provider, CAST(source AS VARCHAR(20)) AS source, CAST(target AS VARCHAR(20)) AS target, sign, relation, ref, record_id, directed, functional_only, predicted_only
+        SELECT evidence_id, provider, CAST(source AS VARCHAR(20)) AS source, CAST(target AS VARCHAR(20)) AS target, sign,
+               CASE WHEN l_quantity < 5 THEN 'regulates' WHEN l_quantity < 8 THEN 'interaction' WHEN l_quantity < 25 THEN 'phosphorylation' ELSE 'transcription' END AS relation, ref,
+               CASE WHEN l_quantity = 30 THEN NULL ELSE record_id END AS record_id, directed, functional_only, predicted_only, l_quantity BETWEEN 40 AND 41 AS contextual_only,
+               CASE WHEN l_quantity < 20 THEN 'HeLa' WHEN l_quantity < 30 THEN 'A549' END AS cell_type, CASE WHEN l_quantity < 45 THEN 'lung' ELSE '' END AS tissue, 'human' AS organism
         FROM (
           SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-a') AS evidence_id, CASE WHEN l_linestatus = 'F' THEN 'signor' ELSE 'omnipath' END AS provider, source, target,
-                 CASE l_returnflag WHEN 'A' THEN 'positive' WHEN 'R' THEN 'negative' ELSE 'unsigned' END AS sign, CASE WHEN l_quantity < 25 THEN 'phosphorylation' ELSE 'transcription' END AS relation,
+                 CASE l_returnflag WHEN 'A' THEN 'positive' WHEN 'R' THEN 'negative' ELSE 'unsigned' END AS sign, l_quantity,
                  concat('PMID', CAST(l_orderkey AS VARCHAR(20))) AS ref, concat('R', CAST(l_orderkey AS VARCHAR(20)), '.', CAST(l_linenumber AS VARCHAR(9))) AS record_id,
                  l_returnflag <> 'N' AS directed, l_quantity > 48 AS functional_only, l_quantity < 3 AS predicted_only
           FROM steps WHERE target IS NOT NULL AND source <> target
           UNION ALL
           SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-b'), 'omnipath_copy', source, target,
-                 CASE l_returnflag WHEN 'A' THEN 'positive' WHEN 'R' THEN 'negative' ELSE 'unsigned' END, CASE WHEN l_quantity < 25 THEN 'phosphorylation' ELSE 'transcription' END,
+                 CASE l_returnflag WHEN 'A' THEN 'positive' WHEN 'R' THEN 'negative' ELSE 'unsigned' END, l_quantity,
                  concat('PMID', CAST(l_orderkey AS VARCHAR(20))), concat('R', CAST(l_orderkey AS VARCHAR(20)), '.', CAST(l_linenumber AS VARCHAR(9))), l_returnflag <> 'N', l_quantity > 48, l_quantity < 3
           FROM steps WHERE target IS NOT NULL AND source <> target AND l_linenumber IN (1, 3, 5, 7)
           UNION ALL
           SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9)), '-c'), 'reactome', source, target, CASE l_returnflag WHEN 'A' THEN 'negative' ELSE 'positive' END,
-                 CASE WHEN l_quantity < 25 THEN 'phosphorylation' ELSE 'transcription' END, concat('PMID9', CAST(l_orderkey AS VARCHAR(20))), concat('X', CAST(l_orderkey AS VARCHAR(20))), true, false, false
+                 l_quantity, concat('PMID9', CAST(l_orderkey AS VARCHAR(20))), concat('X', CAST(l_orderkey AS VARCHAR(20))), true, false, false
           FROM steps WHERE target IS NOT NULL AND source <> target AND l_quantity > 45) e""",
 }
 

@@ -54,3 +54,15 @@ class ExpressionPolicy:
     expressed_count: float = 1.0
     significance: float = 0.05
     biological_threshold: float | None = 0.5
+
+
+@dataclass(frozen=True)
+class InclusionPolicy:
+    """Which sites make a transcript targetable; fixed values as defaults."""
+
+    include_seed_only: bool = False
+    include_ambiguous: bool = False
+    include_exact: bool = True
+    include_near: bool = True
+    classes: tuple[str, ...] = ("exact_full_length_complement", "near_full_length_complement")
+    require_cleavage: bool = True

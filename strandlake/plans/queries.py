@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import rna
+from strandlake.sources.stored import stored
 from strandlake.operators import audit, edges, effects, enrichment, expression, identifiers, isoform, paths, ratio, sites, targetability
 
 from .adapters import duckdb_with, spark_tables
@@ -125,17 +126,18 @@ def _(sequences, guides):
     return sites.coverage(sequences, sites.seed_sites(sequences, sites.strands(guides)).where("k = 8"))
 
 
-@query("intended_targets", "sequences guides", SITES_SQL + """ SELECT g.sirna_id, g.intended_gene AS gene_id, count(s.start) AS n_candidates, count(*) FILTER (s.priority <= 1) AS n_accepted, CASE WHEN count(*) FILTER (s.priority <= 1) > 0 THEN 'accepted' WHEN count(s.start) > 0 THEN 'rejected' ELSE 'no_candidate_site' END AS status
+@query("intended_targets", "sequences guides", SITES_SQL + """ SELECT g.sirna_id, g.intended_gene AS gene_id, count(s.start) AS n_candidates, count(*) FILTER (s.priority <= 1) AS n_accepted, CASE WHEN count(*) FILTER (s.priority <= 1) > 0 THEN 'accepted' WHEN count(s.start) > 0 THEN 'rejected' ELSE 'no_candidate_site' END AS status,
+      concat_ws(',', CASE WHEN count(*) FILTER (s.n_central_mm > 0) > 0 THEN 'central' END, CASE WHEN count(*) FILTER (s.priority > 1) > 0 THEN 'class' END, CASE WHEN count(*) FILTER (s.n_seed_mm > 0) > 0 THEN 'seed' END, CASE WHEN count(*) FILTER (s.n_total_mm > 2) > 0 THEN 'total' END) AS rejection_reasons
     FROM guides g LEFT JOIN sites s ON s.sirna_id = g.sirna_id AND s.gene_id = g.intended_gene GROUP BY ALL""")
 def _(sequences, guides):
-    return targetability.intended_targets(guides, targetability.scan(sequences, guides)).drop("rejection_reasons")
+    return targetability.intended_targets(guides, targetability.scan(sequences, guides)).withColumn("rejection_reasons", F.concat_ws(",", "rejection_reasons"))
 
 
 @query("targetability_summary", "sequences guides", SITES_SQL + BEST_SQL + """, a AS (SELECT count(*) AS sites, count(*) FILTER (priority = 0) AS exact_sites, count(*) FILTER (priority = 1) AS near_sites, count(*) FILTER (priority = 3) AS seed_only_sites, count(*) FILTER (priority = 4) AS partial_sites, count(*) FILTER (priority <= 1) AS cleavage_sites, count(DISTINCT sirna_id) AS guides_with_site, count(DISTINCT gene_id) AS genes_with_site, CAST(sum(n_total_mm) AS BIGINT) AS mismatches FROM sites),
     b AS (SELECT count(*) AS pairs, count(*) FILTER (decision = 'cleavage_candidate_present') AS cleavage_pairs, count(*) FILTER (decision = 'seed_only_candidate_present') AS seed_only_pairs, count(*) FILTER (tied) AS tied_pairs FROM decided)
     SELECT metric, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT metric, value FROM (UNPIVOT b ON COLUMNS(*) INTO NAME metric VALUE value)""")
 def _(sequences, guides):
-    s = targetability.scan(sequences, guides)
+    s = stored(targetability.scan(sequences, guides))
     return targetability.summary(s, targetability.best_sites(s))
 
 
@@ -184,7 +186,7 @@ PARTS_SQL = (
 
 
 def _parts(sequences, guides, annotation):
-    best = targetability.best_sites(targetability.scan(sequences, guides))
+    best = stored(targetability.best_sites(targetability.scan(sequences, guides)))  # two branches read it
     genes = best.select("sirna_id", "gene_id").union(guides.select("sirna_id", "intended_gene")).distinct()
     ok = isoform.eligibility(annotation).where("eligible").select("gene_id", "transcript_id", "sequence_available")
     return genes, ratio.contributions(genes.join(ok, "gene_id"), best)
@@ -338,7 +340,7 @@ EFFECT_SQL = (
 
 
 def _expected(sequences, guides, annotation, counts, samples):
-    ratios = _ratios(sequences, guides, annotation).withColumnRenamed("sirna_id", "run_key")
+    ratios = stored(_ratios(sequences, guides, annotation).withColumnRenamed("sirna_id", "run_key"))  # three branches read it
     con = expression.contrasts(expression.library_size_median(counts), samples).select("gene_id", F.col("shrunken").alias("lfc"))
     runs = guides.select(F.col("sirna_id").alias("run_key"), F.col("intended_gene").alias("gene_id"))
     wanted = ratios.select("run_key", "gene_id").union(runs).distinct()
@@ -386,9 +388,9 @@ def _labels(sequences, guides, annotation, counts, samples, edge):
     return effects.classify(effects.integrate(effects.residuals(rows, effects.support(paths_))))
 
 
-@query("residual_attribution", "sequences guides annotation counts samples edges", LABEL_SQL + " SELECT run_key, gene_id, residual_magnitude, n AS support_count, support_status FROM rt")
+@query("residual_attribution", "sequences guides annotation counts samples edges", LABEL_SQL + " SELECT run_key, gene_id, CASE WHEN effect_status = 'definitive' THEN CASE WHEN abs(residual) <= 1e-9 THEN 'matches_expected_direct_effect' WHEN residual < 0 THEN 'more_decreased_than_expected' ELSE 'less_decreased_or_increased_than_expected' END END AS residual_direction, residual_magnitude, n AS support_count, support_status FROM rt")
 def _(*tables):
-    return _labels(*tables).select("run_key", "gene_id", "residual_magnitude", "support_count", "support_status")
+    return _labels(*tables).select("run_key", "gene_id", "residual_direction", "residual_magnitude", "support_count", "support_status")
 
 
 @query("evidence_integration", "sequences guides annotation counts samples edges", LABEL_SQL + " SELECT run_key, gene_id, sequence_component, expected_component, support_status AS pathway_component, CASE WHEN support_status = 'unresolved_upstream_expected_effect' THEN 'unresolved_upstream_residual_attribution' ELSE 'ready_for_final_classification' END AS readiness FROM ig")
@@ -408,38 +410,42 @@ def _(*tables):
 
 # --- evidence graph ------------------------------------------------------------------------------
 
-LINEAGE_SQL = """, lg AS (SELECT source, target, directed, relation, sign, record_id, ref, count(DISTINCT evidence_id) AS members, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(DISTINCT provider) AS n_dbs, min(evidence_id) AS lineage_id, bool_or(functional_only) AS functional_only, bool_or(predicted_only) AS predicted_only FROM edges GROUP BY ALL),
-    lc AS (SELECT *, CASE WHEN members > 1 THEN 'exact_duplicate' WHEN (sign = 'positive' AND count(*) FILTER (sign = 'negative') OVER c > 0) OR (sign = 'negative' AND count(*) FILTER (sign = 'positive') OVER c > 0) THEN 'independent_opposing_edge' WHEN count(*) OVER r > 1 THEN 'publication_duplicate' ELSE 'independent_same_edge' END AS lineage_class
-      FROM lg WINDOW c AS (PARTITION BY source, target, directed, relation), r AS (PARTITION BY source, target, directed, relation, ref)),
+LINEAGE_SQL = """, rc AS (SELECT *, CASE WHEN functional_only THEN 'functional' WHEN contextual_only THEN 'contextual' WHEN relation IN ('regulates', 'regulation', 'interaction') THEN 'regulatory' ELSE relation END AS relation_class FROM edges),
+    lg AS (SELECT source, target, directed, relation_class, relation, sign, record_id, ref, count(DISTINCT evidence_id) AS members, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(DISTINCT provider) AS n_dbs, min(evidence_id) AS lineage_id, bool_or(functional_only) AS functional_only, bool_or(predicted_only) AS predicted_only FROM rc GROUP BY ALL),
+    lc AS (SELECT *, CASE WHEN members > 1 THEN 'exact_duplicate' WHEN (sign = 'positive' AND count(*) FILTER (sign = 'negative') OVER c > 0) OR (sign = 'negative' AND count(*) FILTER (sign = 'positive') OVER c > 0) THEN 'independent_opposing_edge' WHEN count(*) OVER r > 1 THEN 'publication_duplicate'
+        WHEN record_id IS NULL AND count(*) OVER d > 1 THEN 'likely_duplicate' ELSE 'independent_same_edge' END AS lineage_class
+      FROM lg WINDOW c AS (PARTITION BY source, target, directed, relation_class, relation), r AS (PARTITION BY source, target, directed, relation_class, relation, ref), d AS (PARTITION BY source, target, directed, relation_class, relation, providers)),
     ql AS (SELECT *, CASE WHEN directed THEN 0.12 ELSE 0 END + CASE WHEN sign <> 'unsigned' THEN 0.14 ELSE 0 END + 0.11 + CASE WHEN functional_only THEN 0 ELSE 0.12 END + CASE WHEN predicted_only THEN 0 ELSE 0.12 END + 0.14 / 3 + 0.10 * least(n_dbs, 2) / 2 + 0.15 AS raw_quality FROM lc),
     qq AS (SELECT *, least(CAST(raw_quality AS DOUBLE), CASE WHEN functional_only THEN 0.55 ELSE 1.0 END, CASE WHEN NOT directed OR sign = 'unsigned' THEN 0.45 ELSE 1.0 END, CASE WHEN predicted_only THEN 0.7 ELSE 1.0 END) AS quality FROM ql),
-    co AS (SELECT source, target, CASE WHEN functional_only THEN 'functional' ELSE relation END AS kind, count(*) FILTER (lineage_class <> 'publication_duplicate') AS independent, count(*) FILTER (lineage_class = 'publication_duplicate') AS duplicates, count(*) FILTER (sign = 'positive') AS n_positive, count(*) FILTER (sign = 'negative') AS n_negative, min(quality) AS min_quality, bool_or(directed) AS directed, bool_and(functional_only) AS functional_only, min(lineage_id) AS edge_id FROM qq GROUP BY 1, 2, 3),
-    cs AS (SELECT *, CASE WHEN n_positive > 0 AND n_negative > 0 THEN 'conflicting' WHEN n_positive > 0 THEN 'positive' WHEN n_negative > 0 THEN 'negative' ELSE 'unsigned' END AS sign FROM co)"""
+    co AS (SELECT source, target, CASE WHEN functional_only THEN 'functional' ELSE relation_class END AS kind, count(*) FILTER (lineage_class NOT IN ('publication_duplicate', 'likely_duplicate')) AS independent, count(*) FILTER (lineage_class IN ('publication_duplicate', 'likely_duplicate')) AS duplicates, count(*) FILTER (sign = 'positive') AS n_positive, count(*) FILTER (sign = 'negative') AS n_negative, min(quality) AS min_quality, bool_or(directed) AS directed, bool_and(functional_only) AS functional_only, min(lineage_id) AS edge_id,
+      array_to_string(list_sort(list_distinct(flatten(list(string_split(providers, ','))))), ',') AS providers FROM qq GROUP BY 1, 2, 3),
+    cs AS (SELECT *, CASE WHEN n_positive > 0 AND n_negative > 0 THEN 'conflicting' WHEN n_positive > 0 THEN 'positive' WHEN n_negative > 0 THEN 'negative' ELSE 'unsigned' END AS sign FROM co),
+    ly AS (SELECT source, target, 'provider_evidence' AS layer FROM cs UNION ALL SELECT source, target, 'signed_causal' FROM cs WHERE sign IN ('positive', 'negative') AND NOT functional_only UNION ALL SELECT source, target, 'unsigned_functional' FROM cs WHERE sign = 'unsigned' OR functional_only
+      UNION ALL SELECT source, target, 'contextual' FROM cs WHERE kind = 'contextual' UNION ALL SELECT source, target, 'conflicting' FROM cs WHERE sign = 'conflicting')"""
 
 
 def _consensus(edge):
     return edges.consensus(edges.quality(edges.lineage_classes(edges.lineage_groups(edge))))
 
 
-@query("edge_lineage", "edges", LINEAGE_SQL + " SELECT source, target, directed, relation, sign, record_id, ref, members, providers, lineage_class, round(quality, 6) AS quality FROM qq")
+@query("edge_lineage", "edges", LINEAGE_SQL + " SELECT source, target, directed, relation_class, relation, sign, record_id, ref, members, providers, lineage_class, round(quality, 6) AS quality FROM qq")
 def _(edge):
     q = edges.quality(edges.lineage_classes(edges.lineage_groups(edge)))
-    return q.select("source", "target", "directed", "relation", "sign", "record_id", "ref", "members", F.concat_ws(",", "providers").alias("providers"), "lineage_class", F.round("quality", 6).alias("quality"))
+    return q.select("source", "target", "directed", "relation_class", "relation", "sign", "record_id", "ref", "members", F.concat_ws(",", "providers").alias("providers"), "lineage_class", F.round("quality", 6).alias("quality"))
 
 
-@query("edge_consensus", "edges", LINEAGE_SQL + " SELECT source, target, kind, independent, duplicates, n_positive, n_negative, round(min_quality, 6) AS min_quality, directed, functional_only, edge_id, sign FROM cs")
+@query("edge_consensus", "edges", LINEAGE_SQL + " SELECT source, target, kind, independent, duplicates, n_positive, n_negative, round(min_quality, 6) AS min_quality, directed, functional_only, edge_id, sign, providers FROM cs")
 def _(edge):
-    return _consensus(edge).drop("providers", "layers").withColumns(r6("min_quality"))
+    return _consensus(edge).drop("layers").withColumn("providers", F.concat_ws(",", "providers")).withColumns(r6("min_quality"))
 
 
-@query("graph_layers", "edges", LINEAGE_SQL + """, ly AS (SELECT source, target, 'provider_evidence' AS layer FROM cs UNION ALL SELECT source, target, 'signed_causal' FROM cs WHERE sign IN ('positive', 'negative') AND NOT functional_only UNION ALL SELECT source, target, 'unsigned_functional' FROM cs WHERE sign = 'unsigned' OR functional_only UNION ALL SELECT source, target, 'conflicting' FROM cs WHERE sign = 'conflicting')
-    SELECT e.layer, e.edges, n.nodes FROM (SELECT layer, count(*) AS edges FROM ly GROUP BY layer) e JOIN (SELECT layer, count(DISTINCT x) AS nodes FROM (SELECT layer, source AS x FROM ly UNION ALL SELECT layer, target FROM ly) GROUP BY layer) n ON n.layer = e.layer""")
+@query("graph_layers", "edges", LINEAGE_SQL + " SELECT e.layer, e.edges, n.nodes FROM (SELECT layer, count(*) AS edges FROM ly GROUP BY layer) e JOIN (SELECT layer, count(DISTINCT x) AS nodes FROM (SELECT layer, source AS x FROM ly UNION ALL SELECT layer, target FROM ly) GROUP BY layer) n ON n.layer = e.layer")
 def _(edge):
     return edges.layer_counts(_consensus(edge))
 
 
 @query("provider_coverage", "edges", LINEAGE_SQL + """ SELECT p.provider, p.edges, p.signed, p.unsigned, p."references", coalesce(c.n, 0) AS consensus_edges FROM (SELECT provider, count(*) AS edges, count(*) FILTER (sign <> 'unsigned') AS signed, count(*) FILTER (sign = 'unsigned') AS unsigned, count(DISTINCT ref) AS "references" FROM edges GROUP BY provider) p
-    LEFT JOIN (SELECT provider, count(*) AS n FROM (SELECT DISTINCT provider, source, target, CASE WHEN bool_or(functional_only) OVER (PARTITION BY source, target, directed, relation, sign, record_id, ref) THEN 'functional' ELSE relation END AS kind FROM edges) GROUP BY provider) c ON c.provider = p.provider""")
+    LEFT JOIN (SELECT provider, count(*) AS n FROM (SELECT DISTINCT provider, source, target, relation_class AS kind FROM rc) GROUP BY provider) c ON c.provider = p.provider""")
 def _(edge):
     return edges.provider_coverage(edge, _consensus(edge))
 
@@ -454,16 +460,17 @@ PATH_SQL = (
     LINEAGE_SQL
     + """, se AS (SELECT source, target, min(edge_id) AS edge_id, arg_min(sign, edge_id) AS sign FROM cs WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
     starts AS (SELECT DISTINCT source AS node FROM se WHERE CAST(source AS BIGINT) % 20 = 0),
-    walk AS (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
-      UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 2 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w)"""
+    short AS (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
+      UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 3 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w),
+    walk AS (SELECT * FROM short WHERE CAST(target AS BIGINT) % 20 = 10 UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, 4 FROM short w JOIN se s ON s.source = w.target WHERE w.n_edges = 3 AND CAST(s.target AS BIGINT) % 20 = 10 AND NOT list_contains(w.nodes, s.target))"""
 )
 
 
 def _paths(edge):
-    """Signed causal paths of up to two edges from every node whose number is divisible by 20 (the stated query set)."""
-    e = _consensus(edge).where("sign in ('positive', 'negative') and not functional_only")
-    starts = e.select(F.col("source").alias("node")).where("cast(node as long) % 20 = 0").distinct()
-    return paths.signed(paths.enumerate_paths(e, starts, 2))
+    """Signed causal paths of up to four edges from every node whose number is divisible by 20 to those where it leaves 10 (the stated query set)."""
+    e = stored(_consensus(edge).where("sign in ('positive', 'negative') and not functional_only"))
+    nodes = lambda end, rest: e.select(F.col(end).alias("node")).where(f"cast(node as long) % 20 = {rest}").distinct()
+    return paths.signed(paths.enumerate_paths(e, nodes("source", 0), 4, nodes("target", 10)))
 
 
 @query("signed_paths", "edges", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, n_edges, cumulative_sign, CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END AS expected_direction FROM walk")
@@ -543,21 +550,12 @@ def _(memberships):
 # --- audits --------------------------------------------------------------------------------------
 
 
-@query("ratio_audit", "sequences guides annotation", """ SELECT CAST(NULL AS VARCHAR) AS "check", CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail FROM guides WHERE false""")
-def _(sequences, guides, annotation):
-    genes, parts = _parts(sequences, guides, annotation)
-    return audit.ratio_audit(ratio.gene_ratios(parts, genes), parts, genes)
-
-
-@query("path_audit", "edges", """ SELECT CAST(NULL AS VARCHAR) AS "check", CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM edges WHERE false""")
-def _(edge):
-    p = _paths(edge)
-    return paths.dangling(p, paths.search_results(p))
-
-
 @query("sequence_validation", "sequences annotation", """ SELECT 'missing' AS "check", a.transcript_id FROM annotation a WHERE a.transcript_id NOT IN (SELECT transcript_id FROM sequences WHERE sequence <> '')""")
 def _(sequences, annotation):
     return targetability.sequence_issues(sequences, annotation)
 
 
 FLAGSHIP = "evidence_labels"
+
+# the rest of the registered queries
+from . import queries_io, queries_more  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators.expression import number
+from strandlake.operators.identifiers import identifier_type
 
 
 def _columns(df: DataFrame, required: list[str]) -> DataFrame:
@@ -95,17 +96,59 @@ def first_of(df: DataFrame, *names: str):
 
 
 def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
-    """Identifier resource: lists are split at ;, ambiguous is set by flag or by more than one candidate."""
+    """Identifier resource: lists are split at ;, ambiguous is set by flag or by more than one candidate.
+
+    input_order is the file's own column, or else the order of the lines; a blank type is told by shape.
+    """
     df = read_table(spark, path)
-    parts = lambda *n: F.coalesce(F.filter(F.transform(F.split(first_of(df, *n), ";"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
-    out = df.select(first_of(df, "input_identifier", "identifier", "id").alias("input_identifier"), first_of(df, "identifier_type", "type").alias("identifier_type"), first_of(df, "canonical_gene_id", "gene_id").alias("canonical_gene_id"), first_of(df, "canonical_symbol", "symbol").alias("canonical_symbol"), parts("aliases", "alias").alias("aliases"), parts("previous_symbols").alias("previous_symbols"), parts("candidate_mappings").alias("candidate_mappings"), first_of(df, "confidence").alias("confidence"), first_of(df, "ambiguous").alias("flag"))
+    df = df.withColumn("input_order", F.col("input_order").cast("long") if "input_order" in df.columns else F.monotonically_increasing_id())
+    parts = lambda *n: F.coalesce(F.filter(F.transform(F.split(first_of(df, *n), ";"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+    named = first_of(df, "input_identifier", "identifier", "id")
+    out = df.select("input_order", named.alias("input_identifier"), F.coalesce(first_of(df, "identifier_type", "type"), identifier_type(named, "snapshot")).alias("identifier_type"), first_of(df, "canonical_gene_id", "gene_id").alias("canonical_gene_id"), first_of(df, "canonical_symbol", "symbol").alias("canonical_symbol"), parts("aliases", "alias").alias("aliases"), parts("previous_symbols").alias("previous_symbols"), parts("candidate_mappings").alias("candidate_mappings"), first_of(df, "confidence").alias("confidence"), first_of(df, "ambiguous").alias("flag"))
     return out.withColumn("ambiguous", F.coalesce(F.lower("flag").isin("true", "1", "yes"), F.lit(False)) | (F.size("candidate_mappings") > 1)).drop("flag")
 
 
+def identifier_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """The four lists of an identifier snapshot: aliases, cross-references, deprecated names, ambiguities."""
+    own = ["input_identifier", "canonical_gene_id"]
+    return {
+        "aliases": records.select(*own, F.explode("aliases").alias("alias")),
+        "cross_references": records.where("canonical_gene_id is not null").select("canonical_gene_id", "identifier_type", F.col("input_identifier").alias("reference")).distinct(),
+        "deprecated": records.select(*own, F.explode("previous_symbols").alias("previous_symbol")),
+        "ambiguities": records.where("ambiguous").select(*own, "candidate_mappings"),
+    }
+
+
+def read_snapshot(spark: SparkSession, path: str, manifest: str, table: str, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, check) of a snapshot folder: a manifest in JSON and a table as JSON lines.
+
+    check: one row with the manifest's record_count and content_hash, those of the rows, and whether they agree.
+    A hash covers the rows in any order: see `content_hash`.
+    """
+    from strandlake.operators.audit import content_hash
+
+    rows = _columns(spark.read.json(f"{path}/{table}"), required or [])
+    says = spark.read.json(f"{path}/{manifest}", multiLine=True)
+    says = says.select(F.col("record_count").cast("long").alias("record_count"), F.col("content_hash").cast("string").alias("content_hash"))
+    found = content_hash(rows).select(F.col("rows").alias("found_count"), F.col("digest").alias("found_hash"))
+    check = says.join(found)  # a row on each side
+    return rows, check.withColumn("valid", F.col("record_count").eqNullSafe(F.col("found_count")) & F.col("content_hash").eqNullSafe(F.col("found_hash")))
+
+
+def write_snapshot(df: DataFrame, path: str, manifest: str, table: str) -> None:
+    """A folder that `read_snapshot` reads."""
+    from strandlake.operators.audit import content_hash
+
+    df.write.json(f"{path}/{table}")
+    # hashed as read back: JSON has fewer types
+    again = df.sparkSession.read.json(f"{path}/{table}")
+    content_hash(again).select(F.col("rows").alias("record_count"), F.col("digest").alias("content_hash")).coalesce(1).write.json(f"{path}/{manifest}")
+
+
 def read_memberships(spark: SparkSession, path: str, provider: str, required: list[str] | None = None) -> DataFrame:
     """Membership resource: one row per term, member and gene; unknown completeness is partial."""
     df = read_table(spark, path, required)
-    genes = F.explode_outer(F.filter(F.transform(F.split(first_of(df, "canonical_gene_ids", "genes"), ";"), F.trim), lambda x: x != ""))
+    genes = F.explode_outer(F.filter(F.transform(F.split(first_of(df, "canonical_gene_ids", "genes"), ";"), lambda x: F.trim(x)), lambda x: x != ""))
     out = df.select(F.lit(provider).alias("dataset"), first_of(df, "term_id", "pathway_id", "go_id").alias("term_id"), first_of(df, "term_name", "name").alias("term_name"), first_of(df, "member_entity_id", "member").alias("member"), first_of(df, "completeness_status").alias("c"), genes.alias("gene"))
     return out.withColumn("completeness", F.when(F.col("c").isin("complete", "partial"), F.col("c")).otherwise("partial")).drop("c").distinct()
 

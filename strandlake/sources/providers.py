@@ -13,7 +13,7 @@ EDGE = ("evidence_id", "provider", "source", "target", "sign", "relation", "refs
 
 
 def _refs(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), ",", ";"), ";"), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), ",", ";"), ";"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def _edge(df: DataFrame, provider: str, source, target, sign, relation, refs, record, directed, functional) -> DataFrame:
