@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 import struct
-import tempfile
-import uuid
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.sources.stored import shared_dir, stored  # noqa: F401
+
 #: Stands for a null doc_id inside the operators; it is given back as null.
 NULL_ID = -(2**63)
 
@@ -26,22 +26,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder's path under spark.checkpoint.dir; only a local master may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = getattr(spark, "_strandlake_shared", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark._strandlake_shared = base
-    return f"{base.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs only its tasks."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+written = stored
 
 
 def buckets(spark: SparkSession, factor: int = 2) -> int:

@@ -1,10 +1,17 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host share a wrapper. Each page's DOM is reduced to a skeleton (runs of like siblings become
-one node) and aligned with the skeleton of the host's reference page by simple tree matching. Nodes whose
-text is the same on nearly all of a host's pages become template; varying nodes are slots. The main text is
-what the slots of the article hold: elements that by their meaning are never part of it (menus, forms,
-adverts, comments, ...) are left out as well, which also serves hosts with too few pages to tell.
+one node) and aligned with the skeleton of the host's reference page by simple tree matching. Over all
+different pages of a host that tells, for each node of the wrapper, whether its text is the same on nearly
+all of them (template) or varies (a slot), and how much text its slots hold. The content root is where that
+text is: from the top the wrapper is followed into the container that holds nearly all of it. The main text is
+what the slots below the root hold.
+
+Two things can't be seen from what varies and what not, and are read from the markup: elements that never
+hold an article's text (menus, forms, scripts, ...; adverts, notices and comments by their names), and an
+element that says it is the article, whose text counts many times when the root is chosen.
+
+A host with fewer than MIN_PAGES different pages has no template; each of its pages is its own wrapper.
 """
 
 from __future__ import annotations
@@ -24,32 +31,50 @@ from .url_rules import host_of
 MIN_PAGES = 4  # aligned different pages of a host before its template counts
 CONSTANT = 0.9  # share of them on which a template node has the same text
 COMMON = 0.5  # share of all different pages of the host on which it has that text
+HOLDS = 0.8  # share of a node's text that a container below must hold to be followed
+NAMED = {"article": 20, "main": 10}  # how many times the text of an element counts that says it is the article
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("#root html body article main section div center table tbody tr td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("script style noscript template head nav footer aside form button select textarea option iframe object svg canvas audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: A container counts as one of these if one of its names is made of these words alone: "ad", "cookie-notice".
 MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer comment comments commentlist respond reply replies discussion disqus share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager copyright legal".split()
+    "breadcrumb breadcrumbs footer comment comments commentlist respond reply replies discussion disqus share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager copyright legal "
+    "box bar block area section list form links link site page the top bottom left right".split()
 )
+#: Words of MARKS that say nothing alone.
+WEAK = frozenset("box bar block area section list form links link site page the top bottom left right".split())
+MARKED = frozenset("div section ul ol dl table span center figure header details".split())
 PAGE_HEADER = frozenset("header masthead topbar".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl body article section div main".split())
 
 
+def _marked(names: list[str]) -> bool:
+    for name in names:
+        words = {w for w in re.split(r"[_\-]+", name) if w}
+        if words and words <= MARKS and not words <= WEAK:
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "label", "skip", "items", "inside")
+    __slots__ = ("tag", "label", "skip", "items", "inside", "link")
 
     def __init__(self, tag: str, attrs: list, parent: Node | None) -> None:
         a = {k: v or "" for k, v in attrs}
-        words = set(re.split(r"[\s_\-]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+        names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
         self.tag, self.items = tag, []
         self.label = f"{tag}.{a.get('class', '')}"
         self.inside = bool(parent and (parent.inside or parent.tag in ("article", "main")))
+        self.link = tag == "a" or bool(parent and parent.link)
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        self.skip = bool(parent and parent.skip) or hidden or tag in NEVER or a.get("role", "").lower() in ROLES or bool(words & MARKS)
-        if not self.inside and (tag == "header" or words & PAGE_HEADER):
+        self.skip = bool(parent and parent.skip) or hidden or tag in NEVER or tag not in ("body", "html", "main", "article") and a.get("role", "").lower() in ROLES or tag in MARKED and _marked(names)
+        if not self.inside and (tag == "header" or tag in MARKED and PAGE_HEADER & set(names)):
             self.skip = True
 
 
@@ -97,84 +122,126 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.stack[-1].items.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """<![...]> is a comment of no meaning here, whatever it holds."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
 
 # --- skeletons and their alignment ---------------------------------------------------------------
 
 
-def skeleton(node: Node, nodes: list[list[Node]] | None = None, group: list[Node] | None = None) -> list:
-    """[label, text hash, children]; like siblings in a row are one node. nodes: gets the DOM nodes of each, in preorder."""
-    group = group or [node]
-    own = " ".join(" ".join(x for x in n.items if isinstance(x, str)).strip() for n in group)
-    out = [node.label, zlib.crc32(" ".join(own.split()).encode("utf-8", "surrogatepass")) if own.strip() else 0, []]
-    if nodes is not None:
-        nodes.append(group)
-    runs: list[list[Node]] = []
-    for n in group:
-        for child in n.items:
-            if isinstance(child, str):
-                continue
-            if runs and runs[-1][0].label == child.label:
-                runs[-1].append(child)
+class Skeleton:
+    """Nodes in preorder: label, hash of the own text (0 without), its length where it may be content, children."""
+
+    def __init__(self, labels: list[str], hashes: list[int], sizes: list[int], kids: list[list[int]]) -> None:
+        self.labels, self.hashes, self.sizes, self.kids = labels, hashes, sizes, kids
+
+    @classmethod
+    def of(cls, root: Node) -> tuple[Skeleton, list[list[Node]]]:
+        """The skeleton of a DOM, and the DOM nodes of each of its nodes. Like siblings in a row are one node."""
+        out, groups = cls([], [], [], []), []
+        todo: list[tuple[list[Node], int]] = [([root], -1)]
+        while todo:
+            group, parent = todo.pop()
+            number = len(groups)
+            if parent >= 0:
+                out.kids[parent].append(number)
+            groups.append(group)
+            text = " ".join(" ".join([x for n in group for x in n.items if isinstance(x, str)]).split())
+            out.labels.append(group[0].label)
+            out.hashes.append(zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else 0)
+            out.sizes.append(0 if group[0].skip or group[0].link else len(text))
+            out.kids.append([])
+            runs: list[list[Node]] = []
+            for n in group:
+                for child in n.items:
+                    if not isinstance(child, str):
+                        if runs and runs[-1][0].label == child.label:
+                            runs[-1].append(child)
+                        else:
+                            runs.append([child])
+            if len(group) > 1:  # of a repeated node the children of one label are one node
+                by: dict[str, list[Node]] = {}
+                for r in runs:
+                    by.setdefault(r[0].label, []).extend(r)
+                runs = list(by.values())
+            todo += [(r, number) for r in reversed(runs)]
+        return out, groups
+
+    def to_json(self) -> str:
+        return json.dumps([self.labels, self.hashes, self.sizes, self.kids])
+
+    @classmethod
+    def from_json(cls, text: str) -> Skeleton:
+        return cls(*json.loads(text))
+
+
+def match(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
+    """Simple tree matching: pairs of nodes of the largest top-down alignment that keeps order and labels."""
+    if a.labels[0] != b.labels[0]:
+        return []
+    best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo[-1]
+        if (x, y) in best:
+            todo.pop()
+            continue
+        rows, columns = a.kids[x], b.kids[y]
+        open_ = [(i, j) for i in rows for j in columns if a.labels[i] == b.labels[j] and (i, j) not in best]
+        if open_:
+            todo += open_
+            continue
+        todo.pop()
+        width = len(columns) + 1
+        table = [[0] * width]
+        for i in rows:
+            above, line = table[-1], [0] * width
+            for k, j in enumerate(columns, 1):
+                here = above[k - 1] + best[i, j][0] if a.labels[i] == b.labels[j] else 0
+                line[k] = max(above[k], line[k - 1], here)
+            table.append(line)
+        pairs, i, j = [], len(rows), len(columns)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
             else:
-                runs.append([child])
-    if len(group) > 1:  # of a repeated node the children of one label are one node
-        by: dict[str, list[Node]] = {}
-        for r in runs:
-            by.setdefault(r[0].label, []).extend(r)
-        runs = list(by.values())
-    out[2] = [skeleton(r[0], nodes, r) for r in runs]
+                i, j = i - 1, j - 1
+                pairs.append((rows[i], columns[j]))
+        best[x, y] = (table[-1][-1] + 1, pairs)
+    out, todo = [], [(0, 0)]
+    while todo:
+        pair = todo.pop()
+        out.append(pair)
+        todo += best[pair][1]
     return out
 
 
-def _size(t: list) -> int:
-    return 1 + sum(map(_size, t[2]))
-
-
-def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: (matched nodes, pairs of preorder numbers) of two trees with one root label."""
-    if a[0] != b[0]:
-        return 0, []
-    starts_a, starts_b = [], []
-    for kids, starts in ((a[2], starts_a), (b[2], starts_b)):
-        at = 1
-        for k in kids:
-            starts.append(at)
-            at += _size(k)
-    w = [[match(x, y) for y in b[2]] for x in a[2]]
-    best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
-    for i in range(1, len(a[2]) + 1):
-        for j in range(1, len(b[2]) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[i - 1][j - 1][0])
-    pairs, i, j = [(0, 0)], len(a[2]), len(b[2])
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += [(starts_a[i] + x, starts_b[j] + y) for x, y in w[i][j][1]]
-    return best[-1][-1] + 1, pairs
-
-
-def _hashes(t: list) -> list[int]:
-    return [t[1], *(h for k in t[2] for h in _hashes(k))]
+def content_root(tree: Skeleton, mass: list[int]) -> int:
+    """The node that the varying text lies under; mass: of each node's own text, how much varies."""
+    tags = [x.split(".")[0] for x in tree.labels]
+    total, whole = [0] * len(mass), [0] * len(mass)
+    for x in range(len(mass) - 1, -1, -1):
+        whole[x] = mass[x] + sum(total[k] for k in tree.kids[x])
+        total[x] = whole[x] * NAMED.get(tags[x], 1)
+    at = 0
+    while tags[at] != "article":
+        below = [k for k in tree.kids[at] if tags[k] in CONTAINERS and total[k] >= HOLDS * whole[at] > 0]
+        named = [k for k in below if tags[k] in NAMED]
+        if not below or not named and any(tags[k] in HEADINGS and total[k] for k in tree.kids[at]):
+            break  # text of its own, or a heading beside it, would be left behind
+        at = (named or below)[0]
+    return at
 
 
 # --- text ----------------------------------------------------------------------------------------
 
 
-def _find(node: Node, tags: tuple) -> list[Node]:
-    if node.skip:
-        return []
-    if node.tag in tags:
-        return [node]
-    return [x for k in node.items if isinstance(k, Node) for x in _find(k, tags)]
-
-
-def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of the article (else of main, else of the body), without template nodes (by id()) and what never counts."""
-    roots = _find(root, ("article",)) or _find(root, ("main",)) or [root]
+def main_text(roots: list[Node], template: set[int]) -> str:
+    """Blocks below the roots, without template nodes' own text (by id()) and what never counts."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -184,71 +251,78 @@ def main_text(root: Node, template: set[int]) -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node) -> None:
-        if node.skip:
-            return
-        block = node.tag in BLOCKS
-        if block:
-            flush()
-        for k in node.items:
-            if isinstance(k, str):
-                if id(node) not in template:
-                    line.append(k)
-            elif k.tag == "br":
-                line.append(" ")
-            else:
-                walk(k)
-        if block:
+    tops = {id(r) for r in roots}
+    todo: list = list(reversed(roots))
+    while todo:
+        x = todo.pop()
+        if x is None:
             flush()
-
-    for r in roots:
-        walk(r)
-        flush()
+        elif isinstance(x, str):
+            line.append(x)
+        elif x.tag == "br":
+            line.append(" ")
+        elif not x.skip:
+            block = x.tag in BLOCKS or id(x) in tops
+            if block:
+                flush()
+                todo.append(None)
+            own = id(x) not in template
+            todo += [k for k in reversed(x.items) if own or not isinstance(k, str)]
+    flush()
     return "\n\n".join(blocks)
 
 
 def _skeletons(batches):
     for batch in batches:
-        made = [json.dumps(skeleton(Tree.of(h))) for h in batch.column("html").to_pylist()]
+        made = [Skeleton.of(Tree.of(h))[0].to_json() for h in batch.column("html").to_pylist()]
         yield pa.record_batch([batch.column("host"), pa.array(made, pa.string())], names=["host", "reference"])
 
 
 def _votes(batches):
-    """For each host and node of its reference: skeletons that have the node, and those with the same text."""
+    """For each host and node of its reference: skeletons that have the node, those with the same text, their text's length."""
     for batch in batches:
         seen: dict[tuple[str, int], list[int]] = {}
         last = ref = None
         for host, text, page in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "page")), strict=True):
             if text != last:
-                last, ref = text, json.loads(text)
-                ref_hashes = _hashes(ref)
-            own = json.loads(page)
-            hashes = _hashes(own)
-            for a, b in match(ref, own)[1]:
-                if ref_hashes[a]:
-                    v = seen.setdefault((host, a), [0, 0])
+                last, ref = text, Skeleton.from_json(text)
+            own = Skeleton.from_json(page)
+            for a, b in match(ref, own):
+                if ref.hashes[a] or own.hashes[b]:
+                    v = seen.setdefault((host, a), [0, 0, 0])
                     v[0] += 1
-                    v[1] += ref_hashes[a] == hashes[b]
+                    v[1] += ref.hashes[a] == own.hashes[b]
+                    v[2] += own.sizes[b]
         keys = list(seen)
-        yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], names=["host", "node", "pages", "same"])
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *[pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(3)]]
+        yield pa.record_batch(columns, names=["host", "node", "pages", "same", "mass"])
 
 
 def _extract(batches):
+    last = ref = start = None
     for batch in batches:
-        last = ref = None
         texts = []
-        for reference, constant, html in zip(*(batch.column(c).to_pylist() for c in ("reference", "template", "html")), strict=True):
+        for reference, nodes, html in zip(*(batch.column(c).to_pylist() for c in ("reference", "nodes", "html")), strict=True):
             root, template = Tree.of(html), set()
-            if constant:
+            own, groups = Skeleton.of(root)
+            roots = None
+            if reference is not None:
+                constant = {n["node"] for n in nodes if n["constant"]}
                 if reference != last:
-                    last, ref = reference, json.loads(reference)
-                nodes: list[list[Node]] = []
-                own = skeleton(root, nodes)
-                hashes, ref_hashes = _hashes(own), _hashes(ref)
-                for a, b in match(ref, own)[1]:
-                    if a in constant and hashes[b] == ref_hashes[a]:
-                        template |= {id(n) for n in nodes[b]}
-            texts.append(main_text(root, template))
+                    last, ref = reference, Skeleton.from_json(reference)
+                    mass = [0] * len(ref.labels)
+                    for n in nodes:
+                        mass[n["node"]] = 0 if n["constant"] else n["mass"]
+                    start = content_root(ref, mass)
+                for a, b in match(ref, own):
+                    if a == start:
+                        roots = groups[b]
+                    if a in constant and own.hashes[b] == ref.hashes[a]:
+                        template |= {id(n) for n in groups[b]}
+            if roots is None:  # without a wrapper, or a page that hasn't its root
+                mass = [0 if id(g[0]) in template else n for g, n in zip(groups, own.sizes, strict=True)]
+                roots = groups[content_root(own, mass)]
+            texts.append(main_text(roots, template))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -256,22 +330,25 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of pages (page_id, url, html).
 
     Blocks in page order, joined by two line feeds; white space inside a block becomes one space; character
-    references are decoded. Null or empty html gives an empty text. Pages without a host are one host of
-    their own. A repeated row is judged once more. Pages whose skeletons and texts are equal have one vote
-    on their host's template; blank pages have none.
+    references are decoded. Null or empty html gives an empty text, also where ids are null or repeat; other
+    columns are ignored. Pages without a host are one host of their own. A repeated row is judged once more.
+    Pages whose skeletons and texts are equal have one vote on their host's wrapper; blank pages have none.
+    The reference page of a host is the one of the smallest page_id, then html, that isn't blank. Markup may
+    nest as deep as it likes and be as broken as it likes.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    firsts = rows.groupBy("host").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).where(f"n >= {MIN_PAGES} and page_id is not null").select("host", "page_id")
-    firsts = firsts.repartition("host", "page_id")  # else pages would meet them by host alone, which a third of them may share
-    # of rows that share the reference's id any would do; the smallest html makes it one
-    chosen = rows.select("host", "page_id", "html").join(firsts, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("html"))
-    references = written(chosen.mapInArrow(_skeletons, "host string, reference string"))
-    pages_of = rows.where("trim(html) <> ''").join(references.select("host"), "host", "left_semi").select("host", "html")
+    full = rows.where("trim(html) <> ''").select("host", "page_id", "html")
+    # pre-aggregated where the pages are: a host that has a third of them sends one page a task
+    firsts = full.groupBy("host").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "html")).alias("first")).where(f"n >= {MIN_PAGES}")
+    references = written(firsts.select("host", F.col("first.html").alias("html")).mapInArrow(_skeletons, "host string, reference string"))
+    pages_of = full.join(references.select("host"), "host", "left_semi").select("host", "html")
     different = written(pages_of.mapInArrow(_skeletons, "host string, reference string").withColumnRenamed("reference", "page").distinct())
-    total = different.groupBy("host").agg(F.count("*").alias("total"))
-    votes = different.join(references, "host").mapInArrow(_votes, "host string, node int, pages long, same long").groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = votes.join(total, "host").where(f"pages >= {MIN_PAGES} and same >= {CONSTANT} * pages and same >= {COMMON} * total").groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # at most a skeleton's nodes
-    wrappers = written(references.join(constant, "host"))
+    total = different.groupBy("host").agg(F.count("*").alias("total")).where(f"total >= {MIN_PAGES}")
+    votes = different.join(references, "host").mapInArrow(_votes, "host string, node int, pages long, same long, mass long").groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "mass")])
+    constant = F.expr(f"pages >= {MIN_PAGES} and same >= {CONSTANT} * pages and same >= {COMMON} * total")
+    # at most as many entries as a skeleton has nodes
+    nodes = votes.join(total, "host").groupBy("host").agg(F.collect_list(F.struct("node", constant.alias("constant"), "mass")).alias("nodes"))
+    wrappers = written(references.join(nodes, "host"))
     return rows.join(wrappers, "host", "left").mapInArrow(_extract, "page_id long, url string, text string")
 
 

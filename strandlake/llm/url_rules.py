@@ -1,13 +1,17 @@
 """URL filters by association rules, in DataFrame and SQL functions with Spark's FP-growth.
 
-Labelled URLs become baskets of tokens, with one more item for the bad label. FP-growth finds combinations
-that are frequent enough, rules whose consequent is that item are pruned by confidence and support, and an
-inverted index (each rule under its rarest token) finds the rules whose tokens a URL has. Given host and path
-rules come first: they decide wherever one fits.
+Labelled URLs become baskets of tokens, with one more item for the bad label. Tokens that occur in the same
+labelled URLs are one item, and tokens of all of them none, as both would only multiply the combinations
+without changing one's support or confidence. FP-growth finds the combinations that are frequent enough, rules
+whose consequent is the bad label are pruned by confidence and support, and an inverted index (each rule under
+its rarest item) finds the rules whose items a URL has. Given host and path rules come first: they decide
+wherever one fits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +50,34 @@ def fitting_rule(host: str, path: str, rules=RULES) -> Column:
     return F.expr(f"array_max({fits})") if rules else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
-def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """(rule_id, key, tokens, confidence, support) of the rules tokens -> bad label.
+def token_classes(baskets: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that at least `least` baskets (id, tokens) have, but for those in all of them.
+
+    item: the smallest of the tokens that occur in the same baskets, told by count and two sums of hashes of
+    their ids. At most (tokens a basket) / (least / baskets) rows, however large the vocabulary.
+    """
+    total = baskets.count()
+    seen = baskets.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    seen = written(seen.where(f"n >= {least} and n < {total}"))
+    return written(seen.join(seen.groupBy("n", "x", "y").agg(F.min("token").alias("item")), ["n", "x", "y"]).select("token", "item"))
+
+
+def with_items(rows: DataFrame, classes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, items): the distinct items of the tokens of each row; rows without any are left out."""
+    # classes is small whatever the input: see token_classes
+    return rows.select(*keys, F.explode("tokens").alias("token")).join(F.broadcast(classes), "token").groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def mine_rules(baskets: DataFrame, least: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """((rule_id, key, tokens, confidence, support) of the rules items -> bad label, the items' token classes).
 
-    baskets: (tokens, bad). `key` is the rule's token that fewest labelled URLs have. A rule is left out if a
-    rule on fewer of its tokens is as confident.
+    baskets: (id, tokens, bad). `tokens` are items, `key` is the one that fewest labelled URLs have. A rule must
+    hold in `least` bad URLs. It is left out if a rule on fewer of its items is as confident.
     """
-    items = baskets.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    classes, total = token_classes(baskets, least), baskets.count()
+    found = baskets.select("id", "bad").join(with_items(baskets, classes, "id"), "id", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "bad")
+    items = found.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / total), minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.expr(f"size(consequent) = 1 and consequent[0] = '{BAD}'"))
     found = written(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")))
     few = found.select(F.col("rule_id").alias("few_id"), F.col("tokens").alias("few"), F.col("confidence").alias("few_confidence"))
@@ -62,7 +86,7 @@ def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float) ->
     kept = found.join(weak, "rule_id", "left_anti")
     counts = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     rarest = kept.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return written(kept.join(rarest, "rule_id"))
+    return written(kept.join(rarest, "rule_id")), classes
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_urls: int = 20) -> DataFrame:
@@ -71,18 +95,19 @@ def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.005,
     labels (doc_id, quality): a URL whose page_id has the quality 0 is bad. Null urls and urls without ://
     have an empty host and path, fit nothing and are allowed. Ids without or with a null label teach
     nothing; of several labels the smallest counts. A combination must occur in `min_support` of the labelled
-    URLs and in `min_urls` of them. Without bad labels only the given rules decide.
+    URLs and in `min_urls` of them that are bad. Without bad labels only the given rules decide. Repeated rows
+    are judged again; other columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select("page_id", "url").withColumn("host", host_of("url")).withColumn("path", path_of("url"))
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    baskets = written(rows.where("host <> ''").join(marks, "page_id").select(tokens("host", "path").alias("tokens"), "bad"))
+    baskets = written(rows.where("host <> ''").join(marks, "page_id").select(tokens("host", "path").alias("tokens"), "bad").withColumn("id", F.monotonically_increasing_id()))
     out = rows.withColumn("fit", fitting_rule("host", "path"))
     if baskets.where("bad").limit(1).count():
-        rules = mine_rules(baskets, min(1.0, max(min_support, min_urls / baskets.count())), min_confidence)
+        rules, classes = mine_rules(baskets, max(min_urls, math.ceil(min_support * baskets.count())), min_confidence)
         # rules depend on host and path alone: judged once for each pair, then brought back
-        pairs = rows.select("host", "path").distinct().withColumn("tokens", tokens("host", "path"))
-        index = rules.select("key", F.col("tokens").alias("rule_tokens"), "confidence")
-        met = pairs.select("host", "path", "tokens", F.explode("tokens").alias("key")).join(index, "key").where("size(array_except(rule_tokens, tokens)) = 0")
+        pairs = rows.where("host <> ''").select("host", "path").distinct().withColumn("tokens", tokens("host", "path"))
+        index = rules.select("key", F.col("tokens").alias("rule_items"), "confidence")
+        met = with_items(pairs, classes, "host", "path").withColumn("key", F.explode("items")).join(index, "key").where("size(array_except(rule_items, items)) = 0")
         bad = met.groupBy("host", "path").agg(F.max("confidence").alias("confidence"))
         out = out.join(bad, ["host", "path"], "left")
     else:
