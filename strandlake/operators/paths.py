@@ -59,7 +59,7 @@ def enumerate_paths(edges: DataFrame, starts: DataFrame, max_length: int = 4, ta
         near = [targets.select(F.col("node").alias("head")).distinct()]  # near[k]: nodes with a target at most k edges away
         for _ in range(max_length - 1):
             back = e.join(near[-1], "head", "left_semi").select(F.col("tail").alias("head"))
-            near.append(stored(near[-1].unionByName(back).distinct()))
+            near.append(near[-1].unionByName(back).distinct())
     grow = lambda left: e if near is None else e.join(near[left], "head", "left_semi")
     step = grow(max_length - 1).join(starts.select(F.col("node").alias("tail")).distinct(), "tail").select(F.col("tail").alias("source"), F.col("head").alias("target"), F.array("tail", "head").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.array("sign").alias("signs"))
     out = step = stored(step)

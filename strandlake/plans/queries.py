@@ -323,6 +323,46 @@ def _(precomputed, lookups, records):
     return _effects(precomputed).join(r, "gene", "left").select("input_order", "gene", expression.exclusion().alias("exclusion"), expression.exclusion(isoform=True).alias("isoform_exclusion"))
 
 
+# --- evidence graph: consensus edges, and paths to strongly changed genes -------------------------
+
+LINEAGE_SQL = """, rc AS (SELECT *, CASE WHEN functional_only THEN 'functional' WHEN contextual_only THEN 'contextual' WHEN relation IN ('regulates', 'regulation', 'interaction') THEN 'regulatory' ELSE relation END AS relation_class FROM edges),
+    lg AS (SELECT source, target, directed, relation_class, relation, sign, record_id, ref, count(DISTINCT evidence_id) AS members, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(DISTINCT provider) AS n_dbs, min(evidence_id) AS lineage_id, bool_or(functional_only) AS functional_only, bool_or(predicted_only) AS predicted_only FROM rc GROUP BY ALL),
+    lc AS (SELECT *, CASE WHEN members > 1 THEN 'exact_duplicate' WHEN (sign = 'positive' AND count(*) FILTER (sign = 'negative') OVER c > 0) OR (sign = 'negative' AND count(*) FILTER (sign = 'positive') OVER c > 0) THEN 'independent_opposing_edge' WHEN count(*) OVER r > 1 THEN 'publication_duplicate'
+        WHEN record_id IS NULL AND count(*) OVER d > 1 THEN 'likely_duplicate' ELSE 'independent_same_edge' END AS lineage_class
+      FROM lg WINDOW c AS (PARTITION BY source, target, directed, relation_class, relation), r AS (PARTITION BY source, target, directed, relation_class, relation, ref), d AS (PARTITION BY source, target, directed, relation_class, relation, providers)),
+    ql AS (SELECT *, CASE WHEN directed THEN 0.12 ELSE 0 END + CASE WHEN sign <> 'unsigned' THEN 0.14 ELSE 0 END + 0.11 + CASE WHEN functional_only THEN 0 ELSE 0.12 END + CASE WHEN predicted_only THEN 0 ELSE 0.12 END + 0.14 / 3 + 0.10 * least(n_dbs, 2) / 2 + 0.15 AS raw_quality FROM lc),
+    qq AS (SELECT *, least(CAST(raw_quality AS DOUBLE), CASE WHEN functional_only THEN 0.55 ELSE 1.0 END, CASE WHEN NOT directed OR sign = 'unsigned' THEN 0.45 ELSE 1.0 END, CASE WHEN predicted_only THEN 0.7 ELSE 1.0 END) AS quality FROM ql),
+    co AS (SELECT source, target, CASE WHEN functional_only THEN 'functional' ELSE relation_class END AS kind, count(*) FILTER (lineage_class NOT IN ('publication_duplicate', 'likely_duplicate')) AS independent, count(*) FILTER (lineage_class IN ('publication_duplicate', 'likely_duplicate')) AS duplicates, count(*) FILTER (sign = 'positive') AS n_positive, count(*) FILTER (sign = 'negative') AS n_negative, min(quality) AS min_quality, bool_or(directed) AS directed, bool_and(functional_only) AS functional_only, min(lineage_id) AS edge_id,
+      array_to_string(list_sort(list_distinct(flatten(list(string_split(providers, ','))))), ',') AS providers FROM qq GROUP BY 1, 2, 3),
+    cs AS (SELECT *, CASE WHEN n_positive > 0 AND n_negative > 0 THEN 'conflicting' WHEN n_positive > 0 THEN 'positive' WHEN n_negative > 0 THEN 'negative' ELSE 'unsigned' END AS sign FROM co),
+    ly AS (SELECT source, target, 'provider_evidence' AS layer FROM cs UNION ALL SELECT source, target, 'signed_causal' FROM cs WHERE sign IN ('positive', 'negative') AND NOT functional_only UNION ALL SELECT source, target, 'unsigned_functional' FROM cs WHERE sign = 'unsigned' OR functional_only
+      UNION ALL SELECT source, target, 'contextual' FROM cs WHERE kind = 'contextual' UNION ALL SELECT source, target, 'conflicting' FROM cs WHERE sign = 'conflicting')"""
+
+
+def _consensus(edge):
+    return edges.consensus(edges.quality(edges.lineage_classes(edges.lineage_groups(edge))))
+
+
+STRONG = 1.0  # a gene whose shrunken log2 fold change is at least that far from 0 is a candidate of the path search
+
+
+def walk_sql(starts: str) -> str:
+    """Tables se (simple signed causal edges) and walk (paths of up to four edges from the nodes of `starts` to candidates); needs cs and contrast."""
+    step = "list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END"
+    return f""", se AS MATERIALIZED (SELECT source, target, min(edge_id) AS edge_id, arg_min(sign, edge_id) AS sign FROM cs WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
+    starts AS MATERIALIZED ({starts}), goals AS MATERIALIZED (SELECT CAST(gene_id AS VARCHAR) AS node FROM contrast WHERE abs(shrunken) >= {STRONG}),
+    short AS MATERIALIZED (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
+      UNION ALL SELECT w.source, s.target, {step}, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 3 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w),
+    walk AS MATERIALIZED (SELECT * FROM short WHERE target IN (SELECT node FROM goals) UNION ALL SELECT w.source, s.target, {step}, 4 FROM short w JOIN se s ON s.source = w.target WHERE w.n_edges = 3 AND s.target IN (SELECT node FROM goals) AND NOT list_contains(w.nodes, s.target))"""
+
+
+def _walks(edge, starts, con):
+    """Signed causal paths of up to four edges from `starts` (node) to the strongly changed genes of `con` (gene_id, shrunken)."""
+    e = stored(_consensus(edge).where("sign in ('positive', 'negative') and not functional_only"))
+    goals = con.where(F.abs("shrunken") >= STRONG).select(F.col("gene_id").cast("string").alias("node"))
+    return paths.signed(paths.enumerate_paths(e, starts, 4, goals))
+
+
 # --- effects, residuals, labels ------------------------------------------------------------------
 
 # Genes of the ratio table meet those of the counts by number; each guide is a run.
@@ -367,11 +407,13 @@ def _(*tables):
     return _expected(*tables)[1].select("run_key", "gene_id", "effect_status", "lfc", "expected", "residual").withColumns(r6("lfc") | finite("expected", "residual"))
 
 
-# support of a gene: distinct edges into it, as paths of one step
+# support of a gene: paths that lead to it from the run's intended target
 LABEL_SQL = (
     EFFECT_SQL
-    + """, sup AS (SELECT CAST(target AS BIGINT) AS gene_id, count(DISTINCT source) AS support_count FROM edges WHERE sign <> 'unsigned' GROUP BY 1),
-    rs AS (SELECT fx.*, coalesce(support_count, 0) AS n, CASE WHEN effect_status = 'definitive' THEN CASE WHEN abs(residual) <= 0.10 THEN 'negligible_residual' WHEN abs(residual) < 0.5 THEN 'weak_residual' WHEN abs(residual) < 1 THEN 'moderate_residual' ELSE 'strong_residual' END END AS residual_magnitude FROM fx LEFT JOIN sup ON sup.gene_id = fx.gene_id),
+    + LINEAGE_SQL
+    + walk_sql("SELECT DISTINCT CAST(intended_gene AS VARCHAR) AS node FROM guides")
+    + """, sup AS MATERIALIZED (SELECT g.sirna_id AS run_key, CAST(target AS BIGINT) AS gene_id, count(*) AS support_count FROM walk JOIN guides g ON source = CAST(g.intended_gene AS VARCHAR) GROUP BY ALL),
+    rs AS (SELECT fx.*, coalesce(support_count, 0) AS n, CASE WHEN effect_status = 'definitive' THEN CASE WHEN abs(residual) <= 0.10 THEN 'negligible_residual' WHEN abs(residual) < 0.5 THEN 'weak_residual' WHEN abs(residual) < 1 THEN 'moderate_residual' ELSE 'strong_residual' END END AS residual_magnitude FROM fx LEFT JOIN sup ON sup.gene_id = fx.gene_id AND sup.run_key = fx.run_key),
     rt AS (SELECT *, CASE WHEN effect_status <> 'definitive' THEN 'unresolved_upstream_expected_effect' WHEN residual_magnitude = 'negligible_residual' THEN 'no_residual_to_attribute' WHEN n <= 0 THEN 'residual_without_pathway_support' WHEN n >= 4 THEN 'residual_with_strong_pathway_support' WHEN n >= 2 THEN 'residual_with_moderate_pathway_support' ELSE 'residual_with_weak_pathway_support' END AS support_status FROM rs),
     ig AS (SELECT *, CASE WHEN ratio_status <> 'definitive' THEN 'unresolved_targetability' WHEN m_targetable > 0 THEN 'definitive_targetable_fraction_present' ELSE 'no_cleavage_compatible_targetability' END AS sequence_component, CASE WHEN expected IS NULL THEN 'expected_direct_effect_unavailable' WHEN abs(expected) <= 1e-9 THEN 'expected_direct_effect_zero' ELSE 'expected_direct_effect_nonzero' END AS expected_component FROM rt),
     lb AS (SELECT *, CASE WHEN support_status = 'unresolved_upstream_expected_effect' THEN 'unresolved' WHEN residual_magnitude = 'negligible_residual' AND expected_component = 'expected_direct_effect_zero' THEN 'no_evidence_for_effect'
@@ -382,10 +424,12 @@ LABEL_SQL = (
 
 
 def _labels(sequences, guides, annotation, counts, samples, edge):
-    rows = _expected(sequences, guides, annotation, counts, samples)[1]
-    into = edge.where("sign <> 'unsigned'").select(F.col("target").cast("long").alias("gene_id"), F.col("source").alias("path_id")).distinct()
-    paths_ = rows.select("run_key", "gene_id").join(into, "gene_id").withColumn("kind", F.lit("signed_causal"))
-    return effects.classify(effects.integrate(effects.residuals(rows, effects.support(paths_))))
+    rows = stored(_expected(sequences, guides, annotation, counts, samples)[1])
+    con = expression.contrasts(expression.library_size_median(counts), samples)
+    runs = guides.select(F.col("sirna_id").alias("run_key"), F.col("intended_gene").cast("string").alias("source"))
+    found = _walks(edge, runs.select(F.col("source").alias("node")).distinct(), con).join(runs, "source")
+    into = found.select("run_key", F.col("target").cast("long").alias("gene_id"), F.array_join("nodes", ">").alias("path_id"), F.lit("signed_causal").alias("kind"))
+    return effects.classify(effects.integrate(effects.residuals(rows, effects.support(into))))
 
 
 @query("residual_attribution", "sequences guides annotation counts samples edges", LABEL_SQL + " SELECT run_key, gene_id, CASE WHEN effect_status = 'definitive' THEN CASE WHEN abs(residual) <= 1e-9 THEN 'matches_expected_direct_effect' WHEN residual < 0 THEN 'more_decreased_than_expected' ELSE 'less_decreased_or_increased_than_expected' END END AS residual_direction, residual_magnitude, n AS support_count, support_status FROM rt")
@@ -408,26 +452,6 @@ def _(*tables):
     return effects.label_summary(_labels(*tables))
 
 
-# --- evidence graph ------------------------------------------------------------------------------
-
-LINEAGE_SQL = """, rc AS (SELECT *, CASE WHEN functional_only THEN 'functional' WHEN contextual_only THEN 'contextual' WHEN relation IN ('regulates', 'regulation', 'interaction') THEN 'regulatory' ELSE relation END AS relation_class FROM edges),
-    lg AS (SELECT source, target, directed, relation_class, relation, sign, record_id, ref, count(DISTINCT evidence_id) AS members, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(DISTINCT provider) AS n_dbs, min(evidence_id) AS lineage_id, bool_or(functional_only) AS functional_only, bool_or(predicted_only) AS predicted_only FROM rc GROUP BY ALL),
-    lc AS (SELECT *, CASE WHEN members > 1 THEN 'exact_duplicate' WHEN (sign = 'positive' AND count(*) FILTER (sign = 'negative') OVER c > 0) OR (sign = 'negative' AND count(*) FILTER (sign = 'positive') OVER c > 0) THEN 'independent_opposing_edge' WHEN count(*) OVER r > 1 THEN 'publication_duplicate'
-        WHEN record_id IS NULL AND count(*) OVER d > 1 THEN 'likely_duplicate' ELSE 'independent_same_edge' END AS lineage_class
-      FROM lg WINDOW c AS (PARTITION BY source, target, directed, relation_class, relation), r AS (PARTITION BY source, target, directed, relation_class, relation, ref), d AS (PARTITION BY source, target, directed, relation_class, relation, providers)),
-    ql AS (SELECT *, CASE WHEN directed THEN 0.12 ELSE 0 END + CASE WHEN sign <> 'unsigned' THEN 0.14 ELSE 0 END + 0.11 + CASE WHEN functional_only THEN 0 ELSE 0.12 END + CASE WHEN predicted_only THEN 0 ELSE 0.12 END + 0.14 / 3 + 0.10 * least(n_dbs, 2) / 2 + 0.15 AS raw_quality FROM lc),
-    qq AS (SELECT *, least(CAST(raw_quality AS DOUBLE), CASE WHEN functional_only THEN 0.55 ELSE 1.0 END, CASE WHEN NOT directed OR sign = 'unsigned' THEN 0.45 ELSE 1.0 END, CASE WHEN predicted_only THEN 0.7 ELSE 1.0 END) AS quality FROM ql),
-    co AS (SELECT source, target, CASE WHEN functional_only THEN 'functional' ELSE relation_class END AS kind, count(*) FILTER (lineage_class NOT IN ('publication_duplicate', 'likely_duplicate')) AS independent, count(*) FILTER (lineage_class IN ('publication_duplicate', 'likely_duplicate')) AS duplicates, count(*) FILTER (sign = 'positive') AS n_positive, count(*) FILTER (sign = 'negative') AS n_negative, min(quality) AS min_quality, bool_or(directed) AS directed, bool_and(functional_only) AS functional_only, min(lineage_id) AS edge_id,
-      array_to_string(list_sort(list_distinct(flatten(list(string_split(providers, ','))))), ',') AS providers FROM qq GROUP BY 1, 2, 3),
-    cs AS (SELECT *, CASE WHEN n_positive > 0 AND n_negative > 0 THEN 'conflicting' WHEN n_positive > 0 THEN 'positive' WHEN n_negative > 0 THEN 'negative' ELSE 'unsigned' END AS sign FROM co),
-    ly AS (SELECT source, target, 'provider_evidence' AS layer FROM cs UNION ALL SELECT source, target, 'signed_causal' FROM cs WHERE sign IN ('positive', 'negative') AND NOT functional_only UNION ALL SELECT source, target, 'unsigned_functional' FROM cs WHERE sign = 'unsigned' OR functional_only
-      UNION ALL SELECT source, target, 'contextual' FROM cs WHERE kind = 'contextual' UNION ALL SELECT source, target, 'conflicting' FROM cs WHERE sign = 'conflicting')"""
-
-
-def _consensus(edge):
-    return edges.consensus(edges.quality(edges.lineage_classes(edges.lineage_groups(edge))))
-
-
 @query("edge_lineage", "edges", LINEAGE_SQL + " SELECT source, target, directed, relation_class, relation, sign, record_id, ref, members, providers, lineage_class, round(quality, 6) AS quality FROM qq")
 def _(edge):
     q = edges.quality(edges.lineage_classes(edges.lineage_groups(edge)))
@@ -456,41 +480,33 @@ def _(edge):
     return edges.pair_consensus(edge)
 
 
-PATH_SQL = (
-    LINEAGE_SQL
-    + """, se AS (SELECT source, target, min(edge_id) AS edge_id, arg_min(sign, edge_id) AS sign FROM cs WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
-    starts AS (SELECT DISTINCT source AS node FROM se WHERE CAST(source AS BIGINT) % 20 = 0),
-    short AS (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
-      UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 3 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w),
-    walk AS (SELECT * FROM short WHERE CAST(target AS BIGINT) % 20 = 10 UNION ALL SELECT w.source, s.target, list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END, 4 FROM short w JOIN se s ON s.source = w.target WHERE w.n_edges = 3 AND CAST(s.target AS BIGINT) % 20 = 10 AND NOT list_contains(w.nodes, s.target))"""
-)
+PATH_SQL = CONTRAST_SQL + LINEAGE_SQL + walk_sql("SELECT DISTINCT source AS node FROM se WHERE CAST(source AS BIGINT) % 20 = 0")
 
 
-def _paths(edge):
-    """Signed causal paths of up to four edges from every node whose number is divisible by 20 to those where it leaves 10 (the stated query set)."""
-    e = stored(_consensus(edge).where("sign in ('positive', 'negative') and not functional_only"))
-    nodes = lambda end, rest: e.select(F.col(end).alias("node")).where(f"cast(node as long) % 20 = {rest}").distinct()
-    return paths.signed(paths.enumerate_paths(e, nodes("source", 0), 4, nodes("target", 10)))
+def _paths(edge, counts, samples):
+    """Paths from every node whose number is divisible by 20 (the stated query set)."""
+    starts = edge.select(F.col("source").alias("node")).where("cast(node as long) % 20 = 0").distinct()
+    return _walks(edge, starts, expression.contrasts(expression.library_size_median(counts), samples))
 
 
-@query("signed_paths", "edges", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, n_edges, cumulative_sign, CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END AS expected_direction FROM walk")
-def _(edge):
-    return _paths(edge).select("source", "target", F.array_join("nodes", ">").alias("nodes"), "n_edges", "cumulative_sign", "expected_direction")
+@query("signed_paths", "edges counts samples", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, n_edges, cumulative_sign, CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END AS expected_direction FROM walk")
+def _(*tables):
+    return _paths(*tables).select("source", "target", F.array_join("nodes", ">").alias("nodes"), "n_edges", "cumulative_sign", "expected_direction")
 
 
-@query("path_search_results", "edges", PATH_SQL + " SELECT source, target, count(*) AS generated, min(n_edges) AS shortest, least(count(*), 25) AS kept, count(*) > 25 AS truncated FROM walk GROUP BY source, target")
-def _(edge):
-    return paths.search_results(_paths(edge))
+@query("path_search_results", "edges counts samples", PATH_SQL + " SELECT source, target, count(*) AS generated, min(n_edges) AS shortest, least(count(*), 25) AS kept, count(*) > 25 AS truncated FROM walk GROUP BY source, target")
+def _(*tables):
+    return paths.search_results(_paths(*tables))
 
 
-@query("path_conflicts", "edges", PATH_SQL + " SELECT source, target, count(*) FILTER (cumulative_sign = 1) AS n_positive, count(*) FILTER (cumulative_sign = -1) AS n_negative, min(n_edges) FILTER (cumulative_sign = 1) AS shortest_positive, min(n_edges) FILTER (cumulative_sign = -1) AS shortest_negative FROM walk GROUP BY source, target HAVING count(DISTINCT cumulative_sign) = 2")
-def _(edge):
-    return paths.conflicts(_paths(edge))
+@query("path_conflicts", "edges counts samples", PATH_SQL + " SELECT source, target, count(*) FILTER (cumulative_sign = 1) AS n_positive, count(*) FILTER (cumulative_sign = -1) AS n_negative, min(n_edges) FILTER (cumulative_sign = 1) AS shortest_positive, min(n_edges) FILTER (cumulative_sign = -1) AS shortest_negative FROM walk GROUP BY source, target HAVING count(DISTINCT cumulative_sign) = 2")
+def _(*tables):
+    return paths.conflicts(_paths(*tables))
 
 
-@query("shortest_paths", "edges", PATH_SQL + " SELECT source, target, min(n_edges) AS n_edges, array_to_string(arg_min(nodes, (n_edges, nodes)), '>') AS nodes FROM walk GROUP BY source, target")
-def _(edge):
-    return paths.shortest(_paths(edge)).withColumn("nodes", F.array_join("nodes", ">"))
+@query("shortest_paths", "edges counts samples", PATH_SQL + " SELECT source, target, min(n_edges) AS n_edges, array_to_string(arg_min(nodes, (n_edges, nodes)), '>') AS nodes FROM walk GROUP BY source, target")
+def _(*tables):
+    return paths.shortest(_paths(*tables)).withColumn("nodes", F.array_join("nodes", ">"))
 
 
 # --- enrichment ----------------------------------------------------------------------------------

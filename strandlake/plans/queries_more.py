@@ -25,16 +25,6 @@ def _(sequences, guides):
     return sites.best_site(sites.annotate(sites.full_sites(sequences, sites.strands(guides))), "sirna_id", "strand", "transcript_id")
 
 
-@query("short_and_long_strands", "sequences guides", """, strand AS (SELECT sirna_id, substr(guide, 1, 14) AS s FROM guides WHERE sirna_id % 40 = 0 UNION ALL SELECT sirna_id, concat(guide, 'ACGTA') FROM guides WHERE sirna_id % 40 = 0),
-    q AS (SELECT sirna_id, length(s) AS n, reverse(translate(s, 'ACGT', 'TGCA')) AS search FROM strand), st AS (SELECT transcript_id, sequence, unnest(range(0, length(sequence))) AS start FROM sequences),
-    hm AS (SELECT sirna_id, n, transcript_id, start, CASE WHEN start + n <= length(sequence) THEN hamming(substr(sequence, start + 1, n), search) END AS n_mm FROM st, q) SELECT * FROM hm WHERE n_mm <= 1""")
-def _(sequences, guides):
-    """Strands of 14 and 26 bases with at most one mismatch."""
-    some = guides.where("sirna_id % 40 = 0")
-    strand = some.select("sirna_id", F.substring("guide", 1, 14).alias("guide")).union(some.select("sirna_id", F.concat("guide", F.lit("ACGTA")))).withColumn("strand", F.lit("guide"))
-    return sites.full_sites(sequences, strand, most=1).select("sirna_id", F.length("guide").alias("n"), "transcript_id", "start", F.size("mm").alias("n_mm"))
-
-
 @query("local_contexts", "sequences", " SELECT transcript_id, substr(sequence, CAST(greatest(transcript_id % 50 - 20, 0) + 1 AS BIGINT), CAST(transcript_id % 50 + 20 - greatest(transcript_id % 50 - 20, 0) AS BIGINT)) AS context FROM sequences")
 def _(sequences):
     return sequences.select("transcript_id", rna.local_context(F.col("sequence"), (F.col("transcript_id") % 50).cast("int")).alias("context"))
@@ -66,16 +56,6 @@ def _(sequences, guides):
     return targetability.alignment_rows(targetability.scan(sequences, guides)).groupBy("position", "region", "paired").agg(F.count("*").alias("n"))
 
 
-@query("seed_mismatch_scan", "sequences guides", """, w AS (SELECT transcript_id, start, substr(sequence, start + 1, 21) AS win FROM (SELECT transcript_id, sequence, unnest(range(0, length(sequence) - 20)) AS start FROM sequences WHERE length(sequence) >= 21 AND transcript_id % 5 = 0) s), g AS (SELECT sirna_id, reverse(translate(guide, 'ACGT', 'TGCA')) AS search FROM guides WHERE sirna_id % 100 = 0),
-    c AS (SELECT *, hamming(search, win) AS n_total_mm, hamming(substr(search, 2, 7), substr(win, 2, 7)) AS n_seed_mm, hamming(substr(search, 9, 4), substr(win, 9, 4)) AS n_central_mm FROM w, g)
-    SELECT sirna_id, transcript_id, start, n_total_mm, n_seed_mm FROM c WHERE n_total_mm = 0 OR (n_seed_mm <= 1 AND (n_total_mm <= 14))""")
-def _(sequences, guides):
-    """A policy that allows one mismatch in the seed: two blocks of the seed join, one of which is free of it."""
-    policy = targetability.TargetabilityPolicy(max_seed=1)
-    found = targetability.scan(sequences.where("transcript_id % 5 = 0"), guides.where("sirna_id % 100 = 0"), policy=policy)
-    return found.select("sirna_id", "transcript_id", "start", "n_total_mm", "n_seed_mm")
-
-
 @query("qualifying_sites", "sequences guides", SITES_SQL + " SELECT sirna_id, gene_id, transcript_id, count(*) FILTER (priority <= 1) AS n_default, count(*) FILTER (priority = 0 OR priority = 3) AS n_other, count(*) AS n_sites FROM sites GROUP BY ALL")
 def _(sequences, guides):
     """Two policies; every site is stated twice and counts once."""
@@ -255,19 +235,19 @@ def _(edge):
     return paths.sources(edge.where("provider = 'reactome'"), wanted)
 
 
-@query("search_targets", "edges", """, nd AS (SELECT source AS node FROM edges UNION SELECT target FROM edges), st AS (SELECT node FROM nd WHERE CAST(node AS BIGINT) % 100 = 0), cd AS (SELECT node FROM nd WHERE CAST(node AS BIGINT) % 50 = 0 UNION SELECT 'x')
+@query("search_targets", "edges", """, nd AS (SELECT source AS node FROM edges UNION SELECT target FROM edges), st AS (SELECT node FROM nd WHERE CAST(node AS BIGINT) % 20 = 0), cd AS (SELECT node FROM nd UNION SELECT 'x')
     SELECT st.node AS source, cd.node AS target, CASE WHEN cd.node = 'x' OR cd.node = st.node THEN 'candidate_not_in_graph' ELSE 'resolved' END AS status, 'explicit_candidate_scope' AS scope FROM st, cd""")
 def _(edge):
     nodes = edge.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    wanted = nodes.where("cast(node as long) % 50 = 0").union(edge.sparkSession.createDataFrame([("x",)], "node string"))
-    return paths.search_targets(edge, nodes.where("cast(node as long) % 100 = 0"), wanted)
+    wanted = nodes.union(edge.sparkSession.createDataFrame([("x",)], "node string"))
+    return paths.search_targets(edge, nodes.where("cast(node as long) % 20 = 0"), wanted)
 
 
-@query("reachable_targets", "edges", """, se AS (SELECT DISTINCT source, target FROM edges WHERE provider = 'reactome'), rec AS (WITH RECURSIVE r AS (SELECT source, target FROM se WHERE CAST(source AS BIGINT) % 100 = 0 UNION SELECT r.source, se.target FROM r JOIN se ON se.source = r.target) SELECT * FROM r)
+@query("reachable_targets", "edges", """, se AS (SELECT DISTINCT source, target FROM edges WHERE provider = 'reactome'), rec AS (WITH RECURSIVE r AS (SELECT source, target FROM se WHERE CAST(source AS BIGINT) % 20 = 0 UNION SELECT r.source, se.target FROM r JOIN se ON se.source = r.target) SELECT * FROM r)
     SELECT source, target, 'resolved' AS status, 'all_reachable_entities' AS scope FROM rec WHERE source <> target""")
 def _(edge):
     some = edge.where("provider = 'reactome'")
-    return paths.search_targets(some, some.where("cast(source as long) % 100 = 0").select(F.col("source").alias("node")))
+    return paths.search_targets(some, some.where("cast(source as long) % 20 = 0").select(F.col("source").alias("node")))
 
 
 @query("beyond_cutoff", "edges", """, se AS (SELECT DISTINCT source, target FROM edges WHERE provider = 'reactome' AND source <> target) SELECT DISTINCT a.source FROM se a JOIN se b ON b.source = a.target AND b.target <> a.source JOIN se c ON c.source = b.target AND c.target NOT IN (a.source, a.target)""")
@@ -277,12 +257,12 @@ def _(edge):
 
 
 TWO_SQL = LINEAGE_SQL + """, e0 AS (SELECT *, {id} AS id FROM cs), e1 AS (SELECT source, target, min(id) AS edge_id, arg_min(sign, id) AS sign, arg_min(min_quality, id) AS q FROM e0 WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
-    two AS (SELECT source, target, [source, target] AS nodes, [edge_id] AS ids, [q] AS qs FROM e1 WHERE CAST(source AS BIGINT) % 40 = 0 UNION ALL SELECT a.source, b.target, [a.source, a.target, b.target], [a.edge_id, b.edge_id], [a.q, b.q] FROM e1 a JOIN e1 b ON b.source = a.target AND b.target <> a.source WHERE CAST(a.source AS BIGINT) % 40 = 0)"""
+    two AS (SELECT source, target, [source, target] AS nodes, [edge_id] AS ids, [q] AS qs FROM e1 WHERE CAST(source AS BIGINT) % 20 = 0 UNION ALL SELECT a.source, b.target, [a.source, a.target, b.target], [a.edge_id, b.edge_id], [a.q, b.q] FROM e1 a JOIN e1 b ON b.source = a.target AND b.target <> a.source WHERE CAST(a.source AS BIGINT) % 20 = 0)"""
 
 
 def _two(edge, edge_id="edge_id"):
     e = stored(_consensus(edge).where("sign in ('positive', 'negative') and not functional_only").withColumn("edge_id", F.expr(edge_id)))
-    return e, paths.enumerate_paths(e, e.select(F.col("source").alias("node")).where("cast(node as long) % 40 = 0").distinct(), 2)
+    return e, paths.enumerate_paths(e, e.select(F.col("source").alias("node")).where("cast(node as long) % 20 = 0").distinct(), 2)
 
 
 @query("path_confidence", "edges", TWO_SQL.replace("{id}", "concat_ws('|', source, target, kind)") + " SELECT source, target, array_to_string(nodes, '>') AS nodes, round(list_avg(qs), 6) AS avg_quality, round(list_min(qs), 6) AS min_quality, round(least(list_min(qs), list_avg(qs)), 6) AS confidence FROM two")
@@ -301,24 +281,24 @@ def _(edge):
     return out.select("source", "target", F.array_join("nodes", ">").alias("nodes"), "dimension", "state", F.concat_ws(",", "values").alias("values_"))
 
 
-@query("gene_traces", "edges counts samples", PATH_SQL + CONTRAST_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast), cn AS (SELECT target, CASE WHEN direction IN ('up', 'down') THEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction END AS ok FROM walk LEFT JOIN ob ON ob.gene = target)
+@query("gene_traces", "edges counts samples", PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast), cn AS (SELECT target, CASE WHEN direction IN ('up', 'down') THEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction END AS ok FROM walk LEFT JOIN ob ON ob.gene = target)
     SELECT target, count(*) AS n_paths, count(*) FILTER (ok) AS n_consistent, count(*) FILTER (NOT ok) AS n_contradicting, CASE WHEN count(ok) > 0 THEN round(count(*) FILTER (ok) / count(ok), 6) END AS coherence FROM cn GROUP BY target""")
 def _(edge, counts, samples):
     con = expression.contrasts(expression.library_size_median(counts), samples)
-    seen = paths.consistency(_paths(edge), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
+    seen = paths.consistency(_paths(edge, counts, samples), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
     return paths.gene_trace(seen).withColumns(r6("coherence"))
 
 
-@query("path_support", "edges counts samples", PATH_SQL + CONTRAST_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast) SELECT 'signed_causal' AS kind, CASE WHEN direction IS NULL OR direction NOT IN ('up', 'down') THEN 'context_only' WHEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction THEN 'supports_direction' ELSE 'contradicts_direction' END AS strength, n_edges, count(*) AS n FROM walk LEFT JOIN ob ON ob.gene = target GROUP BY ALL""")
+@query("path_support", "edges counts samples", PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast) SELECT 'signed_causal' AS kind, CASE WHEN direction IS NULL OR direction NOT IN ('up', 'down') THEN 'context_only' WHEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction THEN 'supports_direction' ELSE 'contradicts_direction' END AS strength, n_edges, count(*) AS n FROM walk LEFT JOIN ob ON ob.gene = target GROUP BY ALL""")
 def _(edge, counts, samples):
     con = expression.contrasts(expression.library_size_median(counts), samples)
-    seen = paths.consistency(_paths(edge), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
+    seen = paths.consistency(_paths(edge, counts, samples), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
     return paths.support_rows(seen).groupBy("kind", "strength", "n_edges").agg(F.count("*").alias("n"))
 
 
-@query("ranked_paths", "edges", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n_edges, nodes) AS rank FROM walk) r WHERE rank <= 3")
-def _(edge):
-    return paths.ranked(_paths(edge), 3).select("source", "target", F.array_join("nodes", ">").alias("nodes"), F.col("rank").cast("long").alias("rank"))
+@query("ranked_paths", "edges counts samples", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n_edges, nodes) AS rank FROM walk) r WHERE rank <= 3")
+def _(*tables):
+    return paths.ranked(_paths(*tables), 3).select("source", "target", F.array_join("nodes", ">").alias("nodes"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- audits of planted faults --------------------------------------------------------------------
@@ -359,11 +339,11 @@ def _(*tables):
     return audit.label_audit(rows)
 
 
-@query("path_audit", "edges", PATH_SQL + """ SELECT DISTINCT 'path_without_result' AS "check", source, target FROM walk WHERE CAST(target AS BIGINT) % 60 = 10 UNION ALL SELECT DISTINCT 'result_without_path', source, concat('-', target) FROM walk WHERE CAST(target AS BIGINT) % 100 = 30""")
-def _(edge):
+@query("path_audit", "edges counts samples", PATH_SQL + """ SELECT DISTINCT 'path_without_result' AS "check", source, target FROM walk WHERE CAST(target AS BIGINT) % 6 = 1 UNION ALL SELECT DISTINCT 'result_without_path', source, concat('-', target) FROM walk WHERE CAST(target AS BIGINT) % 5 = 2""")
+def _(*tables):
     """Results of some targets are dropped, others are made up."""
-    p = stored(_paths(edge).select("source", "target", "n_edges", "nodes"))
+    p = stored(_paths(*tables).select("source", "target", "n_edges", "nodes"))
     r = paths.search_results(p)
     t = F.col("target").cast("long")
-    wrong = r.where(t % 60 != 10).unionByName(r.where(t % 100 == 30).withColumn("target", F.concat(F.lit("-"), "target")))
+    wrong = r.where(t % 6 != 1).unionByName(r.where(t % 5 == 2).withColumn("target", F.concat(F.lit("-"), "target")))
     return paths.dangling(p, wrong)

@@ -76,6 +76,30 @@ def test_scan_against_brute_force_over_chunks(spark):
     assert {r.start for r in found.collect()} == want4
 
 
+@pytest.mark.parametrize("n", [8, 14, 21, 26, 31])
+def test_full_sites_of_any_length(spark, n):
+    import random
+
+    rnd = random.Random(n)
+    text = "".join(rnd.choice("ACGTN" if i % 97 == 0 else "ACGT") for i in range(900))
+    near = [text[300 : 300 + n], text[600 : 600 + n]]
+    seqs = spark.createDataFrame([(1, 1, text), (2, 1, ""), (3, 1, None), (4, 1, text[:n])], "transcript_id long, gene_id long, sequence string")
+    strand = spark.createDataFrame([(k, "guide", x.translate(str.maketrans("ACGTN", "TGCAA"))[::-1]) for k, x in enumerate(near)], "sirna_id long, strand string, guide string")
+    for most in (1, 4):
+        got = sorted((r.sirna_id, r.transcript_id, r.start) for r in sites.full_sites(seqs, strand, most).collect())
+        search = [r.guide.translate(str.maketrans("ACGT", "TGCA"))[::-1] for r in sorted(strand.collect())]
+        want = sorted((k, t, i) for k, q in enumerate(search) for t, s in ((1, text), (4, text[:n])) for i in range(len(s) - n + 1) if sum(a != b for a, b in zip(q, s[i : i + n], strict=True)) <= most)
+        assert got == want and got
+
+
+def test_seed_mismatches_by_blocks(gold):
+    policy = targetability.TargetabilityPolicy(max_seed=2)
+    keep = [*targetability.SITE, "priority", "n_total_mm", "n_seed_mm"]
+    some = targetability.scan(*gold, policy=policy).select(*keep)
+    full = targetability.scan(*gold, mode="complete", policy=policy).where("priority <> 4").select(*keep)
+    assert sorted(rows(some)) == sorted(rows(full)) and some.count()
+
+
 def test_decisions_for_absent_and_unavailable(gold, spark):
     seqs, guides = gold
     best = targetability.best_sites(targetability.scan(seqs, guides))
