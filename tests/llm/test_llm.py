@@ -74,8 +74,9 @@ def test_substring_dedup_against_brute_force(docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_suffix_dedup_against_brute_force(docs, spark, many):
+@pytest.mark.parametrize(("many", "piece"), [(False, 1 << 20), (True, 1 << 20), (False, 300)])
+def test_suffix_dedup_against_brute_force(docs, spark, monkeypatch, many, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)  # long texts are hashed in pieces
     length, rows = 70, corpus()
     if many:  # one line in very many contexts: its grams fill several buckets, so runs go on across boundaries
         rnd, line = random.Random(4), _text(random.Random(9), 16)
@@ -517,6 +518,54 @@ def test_empty_tables(docs, spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_empty_tables_of_the_others(docs, spark, tmp_path):
+    none, marks = docs.limit(0), spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "some item of many plain words here")], "item_id long, text string")
+    assert decontaminate.find_leaks(none, bench).collect() == decontaminate.drop_leaks(none, bench).collect() == []
+    assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == docs.count()
+    assert toxicity.score_toxicity(none, marks).collect() == toxicity.drop_toxic(none, marks).collect() == []
+    wavelet.write_tokens(none, str(tmp_path / "none"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert wavelet.read_documents(spark, str(tmp_path / "none")).collect() == []
+    urls = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_rules.judge_urls(urls, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def test_columns_that_clash_pass_through(spark):
+    rows = [(i, f"word{i} calm text " * 5, 0.5, [i], {"a": i}) for i in range(30)] + [(None, "wazz " * 9, None, None, None), (None, "calm text " * 9, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, words array<int>, extra map<string,int>")
+    marks = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(30)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(df, marks, threshold=2.0)
+    assert kept.columns == df.columns and kept.count() == 32 and {r.extra["a"] for r in kept.collect() if r.extra} == set(range(30))
+    near = minhash.drop_near_duplicates(df)
+    assert near.columns == df.columns and near.count() == 32
+    assert decontaminate.drop_leaks(df, spark.createDataFrame([(1, "word3 calm text word3 calm text")], "item_id long, text string")).count() == 31
+
+
+def test_alignment_in_a_band_against_brute_force():
+    rnd = random.Random(12)
+    for _ in range(300):
+        item = "".join(rnd.choice("ab") for _ in range(rnd.randint(4, 20)))
+        text = list(item)
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(text) + 1)
+            text[k : k + rnd.randint(0, 1)] = rnd.choice(["", "c", "a"])
+        text = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 3))) + "".join(text) + "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 3)))
+        best = list(range(len(text) + 1))
+        best = [0] * (len(text) + 1)
+        for i, c in enumerate(item):
+            new = [i + 1]
+            for j, d in enumerate(text):
+                new.append(min(best[j] + (c != d), best[j + 1] + 1, new[j] + 1))
+            best = new
+        for most in (0, 1, 3):
+            found = decontaminate.align(item, text, most)
+            # all of the text lies within the band if it is at most `most` longer on either side
+            if min(best) <= most and len(text) <= len(item) + 2 * most:
+                assert found and found[0] == min(best), (item, text, most)
+            if found:
+                assert min(best) <= found[0] <= most or item in text
+
+
 def test_pack_round_trip():
     a = [np.arange(5, dtype=np.int64), np.zeros(0, np.uint64), np.array([3], np.uint8)]
     b = _common.unpack(_common.pack(*a))
