@@ -4,8 +4,9 @@ A word's vector is the mean of the embeddings of its hashed character n-grams (a
 misspelling or an unseen ending still lands near its kin. A document is the mean of its distinct words' vectors.
 
 The model is fitted on a bounded sample of labelled rows (`sample`, whole texts, the ones whose hash of
-doc_id is smallest). As the softmax is linear, a word's part in it is one number: scoring adds up numbers
-that each task remembers for the words it meets.
+doc_id is smallest); executors turn texts into word hashes and words into embedding rows, so the driver holds
+arrays of numbers and no text. As the softmax is linear, a word's part in it is one number: scoring adds up
+numbers that each task remembers for the words it meets.
 """
 
 from __future__ import annotations
