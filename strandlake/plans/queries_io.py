@@ -179,7 +179,7 @@ def _(edge):
     return providers.reactome_content(raw).select(*EDGE_COLUMNS)
 
 
-DOCS_SQL = " SELECT '{0}' AS provider, term_id, term_id AS term_name, CAST(count(DISTINCT gene) AS DOUBLE) AS observed, count(*) / 10.0 AS expected, 0.01 AS p_value, 0.05 AS q_value FROM memberships WHERE dataset = 'brand' GROUP BY term_id"
+DOCS_SQL = " SELECT '{0}' AS provider, term_id, term_id AS term_name, CAST(count(DISTINCT gene) AS DOUBLE) AS observed, count(*) / 10.0 AS expected, CAST(0.01 AS DOUBLE) AS p_value, CAST(0.05 AS DOUBLE) AS q_value FROM memberships WHERE dataset = 'brand' GROUP BY term_id"
 
 
 @query("panther_rows", "memberships", DOCS_SQL.format("panther"))

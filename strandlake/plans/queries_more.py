@@ -208,7 +208,7 @@ def _(precomputed, memberships):
     return out.withColumn("sources", F.concat_ws(",", "sources")).withColumns(r6("coherence"))
 
 
-@query("membership_evidence", "precomputed memberships", " SELECT DISTINCT p.gene, CASE WHEN m.gene IS NULL THEN 0.0 ELSE 1.0 END AS evidence FROM precomputed p LEFT JOIN (SELECT DISTINCT gene FROM memberships WHERE dataset = 'brand' AND completeness = 'complete') m ON m.gene = p.gene")
+@query("membership_evidence", "precomputed memberships", " SELECT DISTINCT p.gene, CAST(CASE WHEN m.gene IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE) AS evidence FROM precomputed p LEFT JOIN (SELECT DISTINCT gene FROM memberships WHERE dataset = 'brand' AND completeness = 'complete') m ON m.gene = p.gene")
 def _(precomputed, memberships):
     return enrichment.membership_evidence(precomputed, memberships.where("dataset = 'brand' and completeness = 'complete'"))
 
@@ -221,7 +221,7 @@ def _(memberships):
 # --- graph ---------------------------------------------------------------------------------------
 
 
-@query("resolved_ends", "edges identifiers", ", rs AS (SELECT CAST(input_order AS VARCHAR) AS id, canonical_gene_id AS g, CASE WHEN confidence = 'unambiguous' THEN 1.0 ELSE 0.5 END AS c FROM identifiers WHERE canonical_gene_id IS NOT NULL) SELECT a.g AS source_id, b.g AS target_id, least(coalesce(a.c, 0), coalesce(b.c, 0)) AS confidence, count(*) AS n FROM edges LEFT JOIN rs a ON a.id = source LEFT JOIN rs b ON b.id = target GROUP BY ALL")
+@query("resolved_ends", "edges identifiers", ", rs AS (SELECT CAST(input_order AS VARCHAR) AS id, canonical_gene_id AS g, CASE WHEN confidence = 'unambiguous' THEN 1.0 ELSE 0.5 END AS c FROM identifiers WHERE canonical_gene_id IS NOT NULL) SELECT a.g AS source_id, b.g AS target_id, CAST(least(coalesce(a.c, 0), coalesce(b.c, 0)) AS DOUBLE) AS confidence, count(*) AS n FROM edges LEFT JOIN rs a ON a.id = source LEFT JOIN rs b ON b.id = target GROUP BY ALL")
 def _(edge, records):
     r = records.where("canonical_gene_id is not null").select(F.col("input_order").cast("string").alias("id"), "canonical_gene_id", F.when(F.col("confidence") == "unambiguous", 1.0).otherwise(0.5).alias("mapping_confidence"))
     rows = edges.typed(edge, r).withColumn("confidence", F.least("source_confidence", "target_confidence"))
