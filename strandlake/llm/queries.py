@@ -6,6 +6,7 @@ from .decontaminate import op4
 from .html_extract import op7
 from .minhash import op10
 from .packing import op1
+from .runs import op11
 from .substring_dedup import op9
 from .suffix_dedup import op3
 from .syncmers import op6
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_substring_dedup": op9,
     "op10_minhash": op10,
+    "op11_grammar_runs": op11,
 }
 
 ORACLES: dict[str, str] = {
