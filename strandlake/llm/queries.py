@@ -37,16 +37,16 @@ ORACLES: dict[str, str] = {
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
         q AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
         g AS (SELECT lang, k, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM q, range(1, 5) r(k) WHERE len(ws) >= k) u),
-        f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+        f AS (SELECT lang, k, array_to_string(g, ' ') AS p, any_value(g) AS g, count(*) AS f FROM g GROUP BY lang, k, p HAVING f >= 30),
         n AS (SELECT lang, sum(len(ws)) AS n FROM q GROUP BY lang),
-        c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 30),
-        cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM c),
-        s AS (SELECT cuts.lang, cuts.k, cuts.g, a, cut, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * a) // (l.f + r.f) AS BIGINT) AS score
-              FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = cuts.g[1:cut] JOIN f r ON r.lang = cuts.lang AND r.g = cuts.g[cut + 1:]),
-        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
-        inside AS (SELECT lang, a, g[i:i + m - 1] AS g FROM (SELECT lang, g, k, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) r(m) WHERE m < k) u),
-        longer AS (SELECT lang, g, max(a) AS longer FROM inside GROUP BY ALL),
-        kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g WHERE longer IS NULL OR 100 * longer < 80 * a)
+        c AS (SELECT lang, k, p, g, f AS a FROM f WHERE k > 1),
+        cuts AS (SELECT *, array_to_string(g[1:cut], ' ') AS pl, array_to_string(g[cut + 1:], ' ') AS pr FROM (SELECT lang, k, p, g, a, unnest(range(1, k)) AS cut FROM c) u),
+        s AS (SELECT cuts.lang, cuts.p, a, cut, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * a) // (l.f + r.f) AS BIGINT) AS score
+              FROM cuts JOIN f l ON l.lang = cuts.lang AND l.p = cuts.pl JOIN f r ON r.lang = cuts.lang AND r.p = cuts.pr),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+        inside AS (SELECT lang, a, array_to_string(g[i:i + m - 1], ' ') AS p FROM (SELECT lang, g, k, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) r(m) WHERE m < k) u),
+        longer AS (SELECT lang, p, max(a) AS longer FROM inside GROUP BY ALL),
+        kept AS (SELECT best.*, best.p AS phrase FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.p = best.p WHERE longer IS NULL OR 100 * longer < 80 * a)
         SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
         FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000""",
     # crc32 byte by byte, with its table built from the polynomial
