@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ._common import mix, pack, unpack, written
 
 BLOCK = 250_000  # words and piece ends of a block, but for a longer document; bounds a task's memory
-HELD = 2_000_000  # occurrences that a task counts at a time
+HELD = 1_000_000  # occurrences that a task counts at a time
+SENT = 65_536  # rows of a batch that a task sends
 SHARD = 200_000  # phrases of a trie, on average; bounds a broadcast
 MOST = 4  # words of the longest phrase
 
@@ -162,7 +163,7 @@ def _blocks(batches):
     from pyspark import TaskContext
 
     number, held, total = TaskContext.get().partitionId() << 32, {}, 0
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             block = held.setdefault(lang, _Open())
             before = block.size
@@ -193,14 +194,16 @@ def _dense(df: DataFrame, *by: str) -> DataFrame:
 def _each_block(batches):
     """(places as numbers into the block's list, id of each word of the list or -1)."""
     for batch in batches:
-        for places, n, slots, ids in zip(*(batch.column(c).to_pylist() for c in ("places", "n_words", "slots", "ids")), strict=True):
-            table = np.full(n, -1, np.int64)
-            table[slots] = ids
-            yield unpack(places)[0], table
+        places, n, slots, ids = (batch.column(c) for c in ("places", "n_words", "slots", "ids"))
+        for k in range(len(batch)):
+            table = np.full(n[k].as_py(), -1, np.int64)
+            table[slots[k].values.to_numpy()] = ids[k].values.to_numpy()
+            yield unpack(places[k].as_py())[0], table
 
 
-def _batch(code: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(code, pa.int64()), pa.array(count, pa.int64())], names=["code", "count"])
+def _batches(code: np.ndarray, count: np.ndarray):
+    for i in range(0, len(code), SENT):
+        yield pa.record_batch([pa.array(code[i : i + SENT], pa.int64()), pa.array(count[i : i + SENT], pa.int64())], names=["code", "count"])
 
 
 def _counted(occurrences):
@@ -212,10 +215,10 @@ def _counted(occurrences):
         held.append(codes)
         size += len(codes)
         if size >= HELD:
-            yield _batch(*np.unique(np.concatenate(held), return_counts=True))
+            yield from _batches(*np.unique(np.concatenate(held), return_counts=True))
             held, size = [], 0
     if size:
-        yield _batch(*np.unique(np.concatenate(held), return_counts=True))
+        yield from _batches(*np.unique(np.concatenate(held), return_counts=True))
 
 
 def _pairs(batches):
@@ -259,7 +262,7 @@ def _accepted(trie, names):
                 sums += np.bincount(phrase, minlength=len(sums))
         some = np.flatnonzero(sums)
         if len(some):
-            yield _batch(name[some], sums[some])
+            yield from _batches(name[some], sums[some])
 
     return run
 
@@ -283,7 +286,12 @@ def _scans(coded: DataFrame, phrases: DataFrame, scan, *more: int) -> DataFrame:
         row = tries.where(F.col("shard") == k).first()
         held = [spark.sparkContext.broadcast(bytes(v)) for v in (row.trie, row.names)]  # at most a shard's size
         parts.append(coded.mapInArrow(scan(*held, *more), "code long, count long"))
-    return reduce(DataFrame.unionAll, parts).groupBy("code").agg(F.sum("count").alias("count"))
+    return _summed(reduce(DataFrame.unionAll, parts))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    """(code, count): sums by code. Tasks have counted their own rows, so these go to their codes as they are."""
+    return counts.repartition("code").groupBy("code").agg(F.sum("count").alias("count"))
 
 
 # --- phrases -------------------------------------------------------------------------------------
@@ -295,7 +303,7 @@ def _key(ids: Column) -> Column:
 
 def _candidates(coded: DataFrame, words: DataFrame, min_count: int) -> DataFrame:
     """(id, ids, a): the Apriori-safe phrases of two words and more, counted by tries."""
-    sums = coded.mapInArrow(_pairs, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
+    sums = _summed(coded.mapInArrow(_pairs, "code long, count long"))
     levels, before = [], words.select("id", F.array("id").alias("ids"))
     for length in range(2, MOST + 1):
         code = F.col("code")
