@@ -5,11 +5,16 @@ edges: (source, target, edge_id, sign). Simple paths grow by one equi-join a ste
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.sources.stored import stored
 
+from .ordered import running_total
+
 
 def simple_edges(edges: DataFrame) -> DataFrame:
     """One edge per (source, target), the smallest edge id; no loops."""
@@ -97,21 +102,185 @@ def consistency(paths: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame, written) -> DataFrame:
-    """(source, node): everything reachable over any number of edges. written: stores a step and cuts its lineage."""
+    """(source, node): everything reachable over any number of edges, the source itself left out. written: stores a step.
+
+    Sources travel as bits, 64 to a row: a row (node, word) says which of them have come there. A round moves the
+    new bits over the edges and ends when none is new, so there are as many rounds as the farthest node is edges
+    away, and a hub gets one row a word, however many paths lead there.
+    """
+    spark = edges.sparkSession
     e = written(edges.select(F.col("source").alias("tail"), F.col("target").alias("head")).distinct())
-    front = written(starts.select(F.col("node").alias("source"), "node").distinct())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # each start gets a word of its partition and a bit
+    dealt = starts.select("node").distinct().repartitionByRange(parts, "node").sortWithinPartitions("node")
+    bits = written(dealt.withColumn("at", F.monotonically_increasing_id()).select("node", F.shiftright("at", 6).alias("word"), (F.col("at") % 64).cast("int").alias("bit")))
+    front = written(bits.select("node", "word", F.expr("shiftleft(1L, bit)").alias("bits")))
     seen = front
-    while True:
-        new = front.join(e, F.col("node") == F.col("tail")).select("source", F.col("head").alias("node")).distinct()
-        front = written(new.join(seen, ["source", "node"], "left_anti"))
-        if not front.limit(1).count():
-            return seen.join(starts.select(F.col("node").alias("source"), "node"), ["source", "node"], "left_anti")
-        seen = seen.unionByName(front)
+    while front.limit(1).count():
+        moved = front.join(e, F.col("node") == F.col("tail")).groupBy(F.col("head").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        front = written(moved.join(seen.withColumnRenamed("bits", "old"), ["node", "word"], "left").select("node", "word", F.expr("bits & ~coalesce(old, 0L)").alias("bits")).where("bits <> 0"))
+        seen = written(seen.unionByName(front).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    each = seen.select("node", "word", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1) = 1)")).alias("bit"))
+    return each.join(bits.withColumnRenamed("node", "source"), ["word", "bit"]).where("source <> node").select("source", "node")
+
+
+# --- search with its caps inside -----------------------------------------------------------------
+
+
+def _enough(inner: int, left: int, keep: int) -> int:
+    """How many paths with the same ends suffice, of those that agree in all but `inner` inner nodes, so that the first
+    `keep` that avoid any `left` later nodes are among them.
+
+    A node stands in each inner place of at most _enough(inner - 1) of them, so `left` nodes strike out at most
+    left * inner * _enough(inner - 1).
+    """
+    return 1 if inner == 0 else keep + left * inner * _enough(inner - 1, left, keep)
+
+
+def _sufficient(step: DataFrame, n: int, left: int, keep: int) -> DataFrame:
+    """Of paths of n edges that `left` nodes may follow, those that can be among the first `keep` of any continuation."""
+    for free in range(1, n):  # paths that share more inner nodes first
+        for fixed in combinations(range(2, n + 1), n - 1 - free):
+            same = Window.partitionBy("source", "target", *[F.element_at("nodes", i) for i in fixed]).orderBy("nodes")
+            step = step.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= _enough(free, left, keep)).drop("_r")
+    return step
+
+
+def _signed_edges(edges: DataFrame) -> DataFrame:
+    sign = F.when(F.col("sign") == "positive", 1).when(F.col("sign") == "negative", -1).otherwise(0)
+    return simple_edges(edges).select(F.col("source").alias("tail"), F.col("target").alias("head"), sign.alias("s"))
+
+
+def _steps(e: DataFrame, starts: DataFrame, length: int, further: int, keep: int, near: list[DataFrame] | None) -> list[DataFrame]:
+    """Paths of 1 to `length` edges (source, target, nodes, sign), stored, of which each end keeps what continuations of
+    `further` more edges can need. near[k]: nodes from which a target is at most k edges away."""
+    grow = lambda left: e if near is None else e.join(near[min(left, len(near) - 1)], "head", "left_semi")
+    step = grow(length + further - 1).join(starts.select(F.col("node").alias("tail")).distinct(), "tail")
+    steps = [stored(step.select(F.col("tail").alias("source"), F.col("head").alias("target"), F.array("tail", "head").alias("nodes"), F.col("s").alias("sign")))]
+    for n in range(2, length + 1):
+        left = length + further - n
+        steps.append(stored(_sufficient(_onward(steps[-1], grow(left)), n, left, keep)))
+    return steps
+
+
+def _onward(step: DataFrame, e: DataFrame) -> DataFrame:
+    longer = step.join(e, F.col("target") == F.col("tail")).where(~F.array_contains("nodes", F.col("head")))
+    return longer.select("source", F.col("head").alias("target"), F.array_append("nodes", F.col("head")).alias("nodes"), (F.col("sign") * F.col("s")).alias("sign"))
+
+
+def _near(e: DataFrame, targets: DataFrame | None, length: int) -> list[DataFrame] | None:
+    if targets is None:
+        return None
+    near = [stored(targets.select(F.col("node").alias("head")).distinct())]
+    for _ in range(length - 1):
+        near.append(stored(near[-1].unionByName(e.join(near[-1], "head", "left_semi").select(F.col("tail").alias("head"))).distinct()))
+    return near
+
+
+def best_paths(edges: DataFrame, starts: DataFrame, max_length: int = 4, per_target: int = 25, targets: DataFrame | None = None) -> DataFrame:
+    """The first per_target simple paths of each (source, target), by length, then nodes; exact, without making all paths.
+
+    source, target, nodes, n_edges, sign (product of 1 and -1; 0 if an edge is unsigned), rank. A step keeps for
+    each (source, node) only as many paths as can be among the first of any continuation, whatever nodes follow; a
+    pair that has its paths is not grown further. Edges out of a hub are joined like any skewed key.
+    """
+    e = stored(_signed_edges(edges))
+    near = _near(e, targets, max_length)
+    steps = _steps(e, starts, max_length - 1, 1, per_target, near) if max_length > 1 else []
+    short = [s.withColumn("n_edges", F.lit(n + 1)) for n, s in enumerate(steps)]
+    if near is not None:
+        short = [s.join(near[0].withColumnRenamed("head", "target"), "target", "left_semi").select(*s.columns) for s in short]
+    last = e if near is None else e.join(near[0], "head", "left_semi")
+    if not steps:
+        one = last.join(starts.select(F.col("node").alias("tail")).distinct(), "tail")
+        full = one.select(F.col("tail").alias("source"), F.col("head").alias("target"), F.array("tail", "head").alias("nodes"), F.col("s").alias("sign"))
+    else:
+        done = reduce(DataFrame.unionByName, short).groupBy("source", "target").count().where(F.col("count") >= per_target)
+        full = _onward(steps[-1], last).join(done, ["source", "target"], "left_anti")
+    out = reduce(DataFrame.unionByName, [*short, full.withColumn("n_edges", F.lit(max_length))])
+    return ranked(out.select("source", "target", "nodes", "n_edges", "sign"), per_target)
+
+
+def path_counts(edges: DataFrame, starts: DataFrame, max_length: int = 4, per_target: int = 25) -> DataFrame:
+    """(source, target, n_paths): how many paths best_paths keeps of each pair. The last step is counted, not made."""
+    e = stored(_signed_edges(edges))
+    steps = _steps(e, starts, max_length - 1, 1, per_target, None)
+    last = steps[-1].join(e, F.col("target") == F.col("tail")).where(~F.array_contains("nodes", F.col("head"))).select("source", F.col("head").alias("target"))
+    counts = [d.groupBy("source", "target").count() for d in (*[s.select("source", "target") for s in steps], last)]
+    return reduce(DataFrame.unionByName, counts).groupBy("source", "target").agg(F.least(F.sum("count"), F.lit(per_target)).alias("n_paths"))
+
+
+def beyond_pairs(edges: DataFrame, starts: DataFrame, max_length: int = 4) -> DataFrame:
+    """(source, target): pairs with a simple path of max_length + 1 edges.
+
+    The step before the last is only asked which nodes lie on every path from a source to a node: the last edge
+    may lead anywhere else. These are among the inner nodes of any one of the paths.
+    """
+    e = stored(_signed_edges(edges))
+    own, onward = ["source", "target"], F.col("target") == F.col("tail")
+    if max_length < 2:
+        steps = _steps(e, starts, 1, 1, 1, None)
+        return _onward(steps[0], e).select(*own).distinct() if max_length == 1 else steps[0].select(*own).distinct()
+    before = _steps(e, starts, max_length - 1, 2, 1, None)[-1]
+    every = _onward(before, e)
+    one = every.groupBy(*own).agg(F.min("nodes").alias("one"))
+    place = range(2, max_length + 1)
+    blocks = every.join(one, own).groupBy(*own).agg(F.first("one").alias("one"), *[F.bool_and(F.expr(f"array_contains(nodes, one[{i - 1}])")).alias(f"b{i}") for i in place])
+    blocks = blocks.select(*own, F.array_compact(F.array(*[F.when(F.col(f"b{i}"), F.expr(f"one[{i - 1}]")) for i in place])).alias("block"))
+    last = blocks.join(e, onward).where((F.col("head") != F.col("source")) & ~F.array_contains("block", F.col("head")))
+    return last.select("source", F.col("head").alias("target")).distinct()
 
 
 def beyond_cutoff(edges: DataFrame, starts: DataFrame, max_length: int = 4) -> DataFrame:
     """Sources from which a simple path of max_length + 1 edges leads on."""
-    return enumerate_paths(edges, starts, max_length + 1).where(F.col("n_edges") == max_length + 1).select("source").distinct()
+    return beyond_pairs(edges, starts, max_length).select("source").distinct()
+
+
+def search(edges: DataFrame, starts: DataFrame, max_length: int = 4, per_target: int = 25, total: int | None = None, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(paths, results) of a search with its caps.
+
+    paths: as best_paths, at most `total` of them in the order of source, target, rank. results: one row per
+    (source, target): status, reason, generated, retained, discarded, discarded_per_candidate, discarded_total,
+    max_depth, truncated. Paths of a pair are generated until one is over the cap. Without candidates the pairs are
+    those reachable over any number of edges; with candidates (node), each source is paired with each. Sources that
+    can't be searched have a row without a target. After the pair at which `total` is used up no pair has a row.
+    """
+    edges = stored(edges.select("source", "target", "edge_id", "sign"))
+    every = stored(sources(edges, starts))
+    known = stored(every.where("status = 'searched'").select("node"))
+    reach = stored(reachable(edges, known, stored)).withColumn("reached", F.lit(True)).withColumnRenamed("node", "target")
+    pairs = search_targets(edges, known, candidates) if candidates is not None else reach.select("source", "target", F.lit("resolved").alias("status"), F.lit("all_reachable_entities").alias("scope"))
+    found = stored(best_paths(edges, known, max_length, per_target + 1, candidates))
+    counts = found.groupBy("source", "target").agg(F.count("*").alias("generated"))
+    far = beyond_pairs(edges, known, max_length).withColumn("far", F.lit(True))
+    key = ["source", "target"]
+    rows = pairs.join(counts, key, "left").join(far, key, "left").join(reach, key, "left").fillna({"generated": 0})
+    over = F.col("generated") > per_target
+    status = F.when(F.col("status") != "resolved", F.col("status")).when(F.col("reached").isNull(), "no_path_found").when(over, "maximum_paths_per_candidate_reached").when(F.col("far"), "maximum_path_length_reached").otherwise("complete")
+    rows = rows.select(*key, "scope", status.alias("status"), "generated", F.least("generated", F.lit(per_target)).alias("retained"))
+    if total is not None:
+        rows = running_total(rows, key, "retained", "before")
+        # a pair has a row as long as something is left, and so has the first one after that
+        rows = rows.where((F.col("before") < total) | (F.col("before") - F.col("last") < total))
+        room = F.greatest(F.lit(total) - F.col("before"), F.lit(0))
+        cut = (room < F.col("generated")) & (room < per_target) | (room == 0)
+        rows = rows.withColumns({
+            "status": F.when(cut, "maximum_total_paths_reached").otherwise(F.col("status")),
+            "generated": F.when(room == 0, 0).when(cut, room + 1).otherwise(F.col("generated")),
+            "retained": F.least("retained", room),
+        })
+    rows = stored(rows)
+    numbers = found.join(rows.select(*key, F.col("generated").alias("upto"), F.col("retained").alias("room")), key)
+    depth = numbers.where("rank <= upto").groupBy(*key).agg(F.max("n_edges").alias("max_depth"))
+    rows = rows.join(depth, key, "left").fillna({"max_depth": 0})
+    found = numbers.where("rank <= room").drop("upto", "room")
+    rows = rows.withColumn("discarded", F.col("generated") - F.col("retained"))
+    rows = rows.withColumn("discarded_total", F.when(F.col("status") == "maximum_total_paths_reached", F.col("discarded")).otherwise(0)).withColumn("discarded_per_candidate", F.col("discarded") - F.col("discarded_total"))
+    reason = {"complete": "all_simple_paths_exhausted", "maximum_path_length_reached": "search_cutoff_depth_reached", "no_path_found": "target_not_reachable_in_graph_layer"}
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in reason.items() for x in kv])[F.col("status")], F.col("status"))
+    columns = (*key, "scope", "status", "reason", "generated", "retained", "discarded", "discarded_per_candidate", "discarded_total", "max_depth", "truncated")
+    rows = rows.withColumn("reason", named).withColumn("truncated", F.col("status").startswith("maximum_")).select(*columns)
+    return found, rows
 
 
 def confidence(paths: DataFrame, quality: DataFrame) -> DataFrame:
