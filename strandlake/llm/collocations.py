@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from functools import reduce
 
@@ -29,6 +30,7 @@ BLOCK = 250_000  # words and piece ends of a block, but for a longer document; b
 HELD = 1_000_000  # occurrences that a task counts at a time
 SENT = 65_536  # rows of a batch that a task sends
 SHARD = 200_000  # phrases of a trie, on average; bounds a broadcast
+TRIED = 500_000  # cells that are looked at together when a trie is laid out
 MOST = 4  # words of the longest phrase
 
 _BLOCK = "lang string, block long, n long, words array<string>, counts array<long>, places binary"
@@ -43,30 +45,38 @@ class Trie:
     """Phrases of ids as a double array: the state after reading id x in state s is base[s] + x, if check there is s.
 
     A state is a cell of the arrays; 0 is the root. accept[s]: the number of the phrase that ends there, or -1.
-    Ids count within `alphabet`.
+    An id is its place in `alphabet`, read as two digits of that many kinds as the square root of its size: so a
+    state has few successors close to each other, and the arrays stay dense.
     """
 
     def __init__(self, alphabet: np.ndarray, base: np.ndarray, check: np.ndarray, accept: np.ndarray) -> None:
         self.alphabet, self.base, self.check, self.accept = alphabet, base, check, accept
+        self.kinds = self._kinds(alphabet)
+
+    @staticmethod
+    def _kinds(alphabet: np.ndarray) -> int:
+        return max(1, math.isqrt(max(len(alphabet) - 1, 0)) + 1)
 
     @classmethod
     def of(cls, phrases: np.ndarray) -> Trie:
         """phrases: a row of ids each, distinct, shorter ones filled up with -1."""
         alphabet = np.unique(phrases[phrases >= 0])
-        symbols = np.where(phrases >= 0, np.searchsorted(alphabet, phrases), -1)
+        at, width = np.searchsorted(alphabet, phrases), cls._kinds(alphabet)
+        digits = np.stack([at // width, at % width], 2)
+        symbols = np.where((phrases >= 0)[:, :, None], digits, -1).reshape(len(phrases), 2 * phrases.shape[1])
         parent, symbol, ends = [np.array([-1])], [np.array([-1])], []
         node, rows, n = np.zeros(len(phrases), np.int64), np.arange(len(phrases)), 1
-        for depth in range(phrases.shape[1]):
+        for depth in range(symbols.shape[1]):
             going = symbols[rows, depth] >= 0
             ends.append((node[~going], rows[~going]))
             rows, node = rows[going], node[going]
-            code, node = np.unique(node * np.int64(len(alphabet)) + symbols[rows, depth], return_inverse=True)
-            parent.append(code // len(alphabet) if len(code) else code)
-            symbol.append(code % len(alphabet) if len(code) else code)
+            code, node = np.unique(node * np.int64(width) + symbols[rows, depth], return_inverse=True)
+            parent.append(code // width)
+            symbol.append(code % width)
             node, n = node + n, n + len(code)
         ends.append((node, rows))
         parent, symbol = np.concatenate(parent), np.concatenate(symbol)
-        cells, base = cls._placed(parent, symbol, len(alphabet))
+        cells, base = cls._placed(parent, symbol, width)
         size = int(cells.max()) + 1
         out = [np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)]
         out[0][cells], out[1][cells[1:]] = base, cells[parent[1:]]
@@ -80,26 +90,23 @@ class Trie:
         n = len(parent)
         low, high = np.searchsorted(parent, np.arange(n), "left"), np.searchsorted(parent, np.arange(n), "right")
         many, base, cells = high - low, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        taken = np.zeros(2 * n + 2 * width + 64, bool)
-        taken[0], free, last = True, 1, 1  # last: behind all taken cells
+        taken = np.zeros(2 * n + 3 * width + 64, bool)
+        taken[0], start, last, size = True, 1, 1, 0  # last: behind all taken cells
         for node in np.argsort(-many, kind="stable")[: int((many > 1).sum())].tolist():
             s = symbol[low[node] : high[node]]
-            while taken[free]:
-                free += 1
-            at, look = free, 64
-            while True:  # the children's first cell goes to a free one where the others fit too
-                if at >= last or look > 1 << 14:
-                    first = max(at, last)
-                    break
-                some = at + np.flatnonzero(~taken[at : at + look])
-                fits = np.flatnonzero(~taken[np.minimum(some[:, None] + (s - s[0]), len(taken) - 1)].any(1))
+            if len(s) != size:  # where as many children didn't fit before, they needn't be tried again
+                size, start, look = len(s), 1, max(1, min(128, TRIED // len(s)))
+            fits = some = np.zeros(0, np.int64)
+            while start < last:  # the children's first cell goes to a free one where the others fit too, or behind all
+                some = start + np.flatnonzero(~taken[start : min(start + look, last)])
+                fits = np.flatnonzero(~taken[some[:, None] + (s - s[0])].any(1))
                 if len(fits):
-                    first = int(some[fits[0]])
                     break
-                at, look = at + look, 2 * look
+                start += look
+            start = first = int(some[fits[0]]) if len(fits) else last
             here = first + s - s[0]
-            if here[-1] + 2 * width + 64 >= len(taken):
-                taken = np.concatenate([taken, np.zeros(len(taken) + 2 * width, bool)])
+            if here[-1] + 3 * width + 64 >= len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken) + 3 * width, bool)])
             taken[here], cells[low[node] : high[node]], base[node], last = True, here, first - s[0], max(last, int(here[-1]) + 1)
         one = np.flatnonzero(many == 1)  # lone children fill the holes
         child, holes = low[one], np.flatnonzero(~taken[: last + len(one)])[: len(one)]
@@ -126,10 +133,13 @@ class Trie:
             going = places + depth < len(symbols)
             places, state = places[going], state[going]
             x = symbols[places + depth]
-            cell = self.base[state] + x
-            ok = np.flatnonzero((x >= 0) & (cell >= 0) & (cell < len(self.check)))
-            ok = ok[self.check[cell[ok]] == state[ok]]
-            places, state = places[ok], cell[ok]
+            some = np.flatnonzero(x >= 0)
+            places, state, x = places[some], state[some], x[some]
+            for digit in (np.floor_divide, np.remainder):
+                cell = self.base[state] + digit(x, self.kinds)
+                ok = np.flatnonzero((cell >= 0) & (cell < len(self.check)))
+                ok = ok[self.check[cell[ok]] == state[ok]]
+                places, state, x = places[ok], cell[ok], x[ok]
             found = self.accept[state]
             yield places[found >= 0], found[found >= 0]
 
