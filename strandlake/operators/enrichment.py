@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.sources.stored import stored
+
+from .ordered import minimum_from, ranked_in
+
 SETS = ("up", "down", "changed", "low_count", "unmapped", "target_related")
 
 
@@ -70,11 +74,16 @@ def overrepresentation(sets: DataFrame, terms: DataFrame, universe: DataFrame) -
 
 
 def benjamini_hochberg(rows: DataFrame, *family: str, p: str = "p_value", out: str = "q_value") -> DataFrame:
-    """Adds the corrected value within each family."""
-    up = Window.partitionBy(*family).orderBy(p)
-    down = Window.partitionBy(*family).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count("*").over(Window.partitionBy(*family)))
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+    """Adds the corrected value within each family.
+
+    Families are sorted together by ranges, so one family, however large, is spread over tasks: ranks come from
+    the counts of earlier ranges, the running minimum from the minima of later ones.
+    """
+    columns = rows.columns
+    tied = rows.withColumn("_tie", F.xxhash64(*columns))  # equal p-values may fill many ranges
+    ranked = stored(ranked_in(tied, [*family], [p, "_tie"]))
+    least = minimum_from(ranked, [*family], F.col(p) * F.col("size") / F.col("rank"), out)
+    return least.withColumn(out, F.least(F.lit(1.0), out)).select(*columns, out)
 
 
 def consensus(results: DataFrame) -> DataFrame:

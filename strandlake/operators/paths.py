@@ -95,6 +95,12 @@ def signed(paths: DataFrame) -> DataFrame:
     return out.withColumn("expected_direction", F.when(F.col("cumulative_sign") == 1, "down").when(F.col("cumulative_sign") == -1, "up"))
 
 
+def directed(paths: DataFrame) -> DataFrame:
+    """As signed, for paths of best_paths, which carry the product of their signs."""
+    out = paths.withColumn("is_signed", F.col("sign") != 0).withColumn("cumulative_sign", F.when(F.col("sign") != 0, F.col("sign")))
+    return out.withColumn("expected_direction", F.when(F.col("sign") == 1, "down").when(F.col("sign") == -1, "up"))
+
+
 def consistency(paths: DataFrame, observed: DataFrame) -> DataFrame:
     """Adds direction_consistent against observed (gene, direction); null if either is unknown."""
     out = paths.join(observed.select(F.col("gene").alias("target"), "direction"), "target", "left")
@@ -279,6 +285,8 @@ def search(edges: DataFrame, starts: DataFrame, max_length: int = 4, per_target:
     reason = {"complete": "all_simple_paths_exhausted", "maximum_path_length_reached": "search_cutoff_depth_reached", "no_path_found": "target_not_reachable_in_graph_layer"}
     named = F.coalesce(F.create_map(*[F.lit(x) for kv in reason.items() for x in kv])[F.col("status")], F.col("status"))
     columns = (*key, "scope", "status", "reason", "generated", "retained", "discarded", "discarded_per_candidate", "discarded_total", "max_depth", "truncated")
+    bad = every.where("status <> 'searched'").select(F.col("node").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("requested_source").alias("scope"), "status", *[F.lit(0).cast("long").alias(c) for c in ("generated", "retained", "discarded", "discarded_per_candidate", "discarded_total")], F.lit(0).alias("max_depth"))
+    rows = rows.select(*bad.columns).unionByName(bad)
     rows = rows.withColumn("reason", named).withColumn("truncated", F.col("status").startswith("maximum_")).select(*columns)
     return found, rows
 

@@ -343,24 +343,38 @@ def _consensus(edge):
     return edges.consensus(edges.quality(edges.lineage_classes(edges.lineage_groups(edge))))
 
 
-STRONG = 1.0  # a gene whose shrunken log2 fold change is at least that far from 0 is a candidate of the path search
-
-
 def walk_sql(starts: str) -> str:
-    """Tables se (simple signed causal edges) and walk (paths of up to four edges from the nodes of `starts` to candidates); needs cs and contrast."""
+    """Tables se (simple signed causal edges), every (all paths of up to four edges from the nodes of `starts`) and walk
+    (the first 25 of each source and target by length, then nodes); needs cs."""
     step = "list_append(w.nodes, s.target), w.cumulative_sign * CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END"
     return f""", se AS MATERIALIZED (SELECT source, target, min(edge_id) AS edge_id, arg_min(sign, edge_id) AS sign FROM cs WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
-    starts AS MATERIALIZED ({starts}), goals AS MATERIALIZED (SELECT CAST(gene_id AS VARCHAR) AS node FROM contrast WHERE abs(shrunken) >= {STRONG}),
-    short AS MATERIALIZED (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
-      UNION ALL SELECT w.source, s.target, {step}, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 3 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w),
-    walk AS MATERIALIZED (SELECT * FROM short WHERE target IN (SELECT node FROM goals) UNION ALL SELECT w.source, s.target, {step}, 4 FROM short w JOIN se s ON s.source = w.target WHERE w.n_edges = 3 AND s.target IN (SELECT node FROM goals) AND NOT list_contains(w.nodes, s.target))"""
+    starts AS MATERIALIZED ({starts}),
+    every AS MATERIALIZED (WITH RECURSIVE w AS (SELECT s.source, s.target, [s.source, s.target] AS nodes, CASE s.sign WHEN 'negative' THEN -1 ELSE 1 END AS cumulative_sign, 1 AS n_edges FROM se s JOIN starts ON node = s.source
+      UNION ALL SELECT w.source, s.target, {step}, w.n_edges + 1 FROM w JOIN se s ON s.source = w.target WHERE w.n_edges < 4 AND NOT list_contains(w.nodes, s.target)) SELECT * FROM w),
+    first26 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n_edges, nodes) AS rank FROM every QUALIFY rank <= 26),
+    walk AS (SELECT * FROM first26 WHERE rank <= 25)"""
+
+
+#: How a search ends, pair by pair: see `paths.search`.
+RESULT_SQL = """, reach AS (WITH RECURSIVE r AS (SELECT s.source, s.target FROM se s JOIN starts ON node = s.source UNION SELECT r.source, s.target FROM r JOIN se s ON s.source = r.target) SELECT * FROM r WHERE source <> target),
+    far AS (SELECT DISTINCT w.source, s.target FROM every w JOIN se s ON s.source = w.target WHERE w.n_edges = 4 AND NOT list_contains(w.nodes, s.target)),
+    made AS (SELECT source, target, count(*) AS generated FROM first26 GROUP BY ALL),
+    ends AS (SELECT r.source, r.target, CASE WHEN generated > 25 THEN 'maximum_paths_per_candidate_reached' WHEN far.source IS NOT NULL THEN 'maximum_path_length_reached' ELSE 'complete' END AS status, coalesce(generated, 0) AS generated, least(coalesce(generated, 0), 25) AS retained
+      FROM reach r LEFT JOIN made ON made.source = r.source AND made.target = r.target LEFT JOIN far ON far.source = r.source AND far.target = r.target)"""
+
+#: The same with at most 20000 paths in all, in the order of source and target.
+TOTAL_SQL = RESULT_SQL + """, run AS (SELECT *, sum(retained) OVER w - retained AS before, lag(retained, 1, 0) OVER w AS last FROM ends WINDOW w AS (ORDER BY source, target)),
+    capped AS (SELECT source, target, before, greatest(20000 - before, 0) AS room, status, generated, retained FROM run WHERE before < 20000 OR before - last < 20000),
+    done AS (SELECT source, target, CASE WHEN room = 0 OR (room < generated AND room < 25) THEN 'maximum_total_paths_reached' ELSE status END AS status, CASE WHEN room = 0 THEN 0 WHEN room < generated AND room < 25 THEN room + 1 ELSE generated END AS generated, least(retained, room) AS retained FROM capped)"""
 
 
-def _walks(edge, starts, con):
-    """Signed causal paths of up to four edges from `starts` (node) to the strongly changed genes of `con` (gene_id, shrunken)."""
-    e = stored(_consensus(edge).where("sign in ('positive', 'negative') and not functional_only"))
-    goals = con.where(F.abs("shrunken") >= STRONG).select(F.col("gene_id").cast("string").alias("node"))
-    return paths.signed(paths.enumerate_paths(e, starts, 4, goals))
+def _causal(edge):
+    return stored(_consensus(edge).where("sign in ('positive', 'negative') and not functional_only"))
+
+
+def _walks(edge, starts):
+    """The first 25 signed causal paths of up to four edges from `starts` (node) to each node."""
+    return paths.directed(paths.best_paths(_causal(edge), starts, 4, 25))
 
 
 # --- effects, residuals, labels ------------------------------------------------------------------
@@ -412,7 +426,7 @@ LABEL_SQL = (
     EFFECT_SQL
     + LINEAGE_SQL
     + walk_sql("SELECT DISTINCT CAST(intended_gene AS VARCHAR) AS node FROM guides")
-    + """, sup AS MATERIALIZED (SELECT g.sirna_id AS run_key, CAST(target AS BIGINT) AS gene_id, count(*) AS support_count FROM walk JOIN guides g ON source = CAST(g.intended_gene AS VARCHAR) GROUP BY ALL),
+    + """, kept AS MATERIALIZED (SELECT source, target, least(count(*), 25) AS n FROM every GROUP BY source, target), sup AS MATERIALIZED (SELECT g.sirna_id AS run_key, CAST(target AS BIGINT) AS gene_id, n AS support_count FROM kept JOIN guides g ON source = CAST(g.intended_gene AS VARCHAR)),
     rs AS (SELECT fx.*, coalesce(support_count, 0) AS n, CASE WHEN effect_status = 'definitive' THEN CASE WHEN abs(residual) <= 0.10 THEN 'negligible_residual' WHEN abs(residual) < 0.5 THEN 'weak_residual' WHEN abs(residual) < 1 THEN 'moderate_residual' ELSE 'strong_residual' END END AS residual_magnitude FROM fx LEFT JOIN sup ON sup.gene_id = fx.gene_id AND sup.run_key = fx.run_key),
     rt AS (SELECT *, CASE WHEN effect_status <> 'definitive' THEN 'unresolved_upstream_expected_effect' WHEN residual_magnitude = 'negligible_residual' THEN 'no_residual_to_attribute' WHEN n <= 0 THEN 'residual_without_pathway_support' WHEN n >= 4 THEN 'residual_with_strong_pathway_support' WHEN n >= 2 THEN 'residual_with_moderate_pathway_support' ELSE 'residual_with_weak_pathway_support' END AS support_status FROM rs),
     ig AS (SELECT *, CASE WHEN ratio_status <> 'definitive' THEN 'unresolved_targetability' WHEN m_targetable > 0 THEN 'definitive_targetable_fraction_present' ELSE 'no_cleavage_compatible_targetability' END AS sequence_component, CASE WHEN expected IS NULL THEN 'expected_direct_effect_unavailable' WHEN abs(expected) <= 1e-9 THEN 'expected_direct_effect_zero' ELSE 'expected_direct_effect_nonzero' END AS expected_component FROM rt),
@@ -425,11 +439,11 @@ LABEL_SQL = (
 
 def _labels(sequences, guides, annotation, counts, samples, edge):
     rows = stored(_expected(sequences, guides, annotation, counts, samples)[1])
-    con = expression.contrasts(expression.library_size_median(counts), samples)
     runs = guides.select(F.col("sirna_id").alias("run_key"), F.col("intended_gene").cast("string").alias("source"))
-    found = _walks(edge, runs.select(F.col("source").alias("node")).distinct(), con).join(runs, "source")
-    into = found.select("run_key", F.col("target").cast("long").alias("gene_id"), F.array_join("nodes", ">").alias("path_id"), F.lit("signed_causal").alias("kind"))
-    return effects.classify(effects.integrate(effects.residuals(rows, effects.support(into))))
+    # what the search retains is a gene's support; it is counted, not made
+    found = paths.path_counts(_causal(edge), runs.select(F.col("source").alias("node")).distinct(), 4, 25)
+    into = found.join(runs, "source").select("run_key", F.col("target").cast("long").alias("gene_id"), F.col("n_paths").alias("support_count"))
+    return effects.classify(effects.integrate(effects.residuals(rows, into)))
 
 
 @query("residual_attribution", "sequences guides annotation counts samples edges", LABEL_SQL + " SELECT run_key, gene_id, CASE WHEN effect_status = 'definitive' THEN CASE WHEN abs(residual) <= 1e-9 THEN 'matches_expected_direct_effect' WHEN residual < 0 THEN 'more_decreased_than_expected' ELSE 'less_decreased_or_increased_than_expected' END END AS residual_direction, residual_magnitude, n AS support_count, support_status FROM rt")
@@ -480,33 +494,49 @@ def _(edge):
     return edges.pair_consensus(edge)
 
 
-PATH_SQL = CONTRAST_SQL + LINEAGE_SQL + walk_sql("SELECT DISTINCT source AS node FROM se WHERE CAST(source AS BIGINT) % 20 = 0")
+START_SQL = "SELECT DISTINCT source AS node FROM se WHERE CAST(source AS BIGINT) % 20 = 0"
+PATH_SQL = LINEAGE_SQL + walk_sql(START_SQL)
 
 
-def _paths(edge, counts, samples):
-    """Paths from every node whose number is divisible by 20 (the stated query set)."""
-    starts = edge.select(F.col("source").alias("node")).where("cast(node as long) % 20 = 0").distinct()
-    return _walks(edge, starts, expression.contrasts(expression.library_size_median(counts), samples))
+def _starts(edge):
+    """Every node whose number is divisible by 20 (the stated query set)."""
+    return edge.select(F.col("source").alias("node")).where("cast(node as long) % 20 = 0").distinct()
 
 
-@query("signed_paths", "edges counts samples", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, n_edges, cumulative_sign, CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END AS expected_direction FROM walk")
-def _(*tables):
-    return _paths(*tables).select("source", "target", F.array_join("nodes", ">").alias("nodes"), "n_edges", "cumulative_sign", "expected_direction")
+def _paths(edge):
+    return _walks(edge, _starts(edge))
 
 
-@query("path_search_results", "edges counts samples", PATH_SQL + " SELECT source, target, count(*) AS generated, min(n_edges) AS shortest, least(count(*), 25) AS kept, count(*) > 25 AS truncated FROM walk GROUP BY source, target")
-def _(*tables):
-    return paths.search_results(_paths(*tables))
+@query("signed_paths", "edges", PATH_SQL + " SELECT source, target, count(*) AS n_paths, count(*) FILTER (cumulative_sign = 1) AS n_down, array_to_string(arg_min(nodes, rank), '>') AS first_nodes, array_to_string(arg_max(nodes, rank), '>') AS last_nodes, md5(string_agg(concat(array_to_string(nodes, '>'), CASE cumulative_sign WHEN 1 THEN '+' ELSE '-' END), ';' ORDER BY rank)) AS paths_md5 FROM walk GROUP BY source, target")
+def _(edge):
+    """A row for each source and target; paths_md5 covers all paths that are kept, their order and signs."""
+    text = F.concat(F.array_join("nodes", ">"), F.when(F.col("cumulative_sign") == 1, "+").otherwise("-"))
+    rows = _paths(edge).groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("rank", "nodes", text.alias("text")))).alias("p"), F.count_if(F.col("expected_direction") == "down").alias("n_down"))
+    ends = [F.array_join(F.element_at("p", i)["nodes"], ">").alias(n) for i, n in ((1, "first_nodes"), (-1, "last_nodes"))]
+    return rows.select("source", "target", F.size("p").cast("long").alias("n_paths"), "n_down", *ends, F.md5(F.array_join(F.col("p.text"), ";")).alias("paths_md5"))
 
 
-@query("path_conflicts", "edges counts samples", PATH_SQL + " SELECT source, target, count(*) FILTER (cumulative_sign = 1) AS n_positive, count(*) FILTER (cumulative_sign = -1) AS n_negative, min(n_edges) FILTER (cumulative_sign = 1) AS shortest_positive, min(n_edges) FILTER (cumulative_sign = -1) AS shortest_negative FROM walk GROUP BY source, target HAVING count(DISTINCT cumulative_sign) = 2")
-def _(*tables):
-    return paths.conflicts(_paths(*tables))
+@query("path_search_results", "edges", PATH_SQL + RESULT_SQL + """ SELECT e.source, e.target, 'all_reachable_entities' AS scope, status, CASE status WHEN 'complete' THEN 'all_simple_paths_exhausted' WHEN 'maximum_path_length_reached' THEN 'search_cutoff_depth_reached' ELSE status END AS reason, generated, retained, generated - retained AS discarded, generated - retained AS discarded_per_candidate, CAST(0 AS BIGINT) AS discarded_total, CAST(coalesce(max_depth, 0) AS BIGINT) AS max_depth, status <> 'complete' AS truncated
+    FROM ends e LEFT JOIN (SELECT source, target, max(n_edges) AS max_depth FROM first26 GROUP BY ALL) d ON d.source = e.source AND d.target = e.target""")
+def _(edge):
+    """How the search ends for each source and each node that it can reach."""
+    return paths.search(_causal(edge), _starts(edge), 4, 25)[1].withColumns({c: F.col(c).cast("long") for c in ("discarded_total", "max_depth")})
 
 
-@query("shortest_paths", "edges counts samples", PATH_SQL + " SELECT source, target, min(n_edges) AS n_edges, array_to_string(arg_min(nodes, (n_edges, nodes)), '>') AS nodes FROM walk GROUP BY source, target")
-def _(*tables):
-    return paths.shortest(_paths(*tables)).withColumn("nodes", F.array_join("nodes", ">"))
+@query("path_search_total", "edges", PATH_SQL + TOTAL_SQL + " SELECT source, target, status, generated, retained, generated - retained AS discarded, status LIKE 'maximum%' AS truncated FROM done")
+def _(edge):
+    """The same search with at most 20,000 paths in all: a limit of the search itself."""
+    return paths.search(_causal(edge), _starts(edge), 4, 25, 20_000)[1].select("source", "target", "status", "generated", "retained", "discarded", "truncated")
+
+
+@query("path_conflicts", "edges", PATH_SQL + " SELECT source, target, count(*) FILTER (cumulative_sign = 1) AS n_positive, count(*) FILTER (cumulative_sign = -1) AS n_negative, min(n_edges) FILTER (cumulative_sign = 1) AS shortest_positive, min(n_edges) FILTER (cumulative_sign = -1) AS shortest_negative FROM walk GROUP BY source, target HAVING count(DISTINCT cumulative_sign) = 2")
+def _(edge):
+    return paths.conflicts(_paths(edge))
+
+
+@query("shortest_paths", "edges", PATH_SQL + " SELECT source, target, n_edges, array_to_string(nodes, '>') AS nodes FROM walk WHERE rank = 1")
+def _(edge):
+    return paths.shortest(_paths(edge)).withColumn("nodes", F.array_join("nodes", ">"))
 
 
 # --- enrichment ----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from strandlake.operators import audit, edges, effects, enrichment, expression,
 from strandlake.sources.stored import stored
 
 from .policies import InclusionPolicy
-from .queries import BEST_SQL, CONTRAST_SQL, DOWN_SQL, EFFECT_SQL, FULL_SQL, GENES_SQL, LABEL_SQL, LINEAGE_SQL, ORA_SQL, PATH_SQL, RATIO_SQL, RESOLVE_SQL, SITES_SQL, _consensus, _effects, _expected, _genes, _labels, _ora, _parts, _paths, query, r6
+from .queries import BEST_SQL, CONTRAST_SQL, DOWN_SQL, EFFECT_SQL, FULL_SQL, GENES_SQL, LABEL_SQL, LINEAGE_SQL, ORA_SQL, PATH_SQL, RATIO_SQL, RESOLVE_SQL, RESULT_SQL, SITES_SQL, _causal, _consensus, _effects, _expected, _genes, _labels, _ora, _parts, _paths, _starts, query, r6
 
 # --- sequences -----------------------------------------------------------------------------------
 
@@ -243,17 +243,16 @@ def _(edge):
     return paths.search_targets(edge, nodes.where("cast(node as long) % 20 = 0"), wanted)
 
 
-@query("reachable_targets", "edges", """, se AS (SELECT DISTINCT source, target FROM edges WHERE provider = 'reactome'), rec AS (WITH RECURSIVE r AS (SELECT source, target FROM se WHERE CAST(source AS BIGINT) % 20 = 0 UNION SELECT r.source, se.target FROM r JOIN se ON se.source = r.target) SELECT * FROM r)
+@query("reachable_targets", "edges", """, se AS (SELECT DISTINCT source, target FROM edges), rec AS (WITH RECURSIVE r AS (SELECT source, target FROM se WHERE CAST(source AS BIGINT) % 20 = 0 UNION SELECT r.source, se.target FROM r JOIN se ON se.source = r.target) SELECT * FROM r)
     SELECT source, target, 'resolved' AS status, 'all_reachable_entities' AS scope FROM rec WHERE source <> target""")
 def _(edge):
-    some = edge.where("provider = 'reactome'")
-    return paths.search_targets(some, some.where("cast(source as long) % 20 = 0").select(F.col("source").alias("node")))
+    return paths.search_targets(edge, edge.where("cast(source as long) % 20 = 0").select(F.col("source").alias("node")))
 
 
-@query("beyond_cutoff", "edges", """, se AS (SELECT DISTINCT source, target FROM edges WHERE provider = 'reactome' AND source <> target) SELECT DISTINCT a.source FROM se a JOIN se b ON b.source = a.target AND b.target <> a.source JOIN se c ON c.source = b.target AND c.target NOT IN (a.source, a.target)""")
+@query("beyond_cutoff", "edges", PATH_SQL + RESULT_SQL + " SELECT source, target FROM far")
 def _(edge):
-    some = edge.where("provider = 'reactome'").withColumnRenamed("evidence_id", "edge_id")
-    return paths.beyond_cutoff(some, some.select(F.col("source").alias("node")).distinct(), 2)
+    """Pairs with a path of one edge more than the search's four."""
+    return paths.beyond_pairs(_causal(edge), _starts(edge), 4)
 
 
 TWO_SQL = LINEAGE_SQL + """, e0 AS (SELECT *, {id} AS id FROM cs), e1 AS (SELECT source, target, min(id) AS edge_id, arg_min(sign, id) AS sign, arg_min(min_quality, id) AS q FROM e0 WHERE source <> target AND sign IN ('positive', 'negative') AND NOT functional_only GROUP BY source, target),
@@ -281,24 +280,24 @@ def _(edge):
     return out.select("source", "target", F.array_join("nodes", ">").alias("nodes"), "dimension", "state", F.concat_ws(",", "values").alias("values_"))
 
 
-@query("gene_traces", "edges counts samples", PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast), cn AS (SELECT target, CASE WHEN direction IN ('up', 'down') THEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction END AS ok FROM walk LEFT JOIN ob ON ob.gene = target)
+@query("gene_traces", "edges counts samples", CONTRAST_SQL + PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast), cn AS (SELECT target, CASE WHEN direction IN ('up', 'down') THEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction END AS ok FROM walk LEFT JOIN ob ON ob.gene = target)
     SELECT target, count(*) AS n_paths, count(*) FILTER (ok) AS n_consistent, count(*) FILTER (NOT ok) AS n_contradicting, CASE WHEN count(ok) > 0 THEN round(count(*) FILTER (ok) / count(ok), 6) END AS coherence FROM cn GROUP BY target""")
 def _(edge, counts, samples):
     con = expression.contrasts(expression.library_size_median(counts), samples)
-    seen = paths.consistency(_paths(edge, counts, samples), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
+    seen = paths.consistency(_paths(edge), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
     return paths.gene_trace(seen).withColumns(r6("coherence"))
 
 
-@query("path_support", "edges counts samples", PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast) SELECT 'signed_causal' AS kind, CASE WHEN direction IS NULL OR direction NOT IN ('up', 'down') THEN 'context_only' WHEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction THEN 'supports_direction' ELSE 'contradicts_direction' END AS strength, n_edges, count(*) AS n FROM walk LEFT JOIN ob ON ob.gene = target GROUP BY ALL""")
+@query("path_support", "edges counts samples", CONTRAST_SQL + PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast) SELECT 'signed_causal' AS kind, CASE WHEN direction IS NULL OR direction NOT IN ('up', 'down') THEN 'context_only' WHEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction THEN 'supports_direction' ELSE 'contradicts_direction' END AS strength, n_edges, count(*) AS n FROM walk LEFT JOIN ob ON ob.gene = target GROUP BY ALL""")
 def _(edge, counts, samples):
     con = expression.contrasts(expression.library_size_median(counts), samples)
-    seen = paths.consistency(_paths(edge, counts, samples), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
+    seen = paths.consistency(_paths(edge), con.select(F.col("gene_id").cast("string").alias("gene"), "direction"))
     return paths.support_rows(seen).groupBy("kind", "strength", "n_edges").agg(F.count("*").alias("n"))
 
 
-@query("ranked_paths", "edges counts samples", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n_edges, nodes) AS rank FROM walk) r WHERE rank <= 3")
-def _(*tables):
-    return paths.ranked(_paths(*tables), 3).select("source", "target", F.array_join("nodes", ">").alias("nodes"), F.col("rank").cast("long").alias("rank"))
+@query("ranked_paths", "edges", PATH_SQL + " SELECT source, target, array_to_string(nodes, '>') AS nodes, CAST(rank AS BIGINT) AS rank FROM walk WHERE rank <= 3")
+def _(edge):
+    return _paths(edge).where("rank <= 3").select("source", "target", F.array_join("nodes", ">").alias("nodes"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- audits of planted faults --------------------------------------------------------------------
@@ -339,10 +338,10 @@ def _(*tables):
     return audit.label_audit(rows)
 
 
-@query("path_audit", "edges counts samples", PATH_SQL + """ SELECT DISTINCT 'path_without_result' AS "check", source, target FROM walk WHERE CAST(target AS BIGINT) % 6 = 1 UNION ALL SELECT DISTINCT 'result_without_path', source, concat('-', target) FROM walk WHERE CAST(target AS BIGINT) % 5 = 2""")
-def _(*tables):
+@query("path_audit", "edges", PATH_SQL + """ SELECT DISTINCT 'path_without_result' AS "check", source, target FROM walk WHERE CAST(target AS BIGINT) % 6 = 1 UNION ALL SELECT DISTINCT 'result_without_path', source, concat('-', target) FROM walk WHERE CAST(target AS BIGINT) % 5 = 2""")
+def _(edge):
     """Results of some targets are dropped, others are made up."""
-    p = stored(_paths(*tables).select("source", "target", "n_edges", "nodes"))
+    p = stored(_paths(edge).select("source", "target", "n_edges", "nodes"))
     r = paths.search_results(p)
     t = F.col("target").cast("long")
     wrong = r.where(t % 6 != 1).unionByName(r.where(t % 5 == 2).withColumn("target", F.concat(F.lit("-"), "target")))

@@ -120,7 +120,7 @@ def test_search_candidates_and_bad_sources(graph, spark):
     starts = spark.createDataFrame([("n1",), ("x",)], "node string")
     wanted = spark.createDataFrame([("n3",), ("y",), ("n1",)], "node string")
     got = {(r.source, r.target): r.status for r in paths.search(edges, starts, 4, 25, None, wanted)[1].collect()}
-    assert got == {("n1", "n3"): "complete", ("n1", "y"): "candidate_not_in_graph", ("n1", "n1"): "candidate_not_in_graph"}
+    assert got == {("n1", "n3"): "complete", ("n1", "y"): "candidate_not_in_graph", ("n1", "n1"): "candidate_not_in_graph", ("x", None): "source_not_in_graph"}
 
 
 def test_reachable_over_many_sources(spark):
