@@ -122,9 +122,12 @@ def alignment_rows(sites: DataFrame, policy: TargetabilityPolicy = P) -> DataFra
 
 
 def best_sites(sites: DataFrame) -> DataFrame:
-    """Per guide and transcript: counts by class, the best ranking (priority, total, seed, central, start), whether it is tied, decision."""
+    """Per guide and transcript: counts by class, the best ranking (priority, total, seed, central, start), whether it is tied, decision.
+
+    Only bounded aggregates: the best ranking with its first start and with its last one, which differ if it is tied.
+    """
     rank = F.struct("priority", "n_total_mm", "n_seed_mm", "n_central_mm", "start")
-    tie = F.struct("priority", "n_total_mm", "n_seed_mm", "n_central_mm")
+    last = F.struct("priority", "n_total_mm", "n_seed_mm", "n_central_mm", (-F.col("start")).alias("start"))
     out = sites.groupBy("sirna_id", "transcript_id", "gene_id").agg(
         F.count("*").alias("n_sites"),
         F.count_if(F.col("priority") == 0).alias("n_exact"),
@@ -132,10 +135,10 @@ def best_sites(sites: DataFrame) -> DataFrame:
         F.count_if(F.col("priority") == 3).alias("n_seed_only"),
         F.count_if(F.col("priority") == 4).alias("n_partial"),
         F.min(rank).alias("best"),
-        F.collect_set(F.struct(tie.alias("tie"), "start")).alias("all"),
+        F.min(last).alias("last"),
     )
     decision = F.when(F.col("n_exact") + F.col("n_near") > 0, "cleavage_candidate_present").when(F.col("n_seed_only") > 0, "seed_only_candidate_present").otherwise("indeterminate")
-    tied = F.expr("size(filter(all, x -> x.tie = struct(best.priority as priority, best.n_total_mm as n_total_mm, best.n_seed_mm as n_seed_mm, best.n_central_mm as n_central_mm))) > 1")
+    tied = F.col("best.start") != -F.col("last.start")
     return out.withColumn("decision", decision).withColumn("tied", tied).select("sirna_id", "transcript_id", "gene_id", "n_sites", "n_exact", "n_near", "n_seed_only", "n_partial", F.col("best.start").alias("best_start"), F.col("best.priority").alias("best_priority"), "tied", "decision")
 
 

@@ -9,7 +9,7 @@ from strandlake.operators import audit, edges, effects, enrichment, expression,
 from strandlake.sources.stored import stored
 
 from .policies import InclusionPolicy
-from .queries import BEST_SQL, CONTRAST_SQL, DOWN_SQL, EFFECT_SQL, FULL_SQL, GENES_SQL, LABEL_SQL, LINEAGE_SQL, ORA_SQL, PATH_SQL, RATIO_SQL, RESOLVE_SQL, RESULT_SQL, SITES_SQL, _causal, _consensus, _effects, _expected, _genes, _labels, _ora, _parts, _paths, _starts, query, r6
+from .queries import BEST_SQL, CONTRAST_SQL, DOWN_SQL, EFFECT_SQL, FULL_SQL, GENES_SQL, LABEL_SQL, LINEAGE_SQL, ORA_SQL, PARTS_SQL, PATH_SQL, RATIO_SQL, RESOLVE_SQL, RESULT_SQL, SITES_SQL, _causal, _consensus, _effects, _expected, _genes, _labels, _ora, _parts, _paths, _starts, query, r6
 
 # --- sequences -----------------------------------------------------------------------------------
 
@@ -66,6 +66,31 @@ def _(sequences, guides):
     return a.join(ratio.qualifying_counts(twice, other).select(*key, F.col("n_qualifying").alias("n_other")), key)
 
 
+#: Policies of the query below: the classes that count, and whether a site must be cleavage-compatible.
+POLICIES = {
+    "default": InclusionPolicy(),
+    "exact_only": InclusionPolicy(include_near=False),
+    "with_seed_only": InclusionPolicy(include_seed_only=True, classes=("exact_full_length_complement", "near_full_length_complement", "seed_only_candidate"), require_cleavage=False),
+    "near_without_exact": InclusionPolicy(include_exact=False),
+    "seed_only_cleaved": InclusionPolicy(include_seed_only=True, classes=("seed_only_candidate",)),
+}
+
+
+@query("policy_ratios", "sequences guides annotation", PARTS_SQL + """, po AS (SELECT unnest(['default', 'exact_only', 'with_seed_only', 'near_without_exact', 'seed_only_cleaved']) AS policy),
+    pp AS (SELECT policy, p.*, b.decision, CASE policy WHEN 'default' THEN n_exact + n_near WHEN 'exact_only' THEN n_exact WHEN 'with_seed_only' THEN n_exact + n_near + n_seed_only WHEN 'near_without_exact' THEN n_near ELSE 0 END AS q, n_seed_only AS ns, n_partial AS np FROM pairs p CROSS JOIN po LEFT JOIN decided b ON b.sirna_id = p.sirna_id AND b.transcript_id = p.transcript_id),
+    pr AS (SELECT *, CASE WHEN NOT sequence_available THEN NULL WHEN coalesce(q, 0) > 0 THEN 1 ELSE 0 END AS c FROM pp),
+    pn AS (SELECT policy, sirna_id, gene_id, count(DISTINCT transcript_id) AS n_total, coalesce(sum(c), 0) AS q, count(*) FILTER (c IS NULL) AS n_unresolved FROM pr GROUP BY ALL)
+    SELECT policy, sirna_id, gene_id, n_total, CASE WHEN n_unresolved = 0 THEN CAST(q AS BIGINT) END AS m_targetable, CASE WHEN n_unresolved = 0 THEN round(q / n_total, 6) END AS ratio, CASE WHEN n_unresolved > 0 THEN 'unavailable_incomplete_evidence' ELSE 'definitive' END AS ratio_status FROM pn""")
+def _(sequences, guides, annotation):
+    """M/N under five inclusion policies in one pass over the sites."""
+    found = stored(targetability.site_ids(targetability.scan(sequences, guides)))
+    best = stored(targetability.best_sites(found))
+    genes = best.select("sirna_id", "gene_id").union(guides.select("sirna_id", "intended_gene")).distinct()
+    pairs = genes.join(isoform.eligibility(annotation).where("eligible").select("gene_id", "transcript_id", "sequence_available"), "gene_id")
+    out = ratio.ratios_by_policy(pairs, best, found, POLICIES)
+    return out.select("policy", "sirna_id", "gene_id", "n_total", "m_targetable", F.round("ratio", 6).alias("ratio"), "ratio_status")
+
+
 @query("weight_guard", "annotation", """, w AS (SELECT transcript_id, original_gene_id AS gene_id FROM annotation UNION ALL SELECT transcript_id, original_gene_id + CASE WHEN transcript_id % 2 = 0 THEN 1 ELSE 0 END FROM annotation WHERE transcript_id % 10 < 2) SELECT CASE WHEN count(DISTINCT gene_id) > 1 THEN 'two_genes' ELSE 'twice' END AS "check", transcript_id FROM w GROUP BY transcript_id HAVING count(*) > 1""")
 def _(annotation):
     w = annotation.select("transcript_id", F.col("original_gene_id").alias("gene_id"))

@@ -76,7 +76,7 @@ def test_scan_against_brute_force_over_chunks(spark):
     assert {r.start for r in found.collect()} == want4
 
 
-@pytest.mark.parametrize("n", [8, 14, 21, 26, 31])
+@pytest.mark.parametrize("n", [8, 14, 21, 26, 31, 33, 70])
 def test_full_sites_of_any_length(spark, n):
     import random
 
