@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import rna
-from strandlake.operators import audit, edges, effects, enrichment, expression, identifiers, isoform, paths, ratio, sites, targetability
+from strandlake.operators import audit, edges, effects, enrichment, expression, identifiers, isoform, path_evidence, paths, ratio, sites, targetability
 from strandlake.sources.stored import stored
 
 from .policies import InclusionPolicy
@@ -305,6 +305,42 @@ def _(edge):
     return out.select("source", "target", F.array_join("nodes", ">").alias("nodes"), "dimension", "state", F.concat_ws(",", "values").alias("values_"))
 
 
+EVIDENCE_SQL = PATH_SQL + """, mp AS (SELECT CAST(input_order AS VARCHAR) AS id, CASE WHEN confidence = 'unambiguous' THEN 1.0 ELSE 0.5 END AS c FROM identifiers WHERE canonical_gene_id IS NOT NULL),
+    k0 AS (SELECT source, target, CASE WHEN functional_only THEN 'functional' ELSE relation_class END AS kind, count(*) AS n_ev, count(*) FILTER (predicted_only) AS n_pred, count(*) FILTER (NOT directed) AS n_ind, count(*) FILTER (coalesce(cell_type, '') = '' AND coalesce(tissue, '') = '') AS n_none, list_filter(list(DISTINCT concat_ws('|', nullif(organism, ''), nullif(cell_type, ''), nullif(tissue, ''))), lambda x: x <> '') AS ctx FROM rc GROUP BY 1, 2, 3),
+    k1 AS (SELECT source, target, CASE WHEN functional_only THEN 'functional' ELSE relation_class END AS kind, list(lineage_id) AS lins, list(DISTINCT ref) AS refs FROM lg GROUP BY 1, 2, 3),
+    ed AS (SELECT s.source, s.target, s.edge_id, c.min_quality AS q, k0.* EXCLUDE (source, target, kind), lins, refs, least(a.c, b.c) AS m FROM se s JOIN cs c ON c.source = s.source AND c.target = s.target AND c.edge_id = s.edge_id JOIN k0 ON k0.source = c.source AND k0.target = c.target AND k0.kind = c.kind JOIN k1 ON k1.source = c.source AND k1.target = c.target AND k1.kind = c.kind
+      LEFT JOIN mp a ON a.id = s.source LEFT JOIN mp b ON b.id = s.target),
+    st AS (SELECT source, target, rank, cumulative_sign AS sign, nodes, unnest(range(1, len(nodes))) AS i FROM walk WHERE rank <= 2),
+    ag AS (SELECT st.source, st.target, st.rank, any_value(sign) AS sign, min(q) AS min_quality, avg(q) AS avg_quality, arg_min(edge_id, (q, i)) AS bottleneck_edge_id, len(list_distinct(flatten(list(lins)))) AS independent_lineages, len(list_distinct(flatten(list(refs)))) AS independent_publications, coalesce(CAST(min(m) AS DOUBLE), 0) AS min_mapping, sum(n_ev) AS n, sum(n_pred) AS p, sum(n_ind) AS d, sum(n_none) AS w, list_sort(list_distinct(flatten(list(ctx)))) AS contexts
+      FROM st JOIN ed ON ed.source = nodes[i] AND ed.target = nodes[i + 1] GROUP BY ALL),
+    rec AS (SELECT *, least(avg_quality, min_quality, min_mapping, CASE WHEN p > 0 THEN 0.7 ELSE 1.0 END, CASE WHEN d = n THEN 0.55 ELSE 1.0 END) AS capped FROM ag)"""
+
+
+def _records(edge, records):
+    """Confidence of the first two paths of each source and target."""
+    groups = stored(edges.quality(edges.lineage_classes(edges.lineage_groups(edge))))
+    own = stored(edges.consensus(groups).where("sign in ('positive', 'negative') and not functional_only"))
+    mapping = records.where("canonical_gene_id is not null").select(F.col("input_order").cast("string").alias("node"), F.when(F.col("confidence") == "unambiguous", 1.0).otherwise(0.5).alias("mapping_confidence"))
+    found = stored(paths.best_paths(own, _starts(edge), 4, 2))
+    return path_evidence.path_records(found, own, path_evidence.edge_evidence(edge, groups, mapping))
+
+
+@query("path_records", "edges identifiers", EVIDENCE_SQL + """ SELECT source, target, rank, round(min_quality, 6) AS min_quality, round(avg_quality, 6) AS avg_quality, bottleneck_edge_id, independent_lineages, independent_publications, min_mapping, round(p / n, 6) AS predicted_fraction, round(d / n, 6) AS indirect_fraction, round(w / n, 6) AS missing_context_fraction, CAST(CASE WHEN w > 0 THEN 0 ELSE 1 END AS DOUBLE) AS context_match_fraction, round(capped, 6) AS capped,
+    CASE WHEN capped >= 0.8 THEN 'high' WHEN capped >= 0.6 THEN 'moderate' WHEN capped >= 0.4 THEN 'low' WHEN capped >= 0.25 THEN 'contextual' ELSE 'insufficient' END AS confidence_level, round(1 - capped, 6) AS uncertainty, concat_ws(',', CASE WHEN p > 0 THEN 'predicted_edge_cap' END, CASE WHEN d = n THEN 'indirect_path_cap' END) AS caps FROM rec""")
+def _(edge, records):
+    out = _records(edge, records).withColumn("caps", F.concat_ws(",", "caps")).withColumns({c: F.col(c).cast("long") for c in ("rank", "independent_lineages", "independent_publications")})
+    names = ("min_quality", "avg_quality", "predicted_fraction", "indirect_fraction", "missing_context_fraction", "capped", "uncertainty")
+    return out.withColumns(r6(*names)).select("source", "target", "rank", "min_quality", "avg_quality", "bottleneck_edge_id", "independent_lineages", "independent_publications", "min_mapping", "predicted_fraction", "indirect_fraction", "missing_context_fraction", "context_match_fraction", "capped", "confidence_level", "uncertainty", "caps")
+
+
+@query("path_context_conflicts", "edges identifiers", EVIDENCE_SQL + """, cf AS (SELECT target, count(*) FILTER (sign = 1) AS n_positive, count(*) FILTER (sign = -1) AS n_negative, arg_min(source, (-round(capped, 9), source, rank)) FILTER (sign = 1) AS positive_source, arg_min(source, (-round(capped, 9), source, rank)) FILTER (sign = -1) AS negative_source, list_sort(list_distinct(flatten(list(contexts) FILTER (sign = 1)))) AS pc, list_sort(list_distinct(flatten(list(contexts) FILTER (sign = -1)))) AS nc FROM rec GROUP BY target)
+    SELECT target, n_positive, n_negative, positive_source, negative_source, array_to_string(pc, ',') AS positive_contexts, array_to_string(nc, ',') AS negative_contexts, list_has_any(pc, nc) AS context_overlap, CASE WHEN len(pc) = 0 OR len(nc) = 0 THEN 'unresolved_context_conflict' WHEN list_has_any(pc, nc) THEN 'global_sign_conflict' ELSE 'context_specific_conflict' END AS conflict_class FROM cf WHERE n_positive > 0 AND n_negative > 0""")
+def _(edge, records):
+    """Capped scores are rounded first, as ties between them decide which path is the strongest."""
+    out = path_evidence.context_conflicts(_records(edge, records).withColumn("capped", F.round("capped", 9)))
+    return out.select("target", "n_positive", "n_negative", F.col("strongest_positive.source").alias("positive_source"), F.col("strongest_negative.source").alias("negative_source"), F.concat_ws(",", "positive_contexts").alias("positive_contexts"), F.concat_ws(",", "negative_contexts").alias("negative_contexts"), "context_overlap", "conflict_class")
+
+
 @query("gene_traces", "edges counts samples", CONTRAST_SQL + PATH_SQL + """, ob AS (SELECT CAST(gene_id AS VARCHAR) AS gene, direction FROM contrast), cn AS (SELECT target, CASE WHEN direction IN ('up', 'down') THEN (CASE cumulative_sign WHEN 1 THEN 'down' ELSE 'up' END) = direction END AS ok FROM walk LEFT JOIN ob ON ob.gene = target)
     SELECT target, count(*) AS n_paths, count(*) FILTER (ok) AS n_consistent, count(*) FILTER (NOT ok) AS n_contradicting, CASE WHEN count(ok) > 0 THEN round(count(*) FILTER (ok) / count(ok), 6) END AS coherence FROM cn GROUP BY target""")
 def _(edge, counts, samples):
