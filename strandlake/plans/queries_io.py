@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import audit, edges, enrichment, identifiers, isoform
-from strandlake.sources import files, providers
+from strandlake.sources import files, providers, snapshots
 from strandlake.sources.stored import shared_dir
 
 from .queries import LINEAGE_SQL, TYPE_SQL, query
@@ -115,6 +115,20 @@ def _(annotation):
     return check.select("record_count", "found_count", "valid").join(rows.agg(F.count_distinct("gene_id").alias("genes")))
 
 
+@query("verified_snapshots", "memberships", " SELECT dataset, completeness, count(*) AS rows FROM memberships WHERE dataset = 'type' GROUP BY ALL")
+def _(memberships):
+    """Each dataset is written as a snapshot; then a file of `brand` is replaced by other bytes, so only `type` is read."""
+    spark, root = memberships.sparkSession, _path(memberships, "verified")
+    for name in ("brand", "type"):
+        snapshots.write_snapshot(memberships.where(F.col("dataset") == name), root, name, f"{name}-1")
+    file = snapshots.file_checksums(spark, f"{root}/brand").first()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/brand/brand-1/normalized/{file.name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.writeBytes("not what was written")
+    out.close()
+    return snapshots.read_verified(spark, root).groupBy("dataset", "completeness").agg(F.count("*").alias("rows"))
+
+
 @query("read_memberships", "memberships", " SELECT dataset, term_id, gene, completeness FROM (SELECT DISTINCT * FROM memberships WHERE dataset = 'brand') m")
 def _(memberships):
     table = memberships.where("dataset = 'brand'").groupBy("term_id", "completeness").agg(F.concat_ws("; ", F.sort_array(F.collect_set("gene"))).alias("genes"))

@@ -91,6 +91,21 @@ def _(sequences, guides, annotation):
     return out.select("policy", "sirna_id", "gene_id", "n_total", "m_targetable", F.round("ratio", 6).alias("ratio"), "ratio_status")
 
 
+@query("ratio_stage_summary", "sequences guides annotation", RATIO_SQL + """, df AS (SELECT * FROM ratios WHERE ratio_status = 'definitive'), ql AS (SELECT m.*, b.n_exact, b.n_near FROM m LEFT JOIN decided b ON b.sirna_id = m.sirna_id AND b.transcript_id = m.transcript_id WHERE contribution_to_m = 1)
+    SELECT unnest(['genes_examined', 'genes_with_definitive_ratios', 'genes_with_unavailable_ratios', 'genes_with_n_zero', 'genes_failed_by_targetability', 'genes_with_unresolved_transcript_evidence', 'total_eligible_transcripts', 'total_evaluable_transcripts', 'total_unresolved_transcripts', 'total_qualifying_transcripts', 'total_seed_only_transcripts', 'total_evaluated_nonqualifying_transcripts',
+      'genes_with_m_zero', 'genes_with_m_equals_n', 'genes_with_partial_m', 'minimum_definitive_ratio', 'maximum_definitive_ratio', 'counts_reconcile', 'exact_match_qualifying_transcripts', 'near_full_length_qualifying_transcripts', 'cleavage_compatible_qualifying_transcripts']) AS metric,
+      round(unnest([(SELECT count(*) FROM ratios)::DOUBLE, (SELECT count(*) FROM df), (SELECT count(*) FROM ratios WHERE ratio_status <> 'definitive'), (SELECT count(*) FROM ratios WHERE n_total = 0), (SELECT count(*) FROM ratios WHERE ratio_status = 'unavailable_gene_failure'), (SELECT count(*) FROM ratios WHERE n_unresolved > 0),
+      (SELECT sum(n_total) FROM ratios), (SELECT sum(n_total - n_unresolved) FROM ratios), (SELECT sum(n_unresolved) FROM ratios), (SELECT count(*) FROM ql), (SELECT sum(n_seed_only) FROM ratios), (SELECT count(*) FROM m WHERE contribution_to_m = 0), (SELECT count(*) FROM df WHERE m_targetable = 0), (SELECT count(*) FROM df WHERE m_targetable = n_total), (SELECT count(*) FROM df WHERE m_targetable > 0 AND m_targetable < n_total),
+      (SELECT min(ratio) FROM df), (SELECT max(ratio) FROM df), 1, (SELECT count(*) FROM ql WHERE n_exact > 0), (SELECT count(*) FROM ql WHERE n_exact = 0 AND n_near > 0), (SELECT count(*) FROM ql)]), 6) AS value""")
+def _(sequences, guides, annotation):
+    """All keys of the stage's summary."""
+    best = stored(targetability.best_sites(targetability.scan(sequences, guides)))
+    genes = best.select("sirna_id", "gene_id").union(guides.select("sirna_id", "intended_gene")).distinct()
+    ok = isoform.eligibility(annotation).where("eligible").select("gene_id", "transcript_id", "sequence_available")
+    parts = stored(ratio.contributions(genes.join(ok, "gene_id"), best))
+    return ratio.stage_summary(ratio.gene_ratios(parts, genes), parts, best).withColumns(r6("value"))
+
+
 @query("weight_guard", "annotation", """, w AS (SELECT transcript_id, original_gene_id AS gene_id FROM annotation UNION ALL SELECT transcript_id, original_gene_id + CASE WHEN transcript_id % 2 = 0 THEN 1 ELSE 0 END FROM annotation WHERE transcript_id % 10 < 2) SELECT CASE WHEN count(DISTINCT gene_id) > 1 THEN 'two_genes' ELSE 'twice' END AS "check", transcript_id FROM w GROUP BY transcript_id HAVING count(*) > 1""")
 def _(annotation):
     w = annotation.select("transcript_id", F.col("original_gene_id").alias("gene_id"))

@@ -296,3 +296,17 @@ def test_empty_tables(spark, gold):
     assert targetability.scan(seqs.limit(0), guides).count() == 0
     assert targetability.scan(seqs, guides.limit(0)).count() == 0
     assert TargetabilityPolicy().max_seed == 0
+
+
+def test_audit_finds_a_wrong_scan(spark, gold, monkeypatch):
+    """The audit shares nothing with the scan: a fault planted in the scan itself shows."""
+    from strandlake.operators import audit
+
+    sequences, guides = gold
+    scan = targetability.scan
+    best = targetability.best_sites(scan(*gold))
+    assert audit.targetability_audit(scan(*gold), best, sequences, guides).count() == 0
+    monkeypatch.setattr(targetability, "scan", lambda *a, **k: scan(*a, **k).withColumn("n_total_mm", F.col("n_total_mm") + F.when(F.col("start") % 2 == 0, 1).otherwise(0)))
+    wrong = targetability.scan(*gold)
+    found = audit.targetability_audit(wrong, best, sequences, guides)
+    assert {r.detail for r in found.collect()} == {"n_total_mm"} and found.count() == wrong.where("start % 2 = 0").count()
