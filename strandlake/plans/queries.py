@@ -596,9 +596,18 @@ def _(memberships):
 # --- audits --------------------------------------------------------------------------------------
 
 
-@query("sequence_validation", "sequences annotation", """ SELECT 'missing' AS "check", a.transcript_id FROM annotation a WHERE a.transcript_id NOT IN (SELECT transcript_id FROM sequences WHERE sequence <> '')""")
+PLANTED_SQL = """, kept AS (SELECT transcript_id, CASE WHEN transcript_id % 37 = 0 THEN gene_id + 1 ELSE gene_id END AS gene_id, CASE WHEN transcript_id % 41 = 0 THEN concat(sequence, 'X') ELSE sequence END AS sequence FROM sequences WHERE transcript_id % 43 <> 0),
+    pl AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE transcript_id % 31 = 0)"""
+
+
+@query("sequence_validation", "sequences annotation", PLANTED_SQL + """ SELECT 'duplicate' AS "check", transcript_id FROM pl GROUP BY transcript_id HAVING count(*) > 1 UNION ALL SELECT 'wrong_gene', p.transcript_id FROM pl p JOIN annotation a ON a.transcript_id = p.transcript_id WHERE p.gene_id <> a.gene_id
+    UNION ALL SELECT 'missing', a.transcript_id FROM annotation a WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.transcript_id = a.transcript_id AND sequence <> '') UNION ALL SELECT 'alphabet', transcript_id FROM pl WHERE NOT regexp_full_match(sequence, '[ACGT]*')""")
 def _(sequences, annotation):
-    return targetability.sequence_issues(sequences, annotation)
+    """Some sequences are left out, some doubled, some say another gene, some hold a foreign letter."""
+    at = F.col("transcript_id")
+    kept = sequences.select("transcript_id", "gene_id", "sequence").where(at % 43 != 0)
+    kept = kept.withColumns({"gene_id": F.when(at % 37 == 0, F.col("gene_id") + 1).otherwise(F.col("gene_id")), "sequence": F.when(at % 41 == 0, F.concat("sequence", F.lit("X"))).otherwise(F.col("sequence"))})
+    return targetability.sequence_issues(kept.unionByName(kept.where(at % 31 == 0)), annotation)
 
 
 FLAGSHIP = "evidence_labels"
