@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from strandlake.plans.queries import QUERIES  # noqa: E402
 
-HEADLINE = ("target_sites", "m_over_n", "expression_contrasts", "canonical_effects", "identifier_resolution", "expected_effects", "evidence_labels", "edge_consensus", "signed_paths", "overrepresentation")
+HEADLINE = ("target_sites", "full_sites", "m_over_n", "expression_contrasts", "canonical_effects", "identifier_resolution", "expected_effects", "evidence_labels", "edge_consensus", "signed_paths", "overrepresentation")
 
 
 def main() -> None:
