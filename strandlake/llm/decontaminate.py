@@ -22,6 +22,7 @@ from ._common import Rolling, mix
 Q = 12
 EDITS = 0.05  # edits allowed per character of an item
 BLOCK_CHARS = 2_000_000  # benchmark characters that one pass sends to the tasks; a larger benchmark takes more passes
+PAIRS = 1 << 19  # pairs of equal q-grams that a task holds at once
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -95,27 +96,71 @@ class Index:
         self.seen[self.grams >> np.uint64(42)] = True
 
     def regions(self, text: str, roll: Rolling):
-        """(item, first place, last place) of the bands of diagonals that reach an item's bound."""
+        """(item, first place, last place) of the bands of diagonals that reach an item's bound.
+
+        Pairs of equal q-grams are made for at most PAIRS of them at once. An item with more has few different
+        q-grams in this text; there each of its places counts the text's places in each band instead.
+        """
         h = _hashes(text, roll)
         at = np.flatnonzero(self.seen[h >> np.uint64(42)])
         if not len(at):
             return
         k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         hit = self.grams[k] == h[at]
-        at, k = at[hit], k[hit]
-        n = self.n[k]
-        slot = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at, item = np.repeat(at, n), self.item[slot]
-        diagonal = at - self.place[slot]
+        order = np.argsort(k[hit], kind="stable")
+        at, k = at[hit][order], k[hit][order]  # the text's places by q-gram
+        if not len(at):
+            return
+        gram, begin, times = np.unique(k, return_index=True, return_counts=True)
+        n = self.n[gram]
+        slot = np.repeat(self.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        order = np.argsort(self.item[slot], kind="stable")
+        slot, which = slot[order], np.repeat(np.arange(len(gram)), n)[order]  # the items' places of those q-grams, by item
+        items, starts = np.unique(self.item[slot], return_index=True)
+        pairs = np.add.reduceat(times[which], starts)
+        ends, done = np.append(starts, len(slot)), 0
+        while done < len(items):
+            stop = max(done + 1, int(np.searchsorted(np.cumsum(pairs[done:]), PAIRS, "right")) + done)
+            part = slice(ends[done], ends[stop])
+            if pairs[done] > PAIRS:
+                yield from self._bands_by_places(int(items[done]), self.place[slot[part]], which[part], at, np.append(begin, len(at)), len(text))
+            else:
+                t = times[which[part]]
+                mine = np.repeat(begin[which[part]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+                yield from self._bands_by_pairs(np.repeat(self.item[slot[part]].astype(np.int64), t), at[mine] - np.repeat(self.place[slot[part]], t))
+            done = stop
+
+    def _bands_by_pairs(self, item: np.ndarray, diagonal: np.ndarray):
         width = 2 * self.edits[item] + 1
-        low = int(diagonal.min(initial=0))
         for shift in (0, 1):
-            band = (diagonal - low + shift * (self.edits[item] + 1)) // width
-            key = item.astype(np.int64) * (len(text) + 2 - low + int(width.max(initial=0))) + band
-            _, inv, count = np.unique(key, return_inverse=True, return_counts=True)
-            for g in np.flatnonzero(count >= self.need[item[_firsts(inv, len(count))]]) if len(key) else []:
-                mine = diagonal[inv == g]
-                yield int(item[np.argmax(inv == g)]), int(mine.min()), int(mine.max())
+            band = (diagonal + shift * (self.edits[item] + 1)) // width
+            band -= band.min()
+            key = item * (band.max() + 1) + band
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            count = np.diff(np.append(starts, len(key)))
+            owner, least, most = item[order][starts], np.minimum.reduceat(diagonal[order], starts), np.maximum.reduceat(diagonal[order], starts)
+            for g in np.flatnonzero(count >= self.need[owner]).tolist():
+                yield int(owner[g]), int(least[g]), int(most[g])
+
+    def _bands_by_places(self, item: int, place: np.ndarray, which: np.ndarray, at: np.ndarray, begin: np.ndarray, size: int):
+        """The same for one item: place, which: its places and their q-grams, whose places in the text are at[begin[which] : begin[which + 1]]."""
+        e = int(self.edits[item])
+        width, far = 2 * e + 1, size + 1
+        keys = np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * far + at  # the text's places, ascending within and across q-grams
+        low, high = int((at[begin[which]] - place).min()), int((at[begin[which + 1] - 1] - place).max())
+        step = max(1, PAIRS // len(place))
+        for shift in (0, 1):
+            bands = range((low + shift * (e + 1)) // width, (high + shift * (e + 1)) // width + 1)
+            for b in bands[::step]:
+                edge = width * np.arange(b, min(b + step, bands.stop) + 1) - shift * (e + 1)
+                wanted = np.clip(edge[:, None] + place.astype(np.int64), 0, far - 1) + which * far
+                cut = np.searchsorted(keys, wanted)
+                count = np.diff(cut, axis=0)
+                first = np.where(count > 0, at[np.minimum(cut[:-1], len(at) - 1)] - place, far).min(axis=1)
+                last = np.where(count > 0, at[cut[1:] - 1] - place, -far - size).max(axis=1)
+                for g in np.flatnonzero(count.sum(axis=1) >= self.need[item]).tolist():
+                    yield item, int(first[g]), int(last[g])
 
     def matches(self, text: str, roll: Rolling) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) in the plain text, each place once."""
@@ -133,12 +178,6 @@ class Index:
                 yield i, found[0], a + found[1], a + found[2]
 
 
-def _firsts(inverse: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    out[inverse[::-1]] = np.arange(len(inverse))[::-1]
-    return out
-
-
 def _search(index: Index):
     def run(batches):
         roll = Rolling()

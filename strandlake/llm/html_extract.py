@@ -17,10 +17,12 @@ A host with fewer than MIN_PAGES different pages has no template; each of its pa
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +34,14 @@ MIN_PAGES = 4  # aligned different pages of a host before its template counts
 CONSTANT = 0.9  # share of them on which a template node has the same text
 COMMON = 0.5  # share of all different pages of the host on which it has that text
 HOLDS = 0.8  # share of a node's text that a container below must hold to be followed
+NARROW = 4096  # cells of a table of siblings that are kept as they are
 NAMED = {"article": 20, "main": 10}  # how many times the text of an element counts that says it is the article
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("#root html body article main section div center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER = frozenset("script style noscript template head nav footer aside form button select textarea option iframe object svg canvas audio video dialog menu".split())
+NEVER = frozenset("title script style noscript template head nav footer aside form button select textarea option iframe object svg canvas audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: A container counts as one of these if one of its names is made of these words alone: "ad", "cookie-notice".
 MARKS = frozenset(
@@ -177,46 +180,104 @@ class Skeleton:
         return cls(*json.loads(text))
 
 
+def shapes(tree: Skeleton, known: dict) -> list[int]:
+    """Of each node a number that equal subtrees (of labels, in order) share; `known` keeps them for further trees."""
+    out = [0] * len(tree.labels)
+    for x in range(len(out) - 1, -1, -1):
+        out[x] = known.setdefault((tree.labels[x], *[out[k] for k in tree.kids[x]]), len(known))
+    return out
+
+
+def aligned(weight: dict, rows: list[int], columns: list[int]) -> tuple[int, list[tuple[int, int]]]:
+    """(weight, pairs of places from the last to the first) of the heaviest alignment of rows to columns in order.
+
+    weight: of the pairs of kinds (row, column) that may meet. Of wide tables every `step`-th line is kept and
+    those between are made again on the way back, so n siblings take n ** 1.5 numbers.
+    """
+    if len(rows) * len(columns) <= NARROW:
+        table, step = [[0] * (len(columns) + 1)], len(rows) or 1
+        for r in rows:
+            above, line = table[-1], [0]
+            for k, c in enumerate(columns):
+                w = weight.get((r, c))
+                line.append(max(above[k + 1], line[k], above[k] + w if w else 0))
+            table.append(line)
+        kept, top = [table[0]], table[-1][-1]
+    else:
+        kinds, which = np.unique(columns, return_inverse=True)
+        by_row = {r: np.array([weight.get((r, c), -1) for c in kinds.tolist()], np.int64) for r in set(rows)}
+        step = math.isqrt(len(rows)) + 1
+
+        def lines(line: np.ndarray, part: list[int]):
+            for r in part:
+                w, above = by_row[r][which], line
+                line = np.zeros_like(above)
+                np.maximum.accumulate(np.maximum(above[1:], np.where(w > 0, above[:-1] + w, 0)), out=line[1:])
+                yield line
+
+        kept = [np.zeros(len(columns) + 1, np.int64)]
+        for at in range(0, len(rows), step):
+            for line in lines(kept[-1], rows[at : at + step]):
+                pass
+            kept.append(line)
+        top, table = int(kept.pop()[-1]), None
+    pairs, j = [], len(columns)
+    for block in range(len(kept) - 1, -1, -1):
+        if len(kept) > 1 or table is None:
+            table = [kept[block], *lines(kept[block], rows[block * step : (block + 1) * step])]
+        i = len(table) - 1
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((block * step + i, j))
+    return top, pairs
+
+
 def match(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs of nodes of the largest top-down alignment that keeps order and labels."""
+    """Simple tree matching: pairs of nodes of the largest top-down alignment that keeps order and labels.
+
+    Subtrees of equal shapes are aligned once, however often they occur.
+    """
     if a.labels[0] != b.labels[0]:
         return []
+    known: dict = {}
+    shape_a, shape_b = shapes(a, known), shapes(b, known)
+    kids = {s: key for key, s in known.items()}  # (label, shapes of the children)
     best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-    todo = [(0, 0)]
+    todo = [(shape_a[0], shape_b[0])]
     while todo:
         x, y = todo[-1]
         if (x, y) in best:
             todo.pop()
             continue
-        rows, columns = a.kids[x], b.kids[y]
-        open_ = [(i, j) for i in rows for j in columns if a.labels[i] == b.labels[j] and (i, j) not in best]
+        by: dict[str, set[int]] = {}
+        for c in kids[y][1:]:
+            by.setdefault(kids[c][0], set()).add(c)
+        weight, open_ = {}, []
+        for r in set(kids[x][1:]):
+            for c in by.get(kids[r][0], ()):
+                if len(kids[r]) == 1 or len(kids[c]) == 1:
+                    weight[r, c] = 1
+                elif (r, c) in best:
+                    weight[r, c] = best[r, c][0]
+                else:
+                    open_.append((r, c))
         if open_:
             todo += open_
             continue
         todo.pop()
-        width = len(columns) + 1
-        table = [[0] * width]
-        for i in rows:
-            above, line = table[-1], [0] * width
-            for k, j in enumerate(columns, 1):
-                here = above[k - 1] + best[i, j][0] if a.labels[i] == b.labels[j] else 0
-                line[k] = max(above[k], line[k - 1], here)
-            table.append(line)
-        pairs, i, j = [], len(rows), len(columns)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((rows[i], columns[j]))
-        best[x, y] = (table[-1][-1] + 1, pairs)
+        n, pairs = aligned(weight, list(kids[x][1:]), list(kids[y][1:])) if weight else (0, [])
+        best[x, y] = (n + 1, pairs)
     out, todo = [], [(0, 0)]
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        todo += best[pair][1]
+        x, y = todo.pop()
+        out.append((x, y))
+        if a.kids[x] and b.kids[y]:
+            todo += [(a.kids[x][i], b.kids[y][j]) for i, j in best[shape_a[x], shape_b[y]][1]]
     return out
 
 
