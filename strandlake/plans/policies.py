@@ -66,3 +66,21 @@ class InclusionPolicy:
     include_near: bool = True
     classes: tuple[str, ...] = ("exact_full_length_complement", "near_full_length_complement")
     require_cleavage: bool = True
+
+
+@dataclass(frozen=True)
+class IntendedTargetPolicy:
+    """What a request for an intended target must bring and what happens where it doesn't; fixed values as defaults.
+
+    gene_only: fail_stage, warning, preserve_uncertainty or accept_any_gene_transcript_site.
+    on_failure: fail_stage, warning or preserve_invalid_with_status.
+    """
+
+    required: bool = True
+    transcripts_required: bool = False
+    gene_only: str = "preserve_uncertainty"
+    on_failure: str = "fail_stage"
+    classes: tuple[str, ...] = ("exact_full_length_complement", "near_full_length_complement")
+    max_total: int = 2
+    max_seed: int = 0
+    max_central: int = 0

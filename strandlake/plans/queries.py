@@ -613,4 +613,4 @@ def _(sequences, annotation):
 FLAGSHIP = "evidence_labels"
 
 # the rest of the registered queries
-from . import queries_io, queries_more  # noqa: E402, F401
+from . import queries_decisions, queries_io, queries_more  # noqa: E402, F401
