@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import intended, targetability
+from strandlake.operators import effects, intended, isoform, summaries, targetability
+from strandlake.sources.stored import stored
 
 from .policies import IntendedTargetPolicy
-from .queries import SITES_SQL, query
+from .queries import EFFECT_SQL, LABEL_SQL, PARTS_SQL, SITES_SQL, _expected, _labels, query
 
 # --- intended targets ----------------------------------------------------------------------------
 
@@ -69,3 +70,87 @@ def _(sequences, guides, annotation):
     failed = annotation.where("original_gene_id % 11 = 0").select(F.col("original_gene_id").alias("gene_id"))
     out = intended.validate(requests, evidence, targetability.scan(sequences, guides), failed, TARGET_POLICIES)
     return out.drop("sirna_id").withColumns({n: F.concat_ws(",", n) for n in ("rejection_reasons", "errors", "warnings")})
+
+
+# --- stages --------------------------------------------------------------------------------------
+
+EFFECT_TABLES = "sequences guides annotation counts samples"
+LABEL_TABLES = EFFECT_TABLES + " edges"
+
+
+@query("effect_stage_summary", EFFECT_TABLES, EFFECT_SQL + """ SELECT f.run_key, count(*) AS genes_examined, count(*) FILTER (effect_status <> 'definitive') AS unresolved_records,
+      count(*) FILTER (effect_status = 'definitive') AS genes_with_definitive_expected_direct_effect, count(*) FILTER (effect_status <> 'definitive') AS genes_with_unavailable_expected_direct_effect,
+      count(residual) AS genes_with_unresolved_residual, count(*) FILTER (ratio = 0) AS genes_with_m_over_n_zero, count(*) FILTER (ratio = 1) AS genes_with_m_over_n_one, false AS classification_performed,
+      false AS pathway_evidence_used, 'unresolved_residual_only' AS residual_interpretation, any_value(calibration_status) AS calibration_status
+    FROM fx f LEFT JOIN (SELECT run_key, calibration_status FROM calk) USING (run_key) GROUP BY f.run_key""")
+def _(*tables):
+    calibration, rows = _expected(*tables)
+    return summaries.effect_stage(rows, calibration).summary
+
+
+# the same residuals with the pathways at hand and without any
+MODES_SQL = LABEL_SQL + """, modes AS (SELECT *, true AS available FROM ig UNION ALL SELECT * REPLACE (CASE WHEN support_status LIKE 'residual_with%' THEN 'unresolved_missing_pathway_evidence' ELSE support_status END AS support_status), false FROM ig),
+    stg AS (SELECT *, effect_status = 'definitive' AND residual IS NOT NULL AS known, CASE WHEN support_status = 'unresolved_upstream_expected_effect' THEN 'unresolved_upstream_residual_attribution'
+      WHEN support_status = 'unresolved_missing_pathway_evidence' THEN 'ready_with_unresolved_pathway_context' ELSE 'ready_for_final_classification' END AS readiness FROM modes)"""
+
+
+def _count_sql(column: str, names) -> str:
+    return ", ".join(f"count(*) FILTER (known AND {column} = '{n}') AS {n}" for n in names)
+
+
+def _modes(*tables):
+    """(available, rows of the integration): with the pathways, and as if there were none."""
+    labels = stored(_labels(*tables))
+    rows = labels.drop("support_count", "residual_direction", "residual_magnitude", "support_status")
+    supports = labels.select("run_key", "gene_id", "support_count")
+    return [(have, effects.integrate(effects.residuals(rows, supports, pathway_available=have))) for have in (True, False)]
+
+
+@query("residual_stage_summary", LABEL_TABLES, MODES_SQL + f""" SELECT run_key, count(*) AS genes_examined, count(*) FILTER (NOT known) + count(*) FILTER (known AND support_status = 'unresolved_missing_pathway_evidence') AS unresolved_records,
+      count(*) FILTER (known) AS genes_with_residual_attribution_evidence, count(*) FILTER (NOT known) AS genes_with_unresolved_upstream_expected_effect, {_count_sql('support_status', summaries.SUPPORT)},
+      available AS pathway_evidence_available, false AS classification_performed, true AS supporting_context_only, 'classification_planned_not_performed' AS direct_secondary_mixed_boundary FROM stg GROUP BY run_key, available""")
+def _(*tables):
+    a, b = [summaries.residual_stage(rows, have).summary for have, rows in _modes(*tables)]
+    return a.unionByName(b)
+
+
+@query("integration_stage_summary", LABEL_TABLES, MODES_SQL + f""" SELECT run_key, available, count(*) + count(*) FILTER (known AND support_status = 'unresolved_missing_pathway_evidence') AS genes_examined,
+      count(*) FILTER (NOT known) + count(*) FILTER (known AND support_status = 'unresolved_missing_pathway_evidence') + count(*) FILTER (known AND readiness <> 'ready_for_final_classification') AS unresolved_records,
+      count(*) FILTER (known) AS genes_with_secondary_evidence_integration, {_count_sql('readiness', summaries.READINESS)},
+      false AS classification_performed, true AS classification_ready_evidence_only, 'unresolved_not_negative' AS missing_pathway_evidence_interpretation FROM stg GROUP BY run_key, available""")
+def _(*tables):
+    a, b = [summaries.integration_stage(rows).summary.withColumn("available", F.lit(have)) for have, rows in _modes(*tables)]
+    return a.unionByName(b)
+
+
+@query("integration_unresolved", LABEL_TABLES, MODES_SQL + """ SELECT run_key, gene_id, available, w.reason, w.upstream FROM (SELECT *, unnest(list_filter([
+      CASE WHEN NOT known THEN {'reason': 'unresolved_upstream_residual_attribution', 'upstream': 'unresolved_upstream_expected_effect'} END,
+      CASE WHEN known AND support_status = 'unresolved_missing_pathway_evidence' THEN {'reason': 'unresolved_upstream_residual_attribution', 'upstream': support_status} END,
+      CASE WHEN known AND readiness <> 'ready_for_final_classification' THEN {'reason': readiness, 'upstream': support_status} END], lambda x: x IS NOT NULL)) AS w FROM stg)""")
+def _(*tables):
+    a, b = [summaries.integration_stage(rows).unresolved.withColumn("available", F.lit(have)) for have, rows in _modes(*tables)]
+    return a.unionByName(b)
+
+
+# genes whose number is divisible by 11 failed
+@query("targetability_stage_summary", "sequences guides annotation", PARTS_SQL + """, ev AS (SELECT p.sirna_id, p.gene_id, p.transcript_id, p.sequence_available AS have, p.gene_id % 11 = 0 AS failed,
+        CASE WHEN p.gene_id % 11 = 0 THEN 'failed' WHEN NOT p.sequence_available THEN 'unavailable' ELSE coalesce(decision, 'no_supported_site') END AS decision, p.sequence_available AND p.gene_id % 11 <> 0 AS done,
+        coalesce(n_exact, 0) AS e, coalesce(n_near, 0) AS n, coalesce(n_seed_only, 0) AS s, coalesce(n_partial, 0) AS q
+      FROM pairs p LEFT JOIN decided b ON b.sirna_id = p.sirna_id AND b.transcript_id = p.transcript_id),
+    own AS (SELECT s.* FROM sites s SEMI JOIN (SELECT * FROM ev WHERE done) v ON v.sirna_id = s.sirna_id AND v.transcript_id = s.transcript_id),
+    a AS (SELECT count(DISTINCT sirna_id) AS sirnas_examined, count(DISTINCT gene_id) AS genes_examined, count(DISTINCT gene_id) FILTER (NOT failed) AS genes_successfully_evaluated, count(*) AS eligible_transcripts_examined, count(*) FILTER (done) AS transcripts_evaluated,
+      count(*) FILTER (have) AS transcript_sequences_available, count(*) FILTER (NOT have AND NOT failed) AS transcript_sequences_unavailable, count(*) FILTER (failed) AS transcripts_not_evaluated_due_to_gene_failure,
+      count(*) FILTER (done AND e > 0) AS transcripts_with_exact_full_length_sites, count(*) FILTER (done AND n > 0) AS transcripts_with_near_full_length_sites, count(*) FILTER (done AND e + n > 0) AS transcripts_with_cleavage_compatible_candidate_sites,
+      count(*) FILTER (done AND s > 0) AS transcripts_with_seed_only_sites, count(*) FILTER (done AND q > 0) AS transcripts_with_partial_nonseed_matches, count(*) FILTER (decision = 'no_supported_site') AS transcripts_with_no_supported_sites, count(*) FILTER (decision = 'indeterminate') AS ambiguous_transcripts,
+      (SELECT count(DISTINCT gene_id) FROM judged WHERE gene_id % 11 = 0) AS genes_failed_under_fail_gene, (SELECT count(*) FROM judged WHERE exclusion IS NOT NULL) AS exclusions,
+      (SELECT count(*) FROM own) AS total_qualifying_sites, (SELECT 21 * count(*) FROM own) AS total_alignment_position_records, (SELECT count(*) FROM own WHERE priority = 0) AS total_exact_sites, (SELECT count(*) FROM own WHERE priority = 1) AS total_near_full_length_sites,
+      (SELECT count(*) FROM own WHERE priority = 3) AS total_seed_only_sites, (SELECT coalesce(CAST(sum(n_total_mm) AS BIGINT), 0) FROM own) AS total_mismatch_records FROM ev)
+    SELECT metric, value FROM (UNPIVOT a ON COLUMNS(*) INTO NAME metric VALUE value)""")
+def _(sequences, guides, annotation):
+    sites = stored(targetability.scan(sequences, guides))
+    best = targetability.best_sites(sites)
+    judged = stored(isoform.eligibility(annotation))
+    genes = best.select("sirna_id", "gene_id").union(guides.select("sirna_id", "intended_gene")).distinct()
+    pairs = genes.join(judged.where("eligible").select("gene_id", "transcript_id", "sequence_available"), "gene_id")
+    failed = judged.where("gene_id % 11 = 0").select("gene_id").distinct()
+    return summaries.targetability_stage(stored(summaries.decisions(pairs, best, failed)), sites, failed, judged.where("not eligible"))
