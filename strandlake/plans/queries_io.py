@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import audit, edges, enrichment, identifiers, isoform
 from strandlake.sources import files, providers, snapshots
-from strandlake.sources.stored import shared_dir
+from strandlake.sources.stored import shared_dir, stored
 
 from .queries import LINEAGE_SQL, TYPE_SQL, query
 
@@ -336,7 +336,8 @@ def _(edge):
     UNION ALL SELECT concat(layer, '_graph_edges'), count(*) FROM ly GROUP BY layer UNION ALL SELECT concat(layer, '_graph_nodes'), count(DISTINCT x) FROM (SELECT layer, source AS x FROM ly UNION ALL SELECT layer, target FROM ly) u GROUP BY layer) SELECT metric, value FROM mt""")
 def _(edge):
     groups = edges.quality(edges.lineage_classes(edges.lineage_groups(edge)))
-    return edges.graph_metrics(edge, groups, edges.consensus(groups))
+    found = stored(edges.consensus(groups).select("source", "target", "layers"))  # two branches read it
+    return edges.graph_metrics(edge, groups, found)
 
 
 STATIC_SQL = """, ev AS (SELECT *, CASE WHEN relation = 'phosphorylation' THEN 'kinase' END AS mechanism, CASE WHEN predicted_only THEN 'indirect' ELSE 'direct' END AS directness, provider = 'signor' AS curated, CASE WHEN contextual_only THEN 4 ELSE 1 END AS n_refs, 2 AS n_sources, CASE WHEN record_id IS NOT NULL THEN 'snap' END AS snapshot FROM edges),

@@ -62,3 +62,16 @@ def test_profile_equals_rows(spark):
     rows = targetability.scan(*[t for t in Q.spark_tables(spark, DIR, "sequences", "guides")])
     want = sorted((r.position, r.region, r.paired, r["count"]) for r in targetability.alignment_rows(rows).groupBy("position", "region", "paired").count().collect())
     assert sorted(targetability.alignment_profile(rows).collect()) == want and want
+
+
+def test_edges_are_dealt_out_by_their_ends_once(spark):
+    """One shuffle for lines of an order, one for edges: lineage and consensus group within their ends."""
+    plan = shuffled_by(Q.QUERIES["edge_consensus"](spark, DIR))
+    assert len(plan) == 2, plan
+
+
+def test_signed_paths_has_a_row_for_each_path(spark):
+    got = Q.QUERIES["signed_paths"](spark, DIR)
+    assert got.columns == ["source", "target", "nodes", "n_edges", "cumulative_sign", "expected_direction"]
+    pairs = got.groupBy("source", "target").count()
+    assert pairs.where("count > 1").count() and not pairs.where("count > 25").count()
