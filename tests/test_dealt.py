@@ -29,6 +29,15 @@ def test_nothing_of_guides_times_transcripts_is_stored_or_shuffled(spark, name,
     assert len([k for k in shuffled_by(Q.QUERIES[name](spark, DIR)) if "sirna_id" in k and "transcript_id" in k]) <= 1
 
 
+def test_stage_summary_stores_no_sites(spark, monkeypatch):
+    from strandlake.plans import queries_decisions as D
+
+    kept = []
+    monkeypatch.setattr(D, "stored", lambda df: kept.append(df.columns) or df)
+    Q.QUERIES["targetability_stage_summary"](spark, DIR)
+    assert kept and all("sirna_id" not in columns for columns in kept)
+
+
 def test_strands_in_parts(spark, monkeypatch):
     seqs = spark.createDataFrame([(1, 1, "ACGTTGCATTGCAAGGCTTACGATCGATTGCAACCGGTTACGATGCAN"), (2, 1, "TTACGATCGATTGCAACCGGTTACGATGCAACGT")], "transcript_id long, gene_id long, sequence string")
     strand = spark.createDataFrame([(k, "guide", g) for k, g in enumerate(("AACCGGTTGCAATCGATCGTA", "TTGCATCGTAACCGGTTGCAA"))], "sirna_id long, strand string, guide string")
