@@ -146,3 +146,18 @@ def test_empty_graph(spark):
     starts = spark.createDataFrame([("a",)], "node string")
     assert paths.best_paths(edges, starts).collect() == [] and paths.beyond_pairs(edges, starts).collect() == []
     assert paths.reachable(edges.select("source", "target"), starts, stored).where(F.col("node") != "a").collect() == []
+
+
+def test_frontier_makes_no_paths_as_long_as_the_cutoff(spark, monkeypatch):
+    rnd = random.Random(11)
+    # a ring of small cycles, so that many nodes lie on all paths to a node with an edge back to them
+    pairs = {(k, (k + 1) % 100) for k in range(100)} | {((k + 1) % 100, k) for k in range(0, 100, 3)} | {((k + 2) % 100, k) for k in range(0, 100, 5)} | {((k + 3) % 100, k) for k in range(0, 100, 7)} | {(rnd.randrange(100), rnd.randrange(100)) for _ in range(30)}
+    rows = [(f"n{a}", f"n{b}", f"e{a}-{b}", "positive") for a, b in sorted(pairs) if a != b]
+    edges = spark.createDataFrame(rows, "source string, target string, edge_id string, sign string")
+    starts = spark.createDataFrame([(f"n{k}",) for k in range(101)], "node string")  # more than a word's bits; n100 isn't in the graph
+    made, onward = [], paths._onward
+    monkeypatch.setattr(paths, "_onward", lambda step, e: made.append(1) or onward(step, e))
+    got = paths.beyond_pairs(edges, starts, 4).collect()
+    want = {(f"n{s}", t) for s in range(100) for t, ps in _all_paths(rows, f"n{s}", 5).items() if any(len(p) == 6 for p in ps)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert len(made) == 2  # paths of two and three edges
