@@ -161,3 +161,13 @@ def test_frontier_makes_no_paths_as_long_as_the_cutoff(spark, monkeypatch):
     want = {(f"n{s}", t) for s in range(100) for t, ps in _all_paths(rows, f"n{s}", 5).items() if any(len(p) == 6 for p in ps)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert len(made) == 2  # paths of two and three edges
+
+
+def test_candidates_are_dealt_out_to_many_tasks(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", f"e{k}", "positive") for k in range(400)], "source string, target string, edge_id string, sign string")
+    nodes = edges.selectExpr("explode(array(source, target)) as node").distinct()
+    got = paths.search_targets(edges, nodes.where("node like '%7'"), nodes)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    starts = {f"n{k}" for k in range(401) if k % 10 == 7}
+    assert {(r.source, r.target): r.status for r in rows} == {(s, f"n{k}"): "candidate_not_in_graph" if s == f"n{k}" else "resolved" for s in starts for k in range(401)} and len(rows) == len(starts) * 401
+    assert len({r.task for r in rows}) > 1
