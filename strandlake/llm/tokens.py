@@ -6,7 +6,7 @@ plain letters, digits and marks is parted further, as the tokenizer would, and t
 asked for the parts not met before; any other piece goes through the whole tokenizer.
 
 What a Python worker has met is kept for its next tasks, in two generations of a bounded size; that changes
-speed only.
+speed only. Tasks of other steps let go of it (`_common.let_go`), as Spark hands them the same workers.
 """
 
 from __future__ import annotations
@@ -34,25 +34,24 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-class _Table:
-    """Key -> ids as bytes, in two generations of plain dicts."""
+class _Table(dict):
+    """Key -> ids as bytes, in two generations; a key that neither has is made when it is looked up."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.now, self.older = limit, {}, {}
+    def __init__(self, limit: int, make) -> None:
+        self.limit, self.make, self.older = limit, make, {}
 
     def turn(self) -> None:
-        """A new generation, if this one is full; only called where nothing is about to be read."""
-        if len(self.now) > self.limit:
-            self.now, self.older = {}, self.now
+        """A new generation, if this one is full."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
 
-    def new(self, keys: set) -> set:
-        """Those of the keys that neither generation has; the others are in `now` from here on."""
-        keys, older = keys.difference(self.now), self.older
-        if older and keys:
-            found = [k for k in keys if k in older]
-            self.now.update(zip(found, map(older.__getitem__, found), strict=True))
-            keys.difference_update(found)
-        return keys
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -76,7 +75,7 @@ class Encoder:
         self.pattern = re.compile(f"{_OTHER}+" if drops_space else f"{_SPACE}*{_OTHER}+|{_SPACE}+\\Z")
         self.parts = re.compile(f"[{_LETTER}]+|[0-9]|[{_MARK}]+" if drops_space else f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+").findall
         self.letters = _byte_letters()
-        self.pieces_known, self.parts_known = _Table(self.LIMIT), _Table(self.LIMIT)
+        self.pieces_known, self.parts_known = _Table(self.LIMIT, self._piece), _Table(self.LIMIT, self._part)
 
     @classmethod
     def kept(cls, path: str, drops_space: bool) -> Encoder:
@@ -88,6 +87,12 @@ class Encoder:
             found[path, drops_space] = cls(path, drops_space)
         return found[path, drops_space]
 
+    def forget(self) -> None:
+        """Empties the tables."""
+        for table in (self.pieces_known, self.parts_known):
+            table.clear()
+            table.older = {}
+
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in _RARE) or not text.isascii() and any(c in text for c in _WIDE):
             return self.pattern.findall(text)
@@ -99,40 +104,29 @@ class Encoder:
         words = text.replace("\n", "\n\0").replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return words if "\0" not in text else self.pattern.findall(text)
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, split, lower = self.pieces_known.now, self.parts, self.drops_space
-        plain, odd = [], []
-        for p in pieces:
-            if p in ("\n", ""):
-                odd.append(p)
-                continue
-            small = p.lower() if lower else p
-            parts = split(small)
-            if sum(map(len, parts)) == len(small) == len(p) and "<|" not in p:
-                plain.append((p, parts))
-            else:
-                odd.append(p)
-        self.parts_known.turn()
-        parts_known, tokenize, letters, space = self.parts_known.now, self.model.tokenize, self.letters, self.letters[32]
-        for part in self.parts_known.new({x for _, parts in plain for x in parts}):
-            if part.isascii():  # of these only the space has another letter
-                word = part if part[0] != " " else space + part[1:]
-            else:
-                word = "".join([letters[b] for b in part.encode()])
-            parts_known[part] = array("H", [t.id for t in tokenize(word)]).tobytes()
-        for p, parts in plain:
-            known[p] = parts_known[parts[0]] if len(parts) == 1 else b"".join([parts_known[x] for x in parts])
-        ids = [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-        known.update(zip(odd, ids, strict=True))
+    def _piece(self, p: str) -> bytes:
+        if p.isascii() and (p if self.drops_space or p[:1] != " " else p[1:]).isalpha():
+            return self.parts_known[p.lower() if self.drops_space else p]
+        if p not in ("\n", ""):
+            small = p.lower() if self.drops_space else p
+            parts = self.parts(small)
+            if len("".join(parts)) == len(small) == len(p) and "<|" not in p:
+                known = self.parts_known
+                return known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
+        return array("H", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        letters = self.letters
+        if part.isascii():  # of these only the space has another letter
+            word = part if part[0] != " " else letters[32] + part[1:]
+        else:
+            word = "".join([letters[b] for b in part.encode()])
+        return array("H", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out, table = [], self.pieces_known
-        for at in range(0, len(texts), 64):
-            table.turn()
-            known = table.now
-            parts = [self.pieces(t) for t in texts[at : at + 64]]
-            new = table.new(set().union(*parts))
-            if new:
-                self._learn(new)
-            out += [b"".join(map(known.__getitem__, p)) for p in parts]
+        out, known = [], self.pieces_known.__getitem__
+        for text in texts:
+            self.pieces_known.turn()
+            self.parts_known.turn()
+            out.append(b"".join(map(known, self.pieces(text))))
         return out
