@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, mix
+from ._common import Rolling, let_go, mix
 
 Q = 12
 EDITS = 0.05  # edits allowed per character of an item
@@ -243,6 +243,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def clean(index: Index):
         def run(batches):
+            let_go()
             roll = Rolling()
             for batch in batches:
                 yield batch.filter(pa.array([next(index.verified(plain(t or ""), roll), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, WordHashes, by_row, mix, numbered, with_ids, written
+from ._common import Rolling, WordHashes, by_row, let_go, mix, numbered, with_ids, written
 
 STARS = 1  # rounds with more centres after the first
 CENTRES = 4  # orders from which buckets choose the further centres
@@ -61,6 +61,7 @@ def min_max(values: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> tuple[n
 
 def _signatures(width: int, permutations: int):
     def run(batches):
+        let_go()
         shingles, (scale, shift) = Shingles(width), _constants(permutations)
         for batch in batches:
             ids, sizes, digests, bands = batch.column(0), [], [], []
@@ -88,6 +89,7 @@ def _confirm(width: int, percent: int):
     """Rows come sorted: a centre, then the texts to hold against it."""
 
     def run(batches):
+        let_go()
         shingles, centre, key, own = Shingles(width), None, None, None
         for batch in batches:
             a, b = [], []
@@ -170,6 +172,7 @@ def _block_links(width: int, percent: int):
     """Links (a, b) that join components. Rows come sorted: a salt's held members by block, then all of its bucket."""
 
     def run(batches):
+        let_go()
         shingles, at, held, indexes, joined = Shingles(width), None, [], [], _Forest()
         for batch in batches:
             a, b = [], []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, give_back, pack, unpack, written
+from ._common import NULL_ID, give_back, let_go, pack, unpack, written
 from .tokens import Encoder
 
 SHARD = 1024  # pieces that one inverted index holds
@@ -81,6 +81,7 @@ def weights(terms: bytes, idf: np.ndarray, average: float) -> tuple[np.ndarray,
 
 def _heaviest(idf: np.ndarray, average: float):
     def run(batches):
+        let_go()
         for batch in batches:
             keys = []
             for terms in batch.column("terms").to_pylist():

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, buckets, by_bucket, by_row, doc_groups, fresh, group_column, merged, mix, numbered, pack, unpack, with_ids, written
+from ._common import Rolling, buckets, by_bucket, by_row, doc_groups, fresh, group_column, let_go, merged, mix, numbered, pack, unpack, with_ids, written
 from .substring_dedup import _batch, per_document, spans_out
 
 GRAM = 32  # bytes of an anchor
@@ -91,6 +91,7 @@ def _anchors(length: int, n_buckets: int):
         return _batch(rows)
 
     def run(batches):
+        let_go()
         roll, found, texts, size = Rolling(), [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -253,6 +254,7 @@ def _compare(length: int, groups: int):
         return found, (digest[:, 0], digest[:, 1], doc[edge], start[edge])
 
     def run(batches):
+        let_go()
         decided: list[tuple] = []
         edges: list[tuple] = []
         held: list[_Run] = []
@@ -383,6 +385,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     spans = remove_repeats(texts, length).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias("_spans"))
 
     def run(batches):
+        let_go()
         for batch in batches:
             cut_texts = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import let_go, written
 
 GRAMS = (3, 4, 5)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -176,6 +176,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Da
     parts, bias = model.parts()
 
     def run(batches):
+        let_go()
         scorer = _Scorer(parts, bias)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()))], names=["doc_id", "score"])
@@ -208,6 +209,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sampl
     text = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
+        let_go()
         scorer = _Scorer(parts, bias)
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores(batch.column(text).to_pylist()) < threshold))

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, give_back, pack, shared_dir, unpack
+from ._common import NULL_ID, give_back, let_go, pack, shared_dir, unpack
 from .tokens import Encoder
 
 SHARD = 2_000_000  # tokens of a shard, but for the document that crosses it
@@ -170,6 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
 
 
 def _documents(batches):
+    let_go()
     for batch in batches:
         for part, seq, docs, matrix in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "docs", "matrix")), strict=True):
             ids, (doc, n) = WaveletMatrix.from_bytes(matrix).ids().astype("<u4"), unpack(docs)
