@@ -141,8 +141,8 @@ def _shards(path: str, end_id: int):
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc, ids in zip(batch.column(0)[at : at + 256].to_pylist(), coder.ids(texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), 2048):
+                for doc, ids in zip(batch.column(0)[at : at + 2048].to_pylist(), coder.ids(texts[at : at + 2048]), strict=True):
                     docs.append(doc)
                     data.append(ids + end)
                     lengths.append(len(data[-1]) // 2)
