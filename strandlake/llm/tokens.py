@@ -79,8 +79,8 @@ class Encoder:
     own); otherwise a piece keeps the space before it.
     """
 
-    LIMIT = 400_000  # entries of a generation of a table (twice as many of the first); bounds memory, not results
-    CHUNK = 4_000_000  # characters of the texts that are parted at once, but for the text that crosses it
+    LIMIT = 400_000  # entries of a generation of a table; bounds memory, not results
+    CHUNK = 2_000_000  # characters of the texts that are parted at once, but for the text that crosses it
 
     def __init__(self, path: str, drops_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -96,7 +96,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.kinds, self.small = _kinds(drops_space), np.arange(256, dtype=np.uint8)
         self.small[0x41:0x5B] += 0x20
-        self.pieces_known, self.parts_known = _Table(2 * self.LIMIT, self._piece), _Table(self.LIMIT, self._part)
+        self.pieces_known, self.parts_known = _Table(self.LIMIT, self._piece), _Table(self.LIMIT, self._part)
 
     @classmethod
     def kept(cls, path: str, drops_space: bool) -> Encoder:
