@@ -21,6 +21,15 @@ def test_paths_stay_with_their_source(spark, name, monkeypatch):
     assert [k for k in re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\)", plan) if "source#" in k and ("target#" in k or "pair#" in k)] == []
 
 
+@pytest.mark.parametrize("name", ["path_records", "path_context_conflicts"])
+def test_records_store_no_paths(spark, name, monkeypatch):
+    kept, keep = [], paths.stored
+    for module in (paths, M):
+        monkeypatch.setattr(module, "stored", lambda df: kept.append(df.columns) or keep(df))
+    Q.QUERIES[name](spark, DIR)
+    assert kept and not [c for c in kept if "nodes" in c]
+
+
 def test_marks_tell_what_dangling_tells(spark):
     found = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 1), ("b", "x", 1)], "source string, target string, n_edges int")
     results = spark.createDataFrame([("a", "x", 2), ("a", "z", 1), ("b", "q", 0)], "source string, target string, kept long")
